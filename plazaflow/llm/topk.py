@@ -22,6 +22,8 @@ from plazaflow.session import ensure_importable
 LEAF = 128
 #: Candidates of a shard and queries of a block, about.
 SHARD, QUERIES = 100_000, 4_000
+#: The score of no candidate; its negative is a long too.
+NONE = -(2**63) + 1
 FOUND = "query_id long, vec_id long, score long, qrow long"
 
 
@@ -68,7 +70,7 @@ def search(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, q_ro
     bound = fq @ tree.centre.T + norm[:, None] * tree.radius[None, :]
     bound += 1e-6 * (1 + np.abs(bound) + norm[:, None] * (np.abs(tree.centre).max(initial=0) + tree.radius.max(initial=0)))  # rounding never hides a leaf
     order = np.argsort(-bound, axis=1)
-    best = np.full((n, k), np.iinfo(np.int64).min)
+    best = np.full((n, k), NONE)
     best_id = np.full((n, k), np.iinfo(np.int64).max)
     kth = least.astype(np.float64)
     active = np.arange(n)
@@ -84,13 +86,13 @@ def search(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, q_ro
             at, (lo, hi) = active[who], tree.bounds[leaf[who[0]]]
             some = tree.order[lo:hi]
             score = np.rint(fq[at] @ fx[some].T).astype(np.int64) if exact else q[at] @ x[some].T
-            score[q_rows[at][:, None] == rows[some][None, :]] = np.iinfo(np.int64).min
+            score[q_rows[at][:, None] == rows[some][None, :]] = NONE
             all_s = np.concatenate([best[at], score], axis=1)
-            all_i = np.concatenate([best_id[at], np.where(score == np.iinfo(np.int64).min, np.iinfo(np.int64).max, np.broadcast_to(ids[some], score.shape))], axis=1)
+            all_i = np.concatenate([best_id[at], np.where(score == NONE, np.iinfo(np.int64).max, np.broadcast_to(ids[some], score.shape))], axis=1)
             top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
             best[at], best_id[at] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
             kth[at] = np.maximum(kth[at], best[at][:, -1])
-    real = best != np.iinfo(np.int64).min
+    real = best != NONE
     return [(s[r], i[r]) for s, i, r in zip(best, best_id, real, strict=True)]
 
 
