@@ -3,6 +3,8 @@
 from plazaflow.llm.bpe import op3_byte_bpe
 from plazaflow.llm.decontaminate import OP10_SQL, op10_decontaminate
 from plazaflow.llm.sharding import OP7_SQL, op7_sharding
+from plazaflow.llm.html_text import op8_html_text
+from plazaflow.llm.quality import op5_quality
 from plazaflow.llm.simhash import op4_simhash
 from plazaflow.llm.token_blocks import op1_token_blocks
 from plazaflow.llm.topk import OP6_SQL, op6_topk
@@ -13,8 +15,10 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
     "op6_topk": op6_topk,
     "op7_sharding": op7_sharding,
+    "op8_html_text": op8_html_text,
     "op10_decontaminate": op10_decontaminate,
 }
 
