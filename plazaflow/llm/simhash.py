@@ -178,7 +178,8 @@ def near_edges(distinct: DataFrame, most_bits: int = THRESHOLD) -> DataFrame:
         raise ValueError(f"the covering is built for up to {THRESHOLD} bits")
     rows = distinct.select("fp").mapInArrow(_replicate, "anchor int, fp long, owner boolean")
     counts = rows.groupBy("anchor").count().filter(F.col("count") > GROUP)
-    large = cut(counts.select("anchor", F.ceil(F.col("count") / GROUP).cast("int").alias("chunks")))
+    # written rather than checkpointed: the size is then known, and Spark broadcasts it only if it is small
+    large = written(counts.select("anchor", F.ceil(F.col("count") / GROUP).cast("int").alias("chunks")), "large-anchors")
     # an anchor of n points falls into c chunks, and the points of chunk i meet those of chunk j in group (i, j), i <= j
     split = rows.join(large, "anchor", "left").withColumn("c", F.coalesce("chunks", F.lit(1)))
     split = split.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
