@@ -4,6 +4,7 @@ from plazaflow.llm.bpe import op3_byte_bpe
 from plazaflow.llm.decontaminate import OP10_SQL, op10_decontaminate
 from plazaflow.llm.sharding import OP7_SQL, op7_sharding
 from plazaflow.llm.html_text import op8_html_text
+from plazaflow.llm.lm_score import op9_lm_score
 from plazaflow.llm.quality import op5_quality
 from plazaflow.llm.simhash import op4_simhash
 from plazaflow.llm.token_blocks import op1_token_blocks
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_topk": op6_topk,
     "op7_sharding": op7_sharding,
     "op8_html_text": op8_html_text,
+    "op9_lm_score": op9_lm_score,
     "op10_decontaminate": op10_decontaminate,
 }
 
