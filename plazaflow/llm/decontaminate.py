@@ -119,7 +119,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rem
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_all"), F.col("text"))
     scanned, _ = scan(inner, benchmark, size)
     if remove == "documents":
-        return scanned.filter("size(_hits) = 0").select("_all.*")
+        # a filter would be pushed below the scan's own columns and evaluate them once for each word; it cannot pass a row number
+        numbered = scanned.select("_all", "_hits", F.monotonically_increasing_id().alias("_row"))
+        return numbered.filter("size(_hits) = 0 and _row >= 0").select("_all.*")
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     inside = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"

@@ -230,29 +230,35 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, most_bits: int
 
 
 def deduplicate(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each component: the first by doc_id and, among rows that repeat it, by a hash of the row.
+    """``docs`` with one row of each component: the first by doc_id, nulls last, then by a hash of the row.
 
-    Only ids take part in the choice; whole rows cross the network once, to meet the ids that stay.
+    Only keys take part in the choice; rows cross the network once, to meet the keys of those that go, and
+    are not sorted. Rows that are equal in every column count as copies of one another.
     """
+    ensure_importable(docs.sparkSession)
     marked = docs.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    keys = marked.select("doc_id", "_tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             fps = np.array([fingerprint(x.as_py(), words_per_shingle) for x in b.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_tie"), pa.array(fps)], names=["doc_id", "_tie", "fp"])
 
-    ensure_importable(docs.sparkSession)
-    found = written(keys.mapInArrow(run, "doc_id long, _tie long, fp long"), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_tie")
-    points = cut(found.groupBy("fp").agg(F.min(order).alias("first")))
+    keys = marked.select("doc_id", "_tie", "text").mapInArrow(run, "doc_id long, _tie long, fp long")
+    found = written(keys.withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tie")).select("key", "fp"), "fingerprints")
+    points = cut(found.groupBy("fp").agg(F.min("key").alias("first")))
     labels = components(near_edges(points, most_bits))
-    rooted = points.join(labels, points["fp"] == labels["node"], "left")
-    stay = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    stay = stay.select(F.col("first.doc_id").alias("_id"), F.col("first._tie").alias("_t"))
-    kept = marked.join(stay, marked["doc_id"].eqNullSafe(stay["_id"]) & (marked["_tie"] == stay["_t"]), "left_semi")
-    # rows that are equal in every column share _tie: one of them stays
-    return kept.dropDuplicates(["doc_id", "_tie"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rooted = points.join(labels, points["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("first").alias("stays"))
+    of = cut(rooted.select("fp", "root").join(stay, "root").select("fp", "stays"))
+    gone = written(found.join(of, "fp").filter("key <> stays").select(F.col("key.doc_id").alias("_id"), F.col("key._tie").alias("_gone")), "duplicates")
+    kept = marked.join(gone.hint("shuffle_hash"), marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_tie"] == gone["_gone"]), "left_anti")
+    same = written(found.groupBy("key").count().filter("count > 1").select(F.col("key.doc_id").alias("_id"), F.col("key._tie").alias("_same")), "equal-rows")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if same.isEmpty():
+        return kept.select(*columns)
+    equal = marked["doc_id"].eqNullSafe(same["_id"]) & (marked["_tie"] == same["_same"])
+    once = kept.join(same, equal, "left_semi").dropDuplicates(["doc_id", "_tie"])
+    return kept.join(same, equal, "left_anti").unionByName(once).select(*columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
