@@ -19,6 +19,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plazaflow.llm.common import scratch
+from plazaflow.llm.word_table import WordTable
 from plazaflow.session import ensure_importable
 
 BLOCK = 256
@@ -33,7 +35,7 @@ PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 18
 MAGIC = b"PFB1"
 #: Distinct words whose ids a worker remembers; others are encoded again when they come back.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 SEGMENTS = "shard int, seq int, start long, n_ids long, doc_ids array<long>, payload binary"
 
@@ -132,32 +134,28 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.table = WordTable(self._encode_each, REMEMBERED)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [x.encode("utf-8", "replace").split() if x else [] for x in texts]
-        known = self.known
-        missing = {w for words in split for w in words if w not in known}
-        parts = {w: self.parts(w) for w in missing}
-        fresh = sorted({p for ps in parts.values() for p in ps if p not in known})
-        found = self.tokenizer.encode_batch([p.decode() for p in fresh], add_special_tokens=False)
-        known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(fresh, found, strict=True))
-        known.update((w, b"".join([known[p] for p in ps])) for w, ps in parts.items())
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
-        for w in missing.union(fresh) if len(known) > REMEMBERED else ():
-            del known[w]
-        return out
-
-    @staticmethod
-    def parts(word: bytes) -> tuple[bytes, ...]:
-        """The word cut where the tokenizer cuts it anyway: between an ASCII letter or digit and the marks that end
-        the word. The tokenizer folds case, so that a first part in ASCII may go in lower case."""
-        first = word.rstrip(b",.;:!?%&*#$|")
-        if not first[-1:].isalnum():
-            return (word,)
-        tail = word[len(first) :]
-        first = first.lower() if first.isascii() else first
-        return (first, tail) if tail else (first,)
+        return self.table.encode([(x or "").encode("utf-8", "replace") for x in texts])
+
+    def _encode_each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words go through the tokenizer as one text; a token belongs to the word it starts in."""
+        text = b" ".join(words).decode()
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        begins = np.fromiter(map(itemgetter(0), found.offsets), np.int64, len(ids))
+        size = np.fromiter(map(len, text.split(" ")), np.int64, len(words))
+        ends = np.searchsorted(begins, np.cumsum(size + 1) - 1)  # tokens that start before the blank after the word
+        return ids, np.diff(ends, prepend=0)
+
+
+def word_encoder(path: str, made: dict[str, WordEncoder] = {}) -> WordEncoder:  # noqa: B006
+    """One encoder a worker, so that what it has learned serves later tasks too."""
+    if path not in made:
+        made.clear()
+        made[path] = WordEncoder(path)
+    return made[path]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -173,7 +171,7 @@ def _encoder(path: str, end_id: int, segment_ids: int) -> Callable[[Iterator[pa.
         from pyspark import TaskContext
 
         shard, seq, start = TaskContext.get().partitionId(), 0, 0
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         schema = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
         docs: list[int | None] = []
         held: list[np.ndarray] = []
