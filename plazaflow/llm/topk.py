@@ -3,9 +3,9 @@
 Candidates are dealt into shards by a hash of their id, queries into blocks; a (shard, block) pair is a
 task. A shard's vectors form a ball tree: leaves of at most ``LEAF`` vectors, split at the median
 along the direction between two far points. The inner product of q with anything in a ball of centre c
-and radius r is at most q.c + |q| r. Each query visits the leaves in descending order of that bound, and
-stops at the first whose bound is under its current k-th score. A first round searches one shard per
-block; its k-th scores are where the second round, over the other shards, starts from.
+and radius r is at most q.c + |q| r. Leaves are visited in descending order of that bound, and a query skips a leaf
+whose bound is under its current k-th score. A first round searches one shard per block; its k-th
+scores are where the second round, over the other shards, starts from.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ LEAF = 128
 SHARD, QUERIES = 100_000, 4_000
 #: The score of no candidate; its negative is a long too.
 NONE = -(2**63) + 1
+NO_ID = 2**63 - 1
 FOUND = "query_id long, vec_id long, score long, qrow long"
 
 
@@ -56,48 +57,78 @@ class BallTree:
         self.radius = np.array(radius)
 
 
+class Best:
+    """The k best (score, id) of each of n queries, best first; ``kth`` is the score to reach."""
+
+    def __init__(self, n: int, k: int, least: np.ndarray):
+        self.score = np.full((n, k), NONE, np.int64)
+        self.id = np.full((n, k), NO_ID, np.int64)
+        self.kth = least.astype(np.float64)
+
+    def offer(self, query: np.ndarray, score: np.ndarray, ident: np.ndarray) -> None:
+        """Candidates in any order; a query may have many."""
+        who, of = np.unique(query, return_inverse=True)
+        k = self.score.shape[1]
+        row = np.concatenate([np.repeat(np.arange(len(who)), k), of])
+        s = np.concatenate([self.score[who].ravel(), score])
+        i = np.concatenate([self.id[who].ravel(), ident])
+        order = np.lexsort((i, -s, row))
+        row, s, i = row[order], s[order], i[order]
+        first = np.searchsorted(row, np.arange(len(who)))
+        take = first[:, None] + np.arange(k)
+        self.score[who], self.id[who] = s[take], i[take]
+        self.kth[who] = np.maximum(self.kth[who], self.score[who, -1])
+
+
 def search(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, q_rows: np.ndarray, k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(score, id) of the k best of each query among the candidates, ties to the smaller id; those under ``least`` may be left out.
 
-    rows, q_rows: identities of rows; a query's own row is no candidate.
+    rows, q_rows: identities of rows; a query's own row is no candidate. First each query goes to its
+    most promising leaves; then the leaves are visited in descending order of the best bound that any query
+    has for them, each by the queries whose bound for it still reaches their k-th score.
     """
-    wide = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))
-    exact = float(wide) ** 2 * max(1, x.shape[1]) < 2**52  # else integers of 64 bits, which have no fast product
-    fx, fq = x.astype(np.float64), q.astype(np.float64)
-    tree = BallTree(fx)
-    n = len(q)
+    wide = float(max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))) ** 2 * max(1, x.shape[1])
+    kind = np.float32 if wide < 2**23 else np.float64 if wide < 2**52 else np.int64  # in which products are exact
+    tree = BallTree(x.astype(np.float64))
+    best = Best(len(q), k, least)
+    if not tree.bounds or not len(q):
+        return [(np.zeros(0, np.int64),) * 2] * len(q)
+    fq = q.astype(np.float64)
     norm = np.sqrt((fq**2).sum(axis=1))
     bound = fq @ tree.centre.T + norm[:, None] * tree.radius[None, :]
-    bound += 1e-6 * (1 + np.abs(bound) + norm[:, None] * (np.abs(tree.centre).max(initial=0) + tree.radius.max(initial=0)))  # rounding never hides a leaf
-    order = np.argsort(-bound, axis=1)
-    best = np.full((n, k), NONE)
-    best_id = np.full((n, k), np.iinfo(np.int64).max)
-    kth = least.astype(np.float64)
-    active = np.arange(n)
-    for t in range(len(tree.bounds)):
-        leaf = order[active, t]
-        go = bound[active, leaf] >= kth[active]
-        active, leaf = active[go], leaf[go]
-        if not len(active):
-            break
-        by = np.argsort(leaf, kind="stable")
-        edges = np.flatnonzero(np.diff(leaf[by])) + 1
-        for who in np.split(by, edges):
-            at, (lo, hi) = active[who], tree.bounds[leaf[who[0]]]
-            some = tree.order[lo:hi]
-            score = np.rint(fq[at] @ fx[some].T).astype(np.int64) if exact else q[at] @ x[some].T
-            score[q_rows[at][:, None] == rows[some][None, :]] = NONE
-            all_s = np.concatenate([best[at], score], axis=1)
-            all_i = np.concatenate([best_id[at], np.where(score == NONE, np.iinfo(np.int64).max, np.broadcast_to(ids[some], score.shape))], axis=1)
-            top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            best[at], best_id[at] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
-            kth[at] = np.maximum(kth[at], best[at][:, -1])
-    real = best != NONE
-    return [(s[r], i[r]) for s, i, r in zip(best, best_id, real, strict=True)]
+    bound += 1e-6 * (1 + np.abs(bound) + norm[:, None] * (np.abs(tree.centre).max() + tree.radius.max()))  # rounding never hides a leaf
+    leaves = [x[tree.order[lo:hi]].astype(kind) for lo, hi in tree.bounds]
+    goal = q.astype(kind)
+
+    def visit(at: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        some = tree.order[slice(*tree.bounds[leaf])]
+        score = goal[at] @ leaves[leaf].T
+        r, c = np.nonzero(score >= best.kth[at][:, None])
+        r, c = (v[q_rows[at[r]] != rows[some[c]]] for v in (r, c))
+        return at[r], score[r, c].astype(np.int64), ids[some[c]]
+
+    seen = np.zeros(bound.shape, bool)
+    enough = max(2, -(-2 * k // LEAF))
+    promising = np.argpartition(-bound, min(enough, bound.shape[1]) - 1, axis=1)[:, :enough]
+    found = []
+    for leaf in np.unique(promising):
+        at = np.flatnonzero((promising == leaf).any(axis=1))
+        seen[at, leaf] = True
+        found.append(visit(at, leaf))
+    best.offer(*(np.concatenate(v) for v in zip(*found, strict=True)))
+    for leaf in np.argsort(-bound.max(axis=0), kind="stable"):
+        at = np.flatnonzero((bound[:, leaf] >= best.kth) & ~seen[:, leaf])
+        if len(at):
+            got = visit(at, leaf)
+            if len(got[0]):
+                best.offer(*got)
+    return [(s[s != NONE], i[s != NONE]) for s, i in zip(best.score, best.id, strict=True)]
 
 
 def _matrix(v: pd.Series, width: int) -> np.ndarray:
     """Rows of longs; a shorter vector is filled up with zeros."""
+    if all(len(x) == width for x in v):
+        return np.concatenate(list(v)).reshape(len(v), width) if width else np.zeros((len(v), 0), np.int64)
     out = np.zeros((len(v), width), np.int64)
     for i, x in enumerate(v):
         out[i, : len(x)] = x
@@ -130,23 +161,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHARD,
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding")).alias("v"), is_query.alias("is_query")).filter("vec_id is not null and v is not null")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     n, n_queries = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-n_queries // block))
-    if n:  # at least two tasks a core, as far as the pieces stay worth a tree
-        want = 2 * spark.sparkContext.defaultParallelism
-        blocks = max(blocks, min(-(-want // shards), -(-n_queries // 200)))
+    # enough shards to occupy the cores, as long as a shard is worth a tree: candidates go to one task a block, queries to one a shard
+    shards = max(1, -(-n // shard), min(2 * spark.sparkContext.defaultParallelism, n // 2_000))
+    blocks = max(1, -(-n_queries // block))
     cands = rows.select("vec_id", "v", "row", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
     cands = cands.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = rows.filter("is_query").select("vec_id", "v", "row", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
     first = queries.withColumn("shard", F.pmod("block", F.lit(shards))).withColumn("least", F.lit(float("-inf")))
 
     def round_of(q: DataFrame, c: DataFrame) -> DataFrame:
+        q = q.select(*[F.col(x).alias(x) for x in q.columns])  # both sides come from one table: else Spark takes their columns for the same
         return c.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInPandas(_searcher(k), FOUND)
 
     home = F.pmod("block", F.lit(shards)) == F.col("shard")
     found = cut(round_of(first, cands.filter(home)))
     if shards > 1:
-        kth = found.groupBy("qrow").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("least"))
-        rest = queries.join(kth, queries["row"] == kth["qrow"], "left").drop("qrow").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        kth = found.groupBy(F.col("qrow").alias("row")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("least"))
+        rest = queries.select(*[F.col(x).alias(x) for x in queries.columns]).join(kth, "row", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
         rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(~home)
         found = found.unionByName(round_of(rest, cands.filter(~home)))
     best = Window.partitionBy("qrow").orderBy(F.desc("score"), "vec_id")  # at most k rows a query and shard
