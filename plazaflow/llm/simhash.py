@@ -1,15 +1,18 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Two 64-bit fingerprints that differ in at most four bits differ in at most one bit in one of three
-blocks (22, 21 and 21 bits). The points of a block are covered by the anchors of the code that is
-Hamming's perfect [15, 11] code in its low 15 bits and every value in its other bits: the covering
-radius is 1. A fingerprint *owns* its nearest anchor in each block and is replicated to every anchor
-within radius plus threshold whose owners can be one bit away (15 or so a block), so each
-near pair meets where one of the two is owner. At an anchor owners are compared with all.
+Of two 64-bit fingerprints that differ in at most 2 k - 1 bits, one of k blocks differs in at most one bit.
+The points of a block are covered by the anchors of the code that is a perfect Hamming code in its low bits
+([15, 11] where the block is long enough, else [7, 4]) and every value in its other bits: the covering radius is 1. A
+fingerprint *owns* its nearest anchor in each block and is replicated to every anchor within radius plus
+threshold whose owners can be one bit away, so each near pair meets where one of the two is owner. At an
+anchor owners are compared with all. With three blocks (up to 5 bits) a fingerprint is in about 41 places.
 
 Equal fingerprints are one point from the start, so that a group of exact copies of any size costs
 one row. Anchors with more than ``GROUP`` points are cut into chunks that meet pairwise in different
 tasks. What leaves an anchor is a spanning forest, never all pairs.
+
+A pair can be held to a similarity besides: each point then carries a sketch of its shingles, the smallest
+hash of each of 64 ranges in a byte, by which the Jaccard similarity is estimated (standard error 0.05 at 0.8).
 """
 
 from __future__ import annotations
@@ -26,66 +29,84 @@ from plazaflow.llm.common import cut, written
 from plazaflow.llm.token_blocks import chunks
 from plazaflow.session import ensure_importable
 
-#: Start and number of bits of each block.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-CODE_BITS = 15
 THRESHOLD = 4
 #: Points of an anchor that one task compares at once.
-GROUP = 4096
+GROUP = 16_384
 PAIRS = 1 << 21
+SKETCH = 64
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
-    """The fingerprint of a whole text; 0 if it has no words."""
+def shingle_hashes(text: str | None, words_per_shingle: int) -> bytes:
+    """XXH64, seed 42, of each shingle of a whole text, repeats included, 8 bytes each with the highest first."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
     n = len(words) - words_per_shingle + 1
     digest = xxhash.xxh64_digest
     if n <= 1:
-        return int.from_bytes(digest(b" ".join(words), 42), "big")
+        return digest(b" ".join(words), 42) if words else b""
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
-    h = b"".join([digest(flat[i:j], 42) for i, j in zip(starts, (ends[words_per_shingle - 1 :] - 1).tolist(), strict=True)])
+    return b"".join([digest(flat[i:j], 42) for i, j in zip(starts, (ends[words_per_shingle - 1 :] - 1).tolist(), strict=True)])
+
+
+def fingerprint(hashes: bytes) -> int:
+    """Bit by bit, whether more than half of the hashes have it; 0 if there are none."""
+    view = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
     bits = np.zeros(64, np.int64)
-    view = np.frombuffer(h, np.uint8).reshape(-1, 8)
-    for i in range(0, n, 1 << 16):
+    for i in range(0, len(view), 1 << 16):
         bits += np.unpackbits(view[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * bits > len(view)).tobytes(), "big")
+
+
+def sketch(hashes: bytes) -> bytes:
+    """For each of ``SKETCH`` ranges of hashes a byte of the smallest in it; 0 if there is none."""
+    h = np.sort(np.frombuffer(hashes, ">u8").astype(np.uint64))
+    out = np.zeros(SKETCH, np.uint8)
+    if len(h):
+        ranges = (h >> np.uint64(58)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))
+        out[ranges[first]] = 1 + (h[first] & np.uint64(0xFFFFFF)) % np.uint64(255)
+    return out.tobytes()
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 4, keep: str = "doc_id", sketched: bool = False) -> DataFrame:
+    """The column ``keep``, the fingerprint ``fp`` as a signed long and, if asked for, the sketch of every row."""
     ensure_importable(docs.sparkSession)
+    kind = docs.schema[keep].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            fps = np.array([fingerprint(x.as_py(), words_per_shingle) for x in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+            hashes = [shingle_hashes(x.as_py(), words_per_shingle) for x in b.column("text")]
+            out = [b.column(keep), pa.array(np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64))]
+            if sketched:
+                out.append(pa.array([sketch(h) for h in hashes], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, names=[keep, "fp", "sketch"][: len(out)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, fp long" + ", sketch binary" * sketched)
 
 
-def _syndromes() -> np.ndarray:
-    """Syndrome of each 15-bit value: the exclusive or of the numbers, from 1, of its set bits."""
-    s = np.zeros(1 << CODE_BITS, np.uint8)
-    for bit in range(CODE_BITS):
-        s[1 << bit : 2 << bit] = s[: 1 << bit] ^ (bit + 1)
-    return s
+def blocks_for(most_bits: int) -> list[tuple[int, int]]:
+    """Start and number of bits of each block."""
+    k = most_bits // 2 + 1
+    ends = [-(-64 * i // k) for i in range(k + 1)]
+    return [(i, j - i) for i, j in zip(ends, ends[1:], strict=False)]
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (index of fingerprint, anchor key, owner) of the covering."""
-    syndrome = _syndromes()
-    one = np.concatenate([[0], 1 << np.arange(CODE_BITS)]).astype(np.int64)  # by syndrome: the bit to flip to get to the code
+def _nearest(code_bits: int):
+    """Maps values to the nearest anchor: the syndrome, the exclusive or of the numbers from 1 of the set code bits, names the bit to flip."""
+    s = np.zeros(1 << code_bits, np.uint8)
+    for bit in range(code_bits):
+        s[1 << bit : 2 << bit] = s[: 1 << bit] ^ (bit + 1)
+    flip = np.concatenate([[0], 1 << np.arange(code_bits)]).astype(np.int64)[s]
+    return lambda x: x ^ flip[x & ((1 << code_bits) - 1)]
 
-    def nearest(x: np.ndarray) -> np.ndarray:
-        return x ^ one[syndrome[x & 0x7FFF]]
 
+def anchors(fps: np.ndarray, most_bits: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (index of fingerprint, anchor key, owner) of the covering."""
     n = len(fps)
     index, key, owner = [], [], []
-    for k, (start, bits) in enumerate(BLOCKS):
+    for k, (start, bits) in enumerate(blocks_for(most_bits)):
+        nearest = _nearest(15 if bits >= 15 else 7)
         x = ((fps >> np.uint64(start)) & np.uint64((1 << bits) - 1)).astype(np.int64)
         # the anchors that own some point at most one bit away from x
         near = np.concatenate([nearest(x)[:, None], nearest(x[:, None] ^ (np.int64(1) << np.arange(bits, dtype=np.int64)))], axis=1)
@@ -99,94 +120,125 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(key), np.concatenate(owner)
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = b.column("fp").to_numpy(zero_copy_only=False)
-        for i in range(0, len(fps), 4096):
-            row, key, owner = anchors(fps[i : i + 4096].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fps[i : i + 4096][row]), pa.array(owner)], names=["anchor", "fp", "owner"])
+def _replicate(most_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                row, key, owner = anchors(part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), most_bits)
+                rest = [c for c in part.schema.names]
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(owner), *part.take(pa.array(row)).columns], names=["anchor", "owner", *rest])
+
+    return run
 
 
-def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index reachable from each of n nodes over the edges left - right."""
-    label = np.arange(n)
-    while len(left):
+def forest(left: np.ndarray, right: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Labels of nodes, the smallest index each is connected to, with the edges left - right added."""
+    while True:
         low = np.minimum(label[left], label[right])
-        before = label.copy()
-        np.minimum.at(label, label[left], low)
-        np.minimum.at(label, label[right], low)
-        np.minimum.at(label, left, low)
-        np.minimum.at(label, right, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
-
-
-def _groups(most_bits: int):
+        after = label.copy()
+        for end in (label[left], label[right], left, right):
+            np.minimum.at(after, end, low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarities of sketches, row by row; two without shingles are alike."""
+    either = ((a | b) != 0).sum(axis=1)
+    return np.where(either == 0, 1.0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(either, 1))
+
+
+def _groups(most_bits: int, similarity: float):
     """Edges of a spanning forest from rows sorted by group, in which a near pair has at least one owner."""
 
-    def edges(group: np.ndarray, fp: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-        n = len(fp)
-        first = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
-        size = np.diff(np.concatenate([first, [n]]))
-        start, length = np.repeat(first, size), np.repeat(size, size)
-        own = np.flatnonzero(owner)
-        lefts, rights = [], []
-        at = np.concatenate([[0], np.cumsum(length[own])])
+    def near_pairs(fp: np.ndarray, owner: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        large = size >= 128
+        for at, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
+            own = at + np.flatnonzero(owner[at : at + n])
+            for i in range(0, len(own), max(1, PAIRS // n)):
+                some = own[i : i + max(1, PAIRS // n)]
+                r, c = np.nonzero(np.bitwise_count(fp[some][:, None] ^ fp[at : at + n][None, :]) <= most_bits)
+                yield some[r], at + c
+        # many small groups at once
+        group = np.repeat(np.arange(len(first)), size)
+        own = np.flatnonzero(owner & ~large[group])
+        length, start = size[group[own]], first[group[own]]
+        total = np.concatenate([[0], np.cumsum(length)])
         lo = 0
-        while lo < len(own):  # about PAIRS comparisons a time
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PAIRS, "right")) - 1)
-            o, m = own[lo:hi], length[own[lo:hi]]
-            left = np.repeat(o, m)
-            right = np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[o], m)
+        while lo < len(own):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1)
+            m = length[lo:hi]
+            left = np.repeat(own[lo:hi], m)
+            right = np.arange(len(left)) + np.repeat(start[lo:hi] - np.cumsum(m) + m, m)
             near = np.bitwise_count(fp[left] ^ fp[right]) <= most_bits
-            left, right = left[near], right[near]
-            keep = left != right
-            lefts.append(left[keep])
-            rights.append(right[keep])
+            yield left[near], right[near]
             lo = hi
-        label = forest(np.concatenate([*lefts, [0]]).astype(np.int64)[:-1], np.concatenate([*rights, [0]]).astype(np.int64)[:-1], n)
+
+    def edges(group: np.ndarray, fp: np.ndarray, owner: np.ndarray, node: np.ndarray, sketches: np.ndarray | None) -> pa.RecordBatch:
+        n = len(fp)
+        first = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
+        label = np.arange(n)
+        for left, right in near_pairs(fp, owner, first, np.diff(np.concatenate([first, [n]]))):
+            keep = left != right
+            left, right = left[keep], right[keep]
+            if sketches is not None and len(left):
+                alike = similar(sketches[left], sketches[right]) >= similarity
+                left, right = left[alike], right[alike]
+            if len(left):
+                label = forest(left, right, label)
         linked = np.flatnonzero(label != np.arange(n))
-        s = fp.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(s[linked]), pa.array(s[label[linked]])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["a", "b"])
+
+    def columns(b: pa.RecordBatch) -> list[np.ndarray]:
+        out = [b.column(c).to_numpy(zero_copy_only=False) for c in ("group", "fp", "owner", "node")]
+        out[1] = out[1].view(np.uint64)
+        if similarity > 0:
+            out.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            whole = [np.concatenate(v) for v in zip(*held, strict=True)]
+            held.clear()
+            return edges(*whole, *[None] * (5 - len(whole)))
+
         for b in batches:
-            x = (b.column("group").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), b.column("owner").to_numpy(zero_copy_only=False))
-            if not len(x[0]):
+            if not b.num_rows:
                 continue
+            x = columns(b)
             whole = int(np.searchsorted(x[0], x[0][-1]))  # the last group may go on in the next batch
             if whole:
-                held.append(tuple(v[:whole] for v in x))
-                yield edges(*(np.concatenate(v) for v in zip(*held, strict=True)))
-                held = []
-            elif held and held[-1][0][-1] != x[0][0]:
-                yield edges(*(np.concatenate(v) for v in zip(*held, strict=True)))
-                held = []
-            held.append(tuple(v[whole:] for v in x))
+                held.append([v[:whole] for v in x])
+            if held and (whole or held[-1][0][-1] != x[0][0]):
+                yield flush()
+            held.append([v[whole:] for v in x])
         if held:
-            yield edges(*(np.concatenate(v) for v in zip(*held, strict=True)))
+            yield flush()
 
     return run
 
 
-def near_edges(distinct: DataFrame, most_bits: int = THRESHOLD) -> DataFrame:
-    """Edges (a, b) among the distinct fingerprints ``fp`` that connect all that are linked."""
-    if most_bits > THRESHOLD:
-        raise ValueError(f"the covering is built for up to {THRESHOLD} bits")
-    rows = distinct.select("fp").mapInArrow(_replicate, "anchor int, fp long, owner boolean")
-    counts = rows.groupBy("anchor").count().filter(F.col("count") > GROUP)
+def near_edges(points: DataFrame, most_bits: int = THRESHOLD, similarity: float = 0.0) -> DataFrame:
+    """Edges (a, b) among the nodes of ``points(node, fp)`` that connect all that are linked; with a similarity also ``sketch``."""
+    rest = ["node", "fp", *["sketch"] * (similarity > 0)]
+    points = points.select(*rest)
+    rows = points.mapInArrow(_replicate(most_bits), "anchor int, owner boolean, node long, fp long" + ", sketch binary" * (similarity > 0))
+    keys = points.select("fp").mapInArrow(_replicate(most_bits), "anchor int, owner boolean, fp long")
+    counts = keys.groupBy("anchor").count().filter(F.col("count") > GROUP)
     # written rather than checkpointed: the size is then known, and Spark broadcasts it only if it is small
     large = written(counts.select("anchor", F.ceil(F.col("count") / GROUP).cast("int").alias("chunks")), "large-anchors")
     # an anchor of n points falls into c chunks, and the points of chunk i meet those of chunk j in group (i, j), i <= j
     split = rows.join(large, "anchor", "left").withColumn("c", F.coalesce("chunks", F.lit(1)))
-    split = split.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
+    split = split.withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
     split = split.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     group = F.when(F.col("c") == 1, F.col("anchor").cast("long")).otherwise(F.xxhash64("anchor", F.least("i", "j"), F.greatest("i", "j")).bitwiseOR(F.lit(-1 << 63)))
-    dealt = split.select(group.alias("group"), "fp", "owner").repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(_groups(most_bits), "a long, b long")
+    dealt = split.select(group.alias("group"), "owner", *rest).repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(_groups(most_bits, similarity), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -220,37 +272,32 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, most_bits: int
     a component has no other; rows that repeat a doc_id each get a row. An empty table gives an empty
     result; other columns of ``docs`` are ignored.
     """
-    found = written(fingerprints(docs, words_per_shingle), "fingerprints")
-    points = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words_per_shingle), "fingerprints")
+    points = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")))
     labels = components(near_edges(points, most_bits))
-    rooted = points.join(labels, points["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = points.select("fp", "least", F.col("node").alias("p")).join(labels, F.col("p") == labels["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = cut(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
     return found.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = THRESHOLD) -> DataFrame:
+def deduplicate(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = 7, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component: the first by doc_id, nulls last, then by a hash of the row.
 
-    Only keys take part in the choice; rows cross the network once, to meet the keys of those that go, and
-    are not sorted. Rows that are equal in every column count as copies of one another.
+    Rows are linked when their fingerprints differ in at most ``most_bits`` bits and their sketches say that
+    their shingles are similar. Only keys take part in the choice; rows cross the network once, to meet the keys
+    of those that go, and are not sorted. Rows that are equal in every column count as copies of one another.
     """
-    ensure_importable(docs.sparkSession)
     marked = docs.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            fps = np.array([fingerprint(x.as_py(), words_per_shingle) for x in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_tie"), pa.array(fps)], names=["doc_id", "_tie", "fp"])
-
-    keys = marked.select("doc_id", "_tie", "text").mapInArrow(run, "doc_id long, _tie long, fp long")
-    found = written(keys.withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tie")).select("key", "fp"), "fingerprints")
-    points = cut(found.groupBy("fp").agg(F.min("key").alias("first")))
-    labels = components(near_edges(points, most_bits))
-    rooted = points.join(labels, points["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_tie"))
+    found = written(fingerprints(marked.select(key.alias("key"), "text"), words_per_shingle, "key", sketched=True), "fingerprints")
+    # equal fingerprint and sketch: one point, whose number stays as it is once written
+    points = cut(found.groupBy("fp", "sketch").agg(F.min("key").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    labels = components(near_edges(points, most_bits, similarity)).select(F.col("node").alias("n"), "root")
+    rooted = points.join(labels, F.col("node") == F.col("n"), "left").select("fp", "sketch", "first", F.coalesce("root", "node").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("first").alias("stays"))
-    of = cut(rooted.select("fp", "root").join(stay, "root").select("fp", "stays"))
-    gone = written(found.join(of, "fp").filter("key <> stays").select(F.col("key.doc_id").alias("_id"), F.col("key._tie").alias("_gone")), "duplicates")
+    of = cut(rooted.select("fp", "sketch", "root").join(stay, "root").select("fp", "sketch", "stays"))
+    gone = written(found.join(of, ["fp", "sketch"]).filter("key <> stays").select(F.col("key.doc_id").alias("_id"), F.col("key._tie").alias("_gone")), "duplicates")
     kept = marked.join(gone.hint("shuffle_hash"), marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_tie"] == gone["_gone"]), "left_anti")
     same = written(found.groupBy("key").count().filter("count > 1").select(F.col("key.doc_id").alias("_id"), F.col("key._tie").alias("_same")), "equal-rows")
     columns = [F.col(f"`{c}`") for c in docs.columns]
