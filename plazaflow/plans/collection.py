@@ -35,7 +35,7 @@ def extract_dumps(spark: SparkSession, src: str, out: str, wanted: list[str], st
     todo = ledger.work_list(present, manifest(spark, out), redo)
     paths: dict[str, list[str]] = {}
     for r in todo.select("kind", "path").collect():  # a row a file: the calendar bounds it
-        paths.setdefault(r["kind"], []).append(r["path"].removeprefix("file:"))
+        paths.setdefault(r["kind"], []).append(r["path"])
     for k, found in sorted(paths.items(), reverse=True):
         lines = dumps.read_dumps(spark, found, limit_bytes)
         records = dumps.extract(lines, k, wanted).withColumn("month", dumps.name_parts(F.col("file"))["month"]).drop("line_no", "file")

@@ -2,8 +2,8 @@
 
 Such dumps are one zstd frame with a window of up to 2**31 bytes, which Spark's text reader refuses, so
 a Python data source reads them: a partition a file, in pieces of bounded size. A frame can't be
-entered in the middle; on a cluster the files are many. A file is listed and opened through Spark's own
-file reader when its path has a scheme, and from the local file system otherwise.
+entered in the middle; on a cluster the files are many. Spark lists the files; a path with a scheme is
+opened by pyarrow's file systems (hdfs, s3, gs and others), any other as a local file.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,13 @@ LINES = "file string, line_no bigint, value string, terminated boolean"
 LINE_SCHEMA = pa.schema([("file", pa.string()), ("line_no", pa.int64()), ("value", pa.string()), ("terminated", pa.bool_())])
 
 
+def _open(path: str) -> Any:
+    if "://" not in path:
+        return open(path.removeprefix("file:"), "rb")
+    system, inner = pafs.FileSystem.from_uri(path)
+    return system.open_input_stream(inner, compression=None)
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -55,7 +64,7 @@ class _Reader(DataSourceReader):
             first, number = number, number + len(lines)
             return pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(range(first, number), pa.int64()), values, pa.array([terminated] * len(lines))], schema=LINE_SCHEMA)
 
-        with open(partition.path, "rb") as raw, zstandard.ZstdDecompressor(max_window_size=WINDOW).stream_reader(raw, read_across_frames=True) as stream:
+        with _open(partition.path) as raw, zstandard.ZstdDecompressor(max_window_size=WINDOW).stream_reader(raw, read_across_frames=True) as stream:
             while piece := stream.read(PIECE):
                 taken += len(piece)
                 *lines, rest = (rest + piece).split(b"\n")

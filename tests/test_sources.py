@@ -18,7 +18,7 @@ def test_dump_with_a_long_window(spark, tmp_path):
     path = str(tmp_path / "RC_2024-01.zst")
     dumps.write_dump(path, [line(1, score="12.7"), "{bad", line(2, "other", crosspost=[{"subreddit": "memes"}]), line(3, "MEMES"), line(4)], last_newline=False, window_log=31)
     lines = dumps.read_dumps(spark, [path])
-    assert lines.count() == 5
+    assert lines.count() == 5 and dumps.read_dumps(spark, [f"file://{path}"]).count() == 5
     got = dumps.extract(lines, "comments", ["memes"]).orderBy("id").collect()
     assert [(r.id, r.subreddit, r.source, r.score) for r in got] == [("1", "Memes", "memes", 12), ("3", "MEMES", "memes", None), ("4", "Memes", "memes", None)]
     v = dumps.verdicts(lines, "comments", ["memes"]).first()
