@@ -9,6 +9,7 @@ from plazaflow.functions.months import month_grid
 from plazaflow.operators import ledger, sampling
 from plazaflow.operators.counts import best_counts, exact_counts
 from plazaflow.schemas import BATCH_TARGET, MANIFEST, SLOT_TARGET
+from plazaflow.session import written
 from plazaflow.sources import dumps, tables
 
 MANIFEST_DIR, PROBLEMS_DIR = "_manifest", "_problem_months"
@@ -53,7 +54,8 @@ def plan_samples(records: DataFrame, kind: str, seed: str, known: DataFrame | No
     """The sampling plan of all months of ``records``: counts from ``known`` where it has them, else exact ones."""
     exact = exact_counts(records, kind, ts)
     counts = exact if known is None else best_counts(exact.select("subreddit", "month"), [("totals", known), ("exact_count", exact)])
-    return sampling.plan_months(counts, SLOT_TARGET[kind], BATCH_TARGET[kind], seed if kind == "comments" else f"{seed}-posts")
+    # written, so that the counts are made once and Spark knows that the plan is small
+    return written(sampling.plan_months(counts, SLOT_TARGET[kind], BATCH_TARGET[kind], seed if kind == "comments" else f"{seed}-posts"), "sample-plan")
 
 
 def take_batch(records: DataFrame, plan: DataFrame, taken: DataFrame, batch: int, ts: str = "created_utc") -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plazaflow.functions import coerce, months, text
 from plazaflow.operators import clean, counts, dedup, ledger, profile, sampling
 from plazaflow.plans import surveys
-from plazaflow.session import table
+from plazaflow.session import table, written
 from plazaflow.sources import dumps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -444,7 +444,7 @@ SLOT, TARGET = 20, 300
 
 def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = comments(spark, d)
-    plan = sampling.plan_months(counts.exact_counts(c, "comments"), SLOT, TARGET, "S")
+    plan = written(sampling.plan_months(counts.exact_counts(c, "comments"), SLOT, TARGET, "S"), "sample-plan")
     return c, plan, sampling.counted_grid(c, plan)
 
 

@@ -1,9 +1,11 @@
-"""Session helpers shared by every part of the library."""
+"""Session helpers shared by every part of the library: tables, workers' imports, the shared folder."""
 
 from __future__ import annotations
 
 import os
 import sys
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,3 +31,40 @@ def ensure_importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
     if root not in sys.path:
         sys.path.append(root)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the session has one.
+
+    A folder of our own is made only where none is set, as in local tests.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="plazaflow-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+_made: list[str] = []
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder. Results read it lazily, so it stays until ``clean``."""
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what ``scratch`` has made, once no result that reads it is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` computed once and read from Parquet in the shared folder from then on: lineage is cut, lost executors do no
+    harm, and Spark knows the size when it plans what reads it."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
