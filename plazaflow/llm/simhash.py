@@ -288,7 +288,8 @@ def deduplicate(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = 7,
     their shingles are similar. Only keys take part in the choice; rows cross the network once, to meet the keys
     of those that go, and are not sorted. Rows that are equal in every column count as copies of one another.
     """
-    marked = docs.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(F.struct(*every).alias("_all"), "doc_id", "text", F.xxhash64(*every).alias("_tie"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_tie"))
     found = written(fingerprints(marked.select(key.alias("key"), "text"), words_per_shingle, "key", sketched=True), "fingerprints")
     # equal fingerprint and sketch: one point, whose number stays as it is once written
@@ -300,12 +301,11 @@ def deduplicate(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = 7,
     gone = written(found.join(of, ["fp", "sketch"]).filter("key <> stays").select(F.col("key.doc_id").alias("_id"), F.col("key._tie").alias("_gone")), "duplicates")
     kept = marked.join(gone.hint("shuffle_hash"), marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_tie"] == gone["_gone"]), "left_anti")
     same = written(found.groupBy("key").count().filter("count > 1").select(F.col("key.doc_id").alias("_id"), F.col("key._tie").alias("_same")), "equal-rows")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     if same.isEmpty():
-        return kept.select(*columns)
+        return kept.select("_all.*")
     equal = marked["doc_id"].eqNullSafe(same["_id"]) & (marked["_tie"] == same["_same"])
     once = kept.join(same, equal, "left_semi").dropDuplicates(["doc_id", "_tie"])
-    return kept.join(same, equal, "left_anti").unionByName(once).select(*columns)
+    return kept.join(same, equal, "left_anti").unionByName(once).select("_all.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def test_deduplicate(spark, docs):
     base = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(300)) for _ in range(6)]
     near = base[0].replace(base[0].split()[150], "other")
     rows = [(10, base[0]), (3, base[0]), (4, near), (5, base[1]), (6, base[2]), (None, base[3]), (8, None), (9, ""), (7, base[4]), (7, base[4]), (7, base[5])]
-    df = docs(rows).withColumnRenamed("source", "key")
+    df = docs(rows).withColumnRenamed("source", "_tie").withColumnRenamed("lang", "_id")
     got = S.deduplicate(df)
     assert got.columns == df.columns
     assert sorted((r.doc_id for r in got.collect()), key=repr) == sorted([3, 5, 6, None, 8, 7, 7], key=repr)
