@@ -11,8 +11,8 @@ DAY = 86_400
 
 
 def epoch_seconds(ts: Column) -> Column:
-    """Seconds of a timestamp without zone, taken as UTC."""
-    return F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts)
+    """Seconds of a timestamp without zone, taken as UTC; by its parts, none of which asks for the session's zone."""
+    return F.unix_date(ts.cast("date")).cast("bigint") * DAY + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def first_day(month: Column) -> Column:
@@ -29,7 +29,7 @@ def month_end(month: Column) -> Column:
 
 
 def month_of(epoch: Column) -> Column:
-    return F.date_format(F.date_from_unix_date(F.floor(epoch / DAY).cast("int")), "yyyy-MM")
+    return F.substring(F.date_from_unix_date(F.floor(epoch / DAY).cast("int")).cast("string"), 1, 7)
 
 
 def is_truncated(month: Column, last_ts: Column, days: int = 2) -> Column:

@@ -61,6 +61,6 @@ def plan_samples(records: DataFrame, kind: str, seed: str, known: DataFrame | No
 def take_batch(records: DataFrame, plan: DataFrame, taken: DataFrame, batch: int, ts: str = "created_utc") -> tuple[DataFrame, DataFrame]:
     """(rows of the batch, its entry for the plan). ``taken`` holds the entries of the batches before it."""
     grid = sampling.counted_grid(records, plan, ts)
-    chosen = sampling.next_batch(grid, plan, taken, batch)
+    chosen = written(sampling.next_batch(grid, plan, taken, batch), "chosen-slots")  # a small table: records meet it without a shuffle
     entry = chosen.groupBy("subreddit", "month").agg(F.lit(batch).alias("batch"), F.min("pos").alias("start_pos"), (F.max("pos") + 1).alias("end_pos"), F.sum("n").alias("rows"))
     return sampling.sample(records, plan, chosen, F.lit(batch), ts), entry

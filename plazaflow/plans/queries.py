@@ -457,7 +457,8 @@ def slot_sample_b1(spark: SparkSession, d: str) -> DataFrame:
 @query(f'WITH {_plan_sql(COMMENTS, "S", SLOT, TARGET)} SELECT s.id, s.subreddit, s.created_utc, CAST(1 AS SMALLINT) AS batch, "start" + r.slot * mins * 60 AS slot_start FROM slotted s JOIN run r USING (subreddit, month, slot) WHERE had < {TARGET}')
 def sample_rows(spark: SparkSession, d: str) -> DataFrame:
     c, plan, grid = _sampled(spark, d)
-    return sampling.sample(c.select("id", "subreddit", "created_utc"), plan, sampling.first_batch(grid), F.lit(1))
+    chosen = written(sampling.first_batch(grid), "chosen-slots")
+    return sampling.sample(c.select("id", "subreddit", "created_utc"), plan, chosen, F.lit(1))
 
 
 _BATCHES = f"""WITH RECURSIVE {_plan_sql(COMMENTS, "S", SLOT, TARGET)},

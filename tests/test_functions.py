@@ -93,3 +93,12 @@ def test_truncation_is_strict(spark):
     end = spark.range(1).select(months.month_end(F.lit("2024-01"))).first()[0] - 1
     last = [end - 2 * 86400 - 1, end - 2 * 86400, end - 2 * 86400 + 1, None]
     assert values(spark, [x and str(x) for x in last], lambda c: months.is_truncated(F.lit("2024-01"), c.cast("bigint"))) == [True, False, False, None]
+
+
+@pytest.mark.parametrize("ts", ["2024-03-10 02:30:00", "2024-07-01 00:00:00", "1969-12-31 23:59:59", "2024-11-03 01:30:00"])
+def test_epoch_does_not_ask_for_the_zone(spark, ts):
+    """The session is in New York, where some of these times do not exist or exist twice."""
+    from datetime import datetime, timezone
+
+    got = spark.range(1).select(months.epoch_seconds(F.expr(f"timestamp_ntz'{ts}'"))).first()[0]
+    assert got == int(datetime.fromisoformat(ts).replace(tzinfo=timezone.utc).timestamp())
