@@ -31,7 +31,9 @@ START, END, OTHER, REPEAT = range(4)
 #: Labelled documents that the model is trained on, at most, chosen by a hash of doc_id.
 TRUSTED = 20_000
 QUANTILE = 0.998
-#: A text's perplexity is drawn towards its language's mean as if it had so many more symbols of that mean.
+#: Discounts of the counts 1, 2 and more are no less than this: a small sample may show none, and unseen n-grams need their share.
+LEAST_DISCOUNT = 0.05
+#: A text's perplexity is drawn towards the mean of its language's good texts as if it had so many more symbols of that mean.
 PRIOR = 300
 
 
@@ -58,15 +60,23 @@ class Model:
 
 
 def trigrams(symbol: np.ndarray, text: str | None) -> np.ndarray:
+    """Codes of the trigrams of a text and its end; none for a text without words."""
     s = symbol[np.frombuffer(marked(text).encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
+    if not len(s):
+        return s
     s = np.concatenate([[START, START], s, [END]]).astype(np.int32)
     return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
 
 
-def trusted_rows(labels: DataFrame, most: int | None = None) -> DataFrame:
-    """doc_id of the documents labelled good and not toxic; of ``most`` of them by a hash of the id."""
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good if most is None else good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def good_rows(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents labelled good, toxic or not: toxicity is not what this classifier judges."""
+    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
+def trusted_rows(labels: DataFrame, most: int) -> DataFrame:
+    """doc_id of ``most`` of the documents labelled good and not toxic, by a hash of the id."""
+    clean = good_rows(labels.filter(F.coalesce("toxic", F.lit(0)) == 0))
+    return clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def _symbols(texts: DataFrame) -> np.ndarray:
@@ -92,7 +102,7 @@ def _stats(counts: DataFrame, by: list[str]) -> tuple[DataFrame, list[float]]:
     """Of each context: total and weight of the lower order; and the discounts of counts 1, 2 and more."""
     n1, n2, n3, n4 = (counts.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)])).first()
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    d = [min(max(0.0, i - (i + 1) * y * after / before), float(i)) if before else 0.0 for i, before, after in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    d = [min(max(LEAST_DISCOUNT, i - (i + 1) * y * after / before), float(i)) if before else LEAST_DISCOUNT for i, before, after in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
     weight = d[0] * F.count_if(F.col("n") == 1) + d[1] * F.count_if(F.col("n") == 2) + d[2] * F.count_if(F.col("n") >= 3)
     return counts.groupBy(*by).agg(F.sum("n").alias("total"), (weight / F.sum("n")).alias("g")), d
 
@@ -168,12 +178,11 @@ def _perplexity(mean: Column) -> Column:
 
 
 def limits(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """lang, mean (nll a symbol over all its documents) and threshold, over all rows; one row, ``ANY``, for any other language."""
-    with_any = scored.withColumn("lang", F.explode(F.array(F.coalesce("lang", F.lit(ANY)), F.lit(ANY)))).filter("n > 0")
-    means = with_any.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
-    good = scored.join(trusted_rows(labels), "doc_id", "left_semi")
-    good = good.withColumn("lang", F.explode(F.array_distinct(F.array(F.coalesce("lang", F.lit(ANY)), F.lit(ANY))))).join(means, "lang")
-    found = good.groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx(_perplexity(F.col("mean")), quantile, 10_000).alias("threshold"))
+    """lang, mean (nll a symbol) and threshold over all documents labelled good; one row, ``ANY``, over those of all languages."""
+    good = scored.join(good_rows(labels), "doc_id", "left_semi").filter("n > 0")
+    good = cut(good.withColumn("lang", F.explode(F.array_distinct(F.array(F.coalesce("lang", F.lit(ANY)), F.lit(ANY))))))
+    means = good.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
+    found = good.join(means, "lang").groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx(_perplexity(F.col("mean")), quantile, 10_000).alias("threshold"))
     return written(found, "quality-limits")
 
 
@@ -191,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRUSTED, quantile: float
 def classify(docs: DataFrame, labels: DataFrame, most: int = TRUSTED, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold and keep of every row of ``docs(doc_id, text, lang)``.
 
-    A null, empty or blank text has one symbol, its end, and so about its language's mean perplexity: it
+    A null, empty or blank text has no symbols, and so the mean perplexity of good texts in its language: it
     is kept. A language without trusted text, or null, is held to the limits of all languages together.
     Rows that repeat are each judged. Without a document labelled good there is no model: all rows are kept,
     with null figures. Other columns are ignored.
