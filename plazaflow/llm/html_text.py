@@ -31,7 +31,8 @@ MIN_PAGES = 5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that do not part the text around them.
+INLINE = frozenset("script style noscript template a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED_TAGS = frozenset("head title script style noscript template iframe object svg canvas nav footer aside form button select textarea input dialog menu xmp noembed noframes".split())
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies share sharing social related recommended footer pagination pager toolbar".split()
@@ -50,26 +51,26 @@ _NAME = re.compile(r"[^a-z0-9]+")
 class Page:
     """Blocks of text and elements of a page.
 
-    blocks: [text, element]; parent, tag, drop (deleted by its name), digest: of each element; 0 is the page itself.
+    blocks: of each its pieces, (text, element); parent, tag, drop (deleted by its name), digest: of each element; 0 is
+    the page itself.
     """
 
     def __init__(self, source: str):
         self.tag, self.parent, self.drop = ["#page"], [-1], [False]
         self.digest: list[int] = [0]
-        self.blocks: list[tuple[str, int]] = []
+        self.blocks: list[list[tuple[str, int]]] = []
         self.main: list[int] = []
         self._state = [xxhash.xxh64()]
         self._open = [0]
-        self._words: list[str] = []
+        self._pieces: list[tuple[str, int]] = []
         self._read(source)
         while self._open:
             self._close()
 
     def _flush(self) -> None:
-        text = " ".join("".join(self._words).split())
-        if text:
-            self.blocks.append((text, self._open[-1]))
-        self._words.clear()
+        if self._pieces:
+            self.blocks.append(self._pieces)
+            self._pieces = []
 
     def _close(self) -> None:
         e = self._open[-1]
@@ -96,7 +97,9 @@ class Page:
     def _text(self, raw: str) -> None:
         if raw:
             text = _html.unescape(raw) if "&" in raw else raw
-            self._words.append(text)
+            e = self._open[-1]
+            if not self.drop[e]:
+                self._pieces.append((text, e))
             bare = text.strip()
             if bare:
                 self._state[-1].update(b"\2" + bare.encode("utf-8", "replace"))
@@ -111,7 +114,8 @@ class Page:
                 self._close_to(e)
             self._flush()
         elif tag in ("br", "wbr"):
-            self._words.append(" " if tag == "br" else "")
+            if tag == "br":
+                self._pieces.append((" ", self._open[-1]))
             return
         if tag in VOID:
             return
@@ -161,7 +165,7 @@ class Page:
                 if e is not None and e:
                     self._close_to(e)
                 elif name == "br":
-                    self._words.append(" ")
+                    self._pieces.append((" ", self._open[-1]))
             elif name in RAW:
                 end = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(source, at)
                 self._start(name, m[3])
@@ -205,7 +209,8 @@ class Page:
             up = self.parent[e]
             gone[e] = gone[up] or self.drop[e] or (e in may and self.digest[e] in template)
             kept[e] = kept[up] or e in content
-        return "\n".join(t for t, e in self.blocks if kept[e] and not gone[e])
+        blocks = (" ".join("".join([t for t, e in pieces if kept[e] and not gone[e]]).split()) for pieces in self.blocks)
+        return "\n".join(filter(None, blocks))
 
 
 def _signed(x) -> np.ndarray:
