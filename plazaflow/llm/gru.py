@@ -106,17 +106,29 @@ class GRU:
                 total[group[:live]] += np.bincount(lane, lp.astype(np.float64), minlength=live)
         return total
 
-    def train(self, docs: list[np.ndarray], epochs: int = 2, lanes: int = 48, window: int = 24, rate: float = 0.01) -> list[float]:
-        """Fit by Adam; returns the mean loss of each update. Documents follow one another in lanes."""
+    def start_from_counts(self, docs: list[np.ndarray]) -> None:
+        """Set the output biases to the frequencies of the tokens, so that training begins where counting ends."""
+        n = np.bincount(np.concatenate(docs), minlength=START)[:START] + 0.5
+        words = n[:WORDS].reshape(-1, INNER)
+        self.params["wb"] = np.log(words / words.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.params["cb"] = np.log(np.concatenate([words.sum(axis=1), n[WORDS:]]) / n.sum()).astype(np.float32)
+
+    def train(self, docs: list[np.ndarray], updates: int = 800, lanes: int = 48, window: int = 24, rate: float = 0.01) -> list[float]:
+        """Fit by Adam, over all documents twice at least and twelve times at most; returns the mean loss of each update.
+
+        Documents follow one another in lanes.
+        """
         docs = [d for d in docs if len(d)]
         if not docs:
             return []
+        self.start_from_counts(docs)
         lanes = max(1, min(lanes, sum(map(len, docs)) // (4 * window)))
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
         s = {k: np.zeros_like(v) for k, v in self.params.items()}
         losses: list[float] = []
         rng = np.random.default_rng(7)
         per_epoch = max(1, sum(map(len, docs)) // (lanes * window))
+        epochs = min(12, max(2, -(-updates // per_epoch)))
         for _ in range(epochs):
             flat = [docs[i] for i in rng.permutation(len(docs))]
             target = np.concatenate(flat)
