@@ -159,3 +159,33 @@ def test_live_counts(spark, tmp_path):
     q = live_counts(stream).writeStream.outputMode("update").format("memory").queryName("live").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.sql("select * from live").collect()) == [1, 2]
+
+
+def test_archive_as_a_data_source(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            p = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
+            rows = [{"id": f"{p['subreddit']}{i}", "created_utc": str(JAN + i), "score": "3.9", "over_18": "1", "subreddit": p["subreddit"], "extra": 1} for i in range(250)]
+            found = [r for r in rows if int(p["after"]) <= int(r["created_utc"]) < int(p["before"])][: int(p["limit"])]
+            body = json.dumps({"data": found}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        df = http.read_archive(spark, f"http://127.0.0.1:{server.server_port}", "submissions", [("a", JAN, JAN + 1000), ("b", JAN + 10, JAN + 20)], min_interval=0)
+        got = df.collect()
+    finally:
+        server.shutdown()
+    assert sorted(r.id for r in got if r.subreddit == "b") == sorted(f"b{i}" for i in range(10, 20))
+    assert len({r.id for r in got}) == len(got) == 260
+    assert {(r.score, r.over_18, r.title) for r in got} == {(3, True, None)}
