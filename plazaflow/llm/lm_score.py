@@ -18,6 +18,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -119,21 +120,31 @@ class Tables:
         return self.n + 0.5 * (self.v + 1)
 
 
-def _tokens(tables: Tables, text: str | None) -> tuple[np.ndarray, np.ndarray, Counter[bytes]]:
-    """(the network's tokens, places of frequent words, other words) of a text and its end."""
+Rare = tuple[list[bytes], list[int], list[int]]
+
+
+def _tokens(tables: Tables, text: str | None) -> tuple[np.ndarray, np.ndarray, Rare]:
+    """The network's tokens and the places of frequent words of a text and its end; and its other words with their counts and shapes."""
     got = (text or "").encode("utf-8", "replace").lower().split()
     got.append(b"")
-    find = tables.index.get
-    place = np.array([find(w, -1) for w in got], np.int64)
-    rare = np.flatnonzero(place < 0).tolist()
+    place = np.fromiter(map(tables.index.get, got, repeat(-1)), np.int64, len(got))
+    rare = np.flatnonzero(place < 0)
     token = tables.token[place] if len(tables.token) else np.zeros(len(got), np.int64)
-    other: Counter[bytes] = Counter()
-    if rare:
-        missing = [got[i] for i in rare]
-        other.update(missing)
-        kind = {w: WORDS + (shape(w.decode()) if w else 0) for w in other}
-        token[rare] = [kind[w] for w in missing]
-    return token, place[place >= 0], other
+    if not len(rare):
+        return token, place, ([], [], [])
+    missing = [got[i] for i in rare.tolist()]
+    other = Counter(missing)
+    shapes = {w: shape(w.decode()) if w else 0 for w in other}
+    token[rare] = WORDS + np.fromiter(map(shapes.__getitem__, missing), np.int64, len(missing))
+    return token, place[place >= 0], (list(other), list(other.values()), list(shapes.values()))
+
+
+def _rare_column(rare: list[Rare]) -> pa.Array:
+    """The other words of each text as lists of structs."""
+    ends = np.cumsum([0, *(len(w) for w, _, _ in rare)]).astype(np.int32)
+    words, counts, shapes = ([x for r in rare for x in r[i]] for i in range(3))
+    kinds = pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int32()), pa.array(shapes, pa.int32())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(kinds, names=["word", "n", "shape"]))
 
 
 _ROWS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word:string,n:int,shape:int>>"
@@ -160,7 +171,7 @@ def _scorer(shipped):
                     pa.array([len(p) for _, p, _ in found], pa.int64()),
                     pa.array([tables.base[p].sum() for _, p, _ in found], pa.float64()),
                     pa.array(model, pa.float64()),
-                    pa.array([[{"word": w.decode(), "n": n, "shape": shape(w.decode()) if w else 0} for w, n in o.items()] for _, _, o in found], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32()), ("shape", pa.int32())]))),
+                    _rare_column([r for _, _, r in found]),
                 ],
                 names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"],
             )
