@@ -35,7 +35,7 @@ PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 18
 MAGIC = b"PFB1"
 #: Distinct words whose ids a worker remembers; others are encoded again when they come back.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 
 SEGMENTS = "shard int, seq int, start long, n_ids long, doc_ids array<long>, payload binary"
 
