@@ -111,16 +111,11 @@ class ShardTable:
         old = self.manifest().filter(F.col("tier").isin(tiers))
         merged = [r["path"] for r in old.select("path").collect()]
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        conf = self.spark.conf
-        held = {k: conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")}
-        try:
-            conf.set("spark.sql.files.maxPartitionBytes", str(self.sizes.target))
-            conf.set("spark.sql.files.openCostInBytes", "0")
-            conf.set("spark.sql.files.minPartitionNum", "1")
-            self.spark.read.parquet(*merged).write.option("compression", "zstd").parquet(folder)
-        finally:
-            for k, v in held.items():
-                conf.set(k, v) if v is not None else conf.unset(k)
+        packer = self.spark.newSession()  # its settings are its own: files are packed by size into partitions, each of which is written as one
+        packer.conf.set("spark.sql.files.maxPartitionBytes", str(self.sizes.target))
+        packer.conf.set("spark.sql.files.openCostInBytes", "0")
+        packer.conf.set("spark.sql.files.minPartitionNum", "1")
+        packer.read.parquet(*merged).write.option("compression", "zstd").parquet(folder)
         own = self._shards(folder)
         gone = self.spark.createDataFrame([(p,) for p in merged], "path string")
         while True:
