@@ -12,6 +12,8 @@ from collections.abc import Callable
 import numpy as np
 
 LONGEST = 48
+#: Bytes that are hashed at once; tables of powers are as long.
+PIECE = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -19,7 +21,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 def _powers(base: int, n: int, held: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
     if len(held.get(base, ())) < n:
-        factors = np.full(max(n, 1 << 20), base, np.uint64)
+        factors = np.full(max(n, PIECE + 1), base, np.uint64)
         factors[0] = 1
         held[base] = np.cumprod(factors)
     return held[base][:n]
@@ -42,6 +44,22 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+WHITE = b" \t\n\x0b\x0c\r"
+
+
+def cut_between_words(text: bytes) -> list[bytes]:
+    """Pieces of ``PIECE`` bytes at most, but for words that are longer, each of which is a piece of its own."""
+    out = []
+    while len(text) > PIECE:
+        at = max(text.rfind(c, 0, PIECE) for c in (WHITE[i : i + 1] for i in range(len(WHITE)))) + 1
+        if not at:  # the piece starts with a long word
+            found = [i for c in range(len(WHITE)) if (i := text.find(WHITE[c : c + 1])) >= 0]
+            at = min(found, default=len(text))
+        out.append(text[:at])
+        text = text[at:]
+    return [*out, text]
+
+
 class WordTable:
     """encode_words: ids of each word of a list, as (flat ids, number of ids of each). most: words kept."""
 
@@ -90,7 +108,27 @@ class WordTable:
             at[left] = (at[left] + 1) & (len(self.slots) - 1)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text, by pieces of ``PIECE`` bytes at most that end between words."""
+        parts = [cut_between_words(t) for t in texts]
+        flat = [p for ps in parts for p in ps]
+        done: list[np.ndarray] = []
+        lo = 0
+        while lo < len(flat):
+            hi, size = lo + 1, len(flat[lo])
+            while hi < len(flat) and size + len(flat[hi]) + 1 <= PIECE:
+                size, hi = size + len(flat[hi]) + 1, hi + 1
+            if size > PIECE:  # a word longer than that
+                done.append(self.encode_words([flat[lo].strip(WHITE)])[0])
+            else:
+                done += self._encode(flat[lo:hi])
+            lo = hi
+        out, at = [], 0
+        for ps in parts:
+            out.append(done[at] if len(ps) == 1 else np.concatenate(done[at : at + len(ps)]))
+            at += len(ps)
+        return out
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         data = np.frombuffer(b"\n".join(texts), np.uint8)
         starts, ends = spans(data)
         limits = np.cumsum([len(t) + 1 for t in texts])

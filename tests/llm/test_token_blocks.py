@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plazaflow.llm import token_blocks as T
+from plazaflow.llm import word_table
 from plazaflow.llm.word_table import WordTable
 
 VOCABULARY = P.path("word_bpe_49k.json")
@@ -85,3 +86,15 @@ def test_written_and_read(spark, docs, tokenizer, tmp_path, segment_ids):
 def test_empty_table(spark, docs, tmp_path):
     T.write_tokens(docs([]), str(tmp_path / "t"), VOCABULARY)
     assert T.read_tokens(spark, str(tmp_path / "t")).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\tcdéfghij", max_size=80), max_size=4))
+def test_long_texts_go_by_pieces(tokenizer, texts):
+    held, word_table.PIECE = word_table.PIECE, 12
+    try:
+        assert all(b"".join(word_table.cut_between_words(t.encode())) == t.encode() for t in texts)
+        got = T.word_encoder(VOCABULARY).encode(texts)
+        assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    finally:
+        word_table.PIECE = held
