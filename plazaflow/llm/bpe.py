@@ -108,6 +108,24 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+#: Characters of a text that are split into pre-tokens at once.
+PIECE = 1 << 20
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces of about ``PIECE`` characters, cut before single blanks between other characters: a pre-token always starts there."""
+    at = 0
+    while len(text) - at > PIECE:
+        cut = text.rfind(" ", at + 1, at + PIECE)
+        while cut > at and (text[cut - 1].isspace() or text[cut + 1].isspace()):
+            cut = text.rfind(" ", at + 1, cut)
+        if cut <= at:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 class Codec:
     def __init__(self, tokens: list[bytes], pattern: str, table: PerfectHash | None = None):
         import regex
@@ -117,13 +135,23 @@ class Codec:
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.fresh: list[str] = []  # of the known words those beyond the number that is remembered
 
     def pre_token(self, word: bytes) -> list[int]:
         found = self.table.find(word)
         return [found] if found >= 0 else merge(word, self.ranks)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        known, out, fresh = self.known, [], []
+        out = []
+        for text in texts:
+            if text and len(text) > PIECE:
+                out.append(np.concatenate([ids for piece in pieces(text) for ids in self._encode([piece])]))
+            else:
+                out += self._encode([text])
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        known, out = self.known, []
         for text in texts:
             words = self.split(text) if text else []
             try:
@@ -132,15 +160,14 @@ class Codec:
                 for w in words:
                     if w not in known:
                         known[w] = np.array(self.pre_token(w.encode()), "<u4").tobytes()
-                        fresh.append(w)
+                        if len(known) > REMEMBERED:
+                            self.fresh.append(w)
                 ids = b"".join(map(known.__getitem__, words))
             out.append(np.frombuffer(ids, "<u4"))
-            if len(known) > REMEMBERED + 50_000:
-                for w in fresh:
+            if len(self.fresh) > 50_000:
+                for w in self.fresh:
                     del known[w]
-                fresh = []
-            elif len(known) <= REMEMBERED:
-                fresh = []
+                self.fresh.clear()
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -64,3 +64,14 @@ def test_rows(docs, library):
     whole = bpe.round_trip(docs(pairs), RANKS, P.PATTERN, texts=True)
     assert {(r.doc_id, r.text, len(r.ids)) for r in whole.collect()} == {(i, t or "", len(library.encode_ordinary(t or ""))) for i, t in pairs}
     assert bpe.round_trip(docs([]), RANKS, P.PATTERN, texts=True).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab \n,'s\u00a0é1", max_size=120))
+def test_long_texts_go_by_pieces(codec, library, text):
+    held, bpe.PIECE = bpe.PIECE, 10
+    try:
+        assert "".join(bpe.pieces(text)) == text
+        assert codec.encode([text])[0].tolist() == library.encode_ordinary(text)
+    finally:
+        bpe.PIECE = held
