@@ -13,10 +13,16 @@ tasks. What leaves an anchor is a spanning forest, never all pairs.
 
 A pair can be held to a similarity besides: each point then carries a sketch of its shingles, the smallest
 hash of each of 64 ranges in a byte, by which the Jaccard similarity is estimated (standard error 0.05 at 0.8).
+
+``deduplicate`` links by the similarity itself. Two sets of shingles of a Jaccard similarity of t or more
+share one of the first n - ceil(t n) + 1 of their n shingles in any order that is the same for all sets, so texts that
+meet at such a shingle are candidates, as are near fingerprints, and no pair is missed. Candidates are held to
+the similarity of their whole sets. The order is by the counts of buckets of shingles: common ones come last.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +40,10 @@ THRESHOLD = 4
 GROUP = 16_384
 PAIRS = 1 << 21
 SKETCH = 64
+#: Buckets of shingles whose counts order them, and points that a task remembers.
+BUCKETS, SEEN = 1 << 16, 1 << 19
+#: Shingles of a component beyond which it is cut into chunks.
+SHINGLES = 1 << 20
 
 
 def shingle_hashes(text: str | None, words_per_shingle: int) -> bytes:
@@ -281,24 +291,195 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, most_bits: int
     return found.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(hashes: bytes) -> np.ndarray:
+    """The different hashes, sorted."""
+    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+
+
+def _node(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 7)
+
+
+def _points(words_per_shingle: int):
+    """Fingerprint, a hash of the set of shingles, which is the number of the point, and the size of the set, of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            hashes = [shingle_hashes(x.as_py(), words_per_shingle) for x in b.column("text")]
+            sets = [shingle_set(h) for h in hashes]
+            fps, nodes = (np.array(v, np.uint64).view(np.int64) for v in ([fingerprint(h) for h in hashes], [_node(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(fps), pa.array(nodes), pa.array(map(len, sets), pa.int64())], names=["key", "fp", "node", "n"])
+
+    return run
+
+
+def _bucket_counts(words_per_shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in chunks(batches):
+            h = np.frombuffer(b"".join([shingle_hashes(x.as_py(), words_per_shingle) for x in b.column("text")]), ">u8")
+            total += np.bincount((h % BUCKETS).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+    return run
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of a set of which it shares one with any set that is similar; rare ones first."""
+    n = len(shingles)
+    order = np.lexsort((shingles, counts[(shingles % np.uint64(BUCKETS)).astype(np.int64)]))
+    return shingles[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def _prefixes(shipped, words_per_shingle: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = shipped.value, set()
+        for b in chunks(batches):
+            tokens, nodes, sizes = [], [], []
+            for t in b.column("text"):
+                x = shingle_set(shingle_hashes(t.as_py(), words_per_shingle))
+                node = _node(x)
+                if node in seen or not len(x):
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(node)  # copies that this task meets later would say the same
+                tokens.append(prefix(x, counts, similarity))
+                nodes.append(node)
+                sizes.append(len(x))
+            if nodes:
+                m = [len(t) for t in tokens]
+                columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.uint64).view(np.int64), m), np.repeat(np.array(sizes, np.int32), m)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "size"])
+
+    return run
+
+
+def _chains(similarity: float):
+    """Edges between neighbours by size among the rows of a token, sorted by token and size, unless one is too small for the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[np.ndarray] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            here = [b.column(c).to_numpy(zero_copy_only=False) for c in ("token", "node", "size")]
+            token, node, size = (np.concatenate(v) for v in zip(last, here, strict=True)) if last else here
+            last = [v[-1:] for v in here]
+            linked = np.flatnonzero((token[1:] == token[:-1]) & (node[1:] != node[:-1]) & (size[:-1] >= similarity * size[1:] - 1e-6))
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[linked + 1])], names=["a", "b"])
+
+    return run
+
+
+def similar_sets(sets: list[np.ndarray], counts: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of all pairs of sorted sets whose Jaccard similarity is ``similarity`` or more."""
+    fronts = [prefix(x, counts, similarity) for x in sets]
+    token = np.unique(np.concatenate(fronts), return_inverse=True)[1].astype(np.int32)
+    shared = np.bincount(token) > 1
+    fronts = [f[shared[f]] for f in np.split(token, np.cumsum([len(f) for f in fronts])[:-1])]
+    at: dict[int, list[int]] = {}
+    for i, front in enumerate(fronts):
+        for t in front.tolist():
+            at.setdefault(t, []).append(i)
+    waiting = [True] * len(sets)
+    for root in range(len(sets)):
+        if not waiting[root]:
+            continue
+        waiting[root] = False
+        reached = [root]
+        while reached:
+            i = reached.pop()
+            others = set()
+            for t in fronts[i].tolist():
+                at[t] = [j for j in at[t] if waiting[j]]
+                others.update(at[t])
+            x, n = sets[i], len(sets[i])
+            for j in others:
+                y = sets[j]
+                m = len(y)
+                if min(n, m) < similarity * max(n, m) - 1e-6:
+                    continue
+                both = int((x[np.minimum(np.searchsorted(x, y), n - 1)] == y).sum())
+                if both / (n + m - both) >= similarity:
+                    waiting[j] = False
+                    reached.append(j)
+                    yield i, j
+
+
+def _verified(shipped, words_per_shingle: int, similarity: float):
+    """Edges of texts with similar sets from rows sorted by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shipped.value
+        group, nodes, sets = None, [], []
+
+        def edges() -> pa.RecordBatch:
+            found = np.array(list(similar_sets(sets, counts, similarity)), np.int64).reshape(-1, 2)
+            node = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], names=["a", "b"])
+
+        for b in chunks(batches):
+            for g, node, x in zip(*(b.column(c).to_pylist() for c in ("group", "node", "text")), strict=True):
+                if g != group:
+                    if len(nodes) > 1:
+                        yield edges()
+                    group, nodes, sets = g, [], []
+                nodes.append(node)
+                sets.append(shingle_set(shingle_hashes(x, words_per_shingle)))
+        if len(nodes) > 1:
+            yield edges()
+
+    return run
+
+
+def similar_edges(keyed: DataFrame, found: DataFrame, words_per_shingle: int, most_bits: int, similarity: float) -> DataFrame:
+    """Edges (a, b) among the nodes of ``found(key, fp, node, n)`` that connect all whose texts in ``keyed(key, text)`` are similar.
+
+    Sets of shingles are made anew where they are needed: they take more room than the texts.
+    """
+    buckets = keyed.select("text").mapInArrow(_bucket_counts(words_per_shingle), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in buckets.collect():
+        counts[r["bucket"]] = r["n"]
+    shipped = keyed.sparkSession.sparkContext.broadcast(counts)
+    tokens = keyed.select("text").mapInArrow(_prefixes(shipped, words_per_shingle, similarity), "token long, node long, size int")
+    chains = tokens.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_chains(similarity), "a long, b long")
+    near = near_edges(cut(found.select("node", "fp").distinct()), most_bits)
+    labels = components(chains.unionAll(near))
+    labels = labels.unionAll(labels.select(F.col("root").alias("node"), "root").distinct())
+    # one copy of each set that has a candidate; large components fall into chunks that meet pairwise
+    first = labels.join(found.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n")), "node")
+    sizes = first.groupBy("root").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("c"))
+    members = written(first.join(sizes, "root").select("key", "node", "root", "c"), "candidates")
+    split = keyed.join(members, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    split = split.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    group = F.when(F.col("c") == 1, F.col("root")).otherwise(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")))
+    dealt = split.select(group.alias("group"), "node", "text").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(_verified(shipped, words_per_shingle, similarity), "a long, b long")
+
+
 def deduplicate(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = 7, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component: the first by doc_id, nulls last, then by a hash of the row.
 
-    Rows are linked when their fingerprints differ in at most ``most_bits`` bits and their sketches say that
-    their shingles are similar. Only keys take part in the choice; rows cross the network once, to meet the keys
+    Rows are linked when the Jaccard similarity of their sets of shingles is ``similarity`` or more; every such pair
+    is found. Only keys take part in the choice; rows cross the network once, to meet the keys
     of those that go, and are not sorted. Rows that are equal in every column count as copies of one another.
     """
+    ensure_importable(docs.sparkSession)
     every = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.select(F.struct(*every).alias("_all"), "doc_id", "text", F.xxhash64(*every).alias("_tie"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_tie"))
-    found = written(fingerprints(marked.select(key.alias("key"), "text"), words_per_shingle, "key", sketched=True), "fingerprints")
-    # equal fingerprint and sketch: one point, whose number stays as it is once written
-    points = cut(found.groupBy("fp", "sketch").agg(F.min("key").alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    labels = components(near_edges(points, most_bits, similarity)).select(F.col("node").alias("n"), "root")
-    rooted = points.join(labels, F.col("node") == F.col("n"), "left").select("fp", "sketch", "first", F.coalesce("root", "node").alias("root"))
+    keyed = marked.select(key.alias("key"), "text")
+    kind = keyed.schema["key"].dataType.simpleString()
+    # equal sets: one point
+    found = written(keyed.mapInArrow(_points(words_per_shingle), f"key {kind}, fp long, node long, n long"), "fingerprints")
+    labels = components(similar_edges(keyed, found, words_per_shingle, most_bits, similarity)).select(F.col("node").alias("n"), "root")
+    points = found.groupBy("node").agg(F.min("key").alias("first"))
+    rooted = points.join(labels, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("first").alias("stays"))
-    of = cut(rooted.select("fp", "sketch", "root").join(stay, "root").select("fp", "sketch", "stays"))
-    gone = written(found.join(of, ["fp", "sketch"]).filter("key <> stays").select(F.col("key.doc_id").alias("_id"), F.col("key._tie").alias("_gone")), "duplicates")
+    of = cut(rooted.select("node", "root").join(stay, "root").select("node", "stays"))
+    gone = written(found.select("key", "node").join(of, "node").filter("key <> stays").select(F.col("key.doc_id").alias("_id"), F.col("key._tie").alias("_gone")), "duplicates")
     kept = marked.join(gone.hint("shuffle_hash"), marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_tie"] == gone["_gone"]), "left_anti")
     same = written(found.groupBy("key").count().filter("count > 1").select(F.col("key.doc_id").alias("_id"), F.col("key._tie").alias("_same")), "equal-rows")
     if same.isEmpty():

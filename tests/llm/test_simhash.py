@@ -122,3 +122,39 @@ def test_unlike_texts_of_near_fingerprints_stay(spark, docs, monkeypatch):
     monkeypatch.setattr(S, "fingerprint", lambda h: len(h) % 2)  # all within one bit
     rows = [(i, " ".join(f"{i}-{j}" for j in range(60 + i))) for i in range(5)]
     assert S.deduplicate(docs(rows).coalesce(1)).count() == 5
+
+
+def slow_keepers(rows, least=0.8):
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= least:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return sorted(rows[i][0] for i in range(len(rows)) if top(i) == i)
+
+
+@pytest.mark.parametrize(("shingles", "seen"), [(1 << 20, 1 << 19), (500, 5)])
+def test_deduplicate_equals_brute_force(spark, docs, monkeypatch, shingles, seen):
+    monkeypatch.setattr(S, "SHINGLES", shingles, raising=False)  # 500: components are cut into chunks
+    monkeypatch.setattr(S, "SEEN", seen, raising=False)
+    rng = random.Random(5)
+    rows = []
+    for _ in range(25):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([6, 14, 50, 300]))]
+        for _ in range(rng.choice([1, 3, 6, 12])):
+            copy = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 30)):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
+            if rng.random() < 0.3:
+                copy += [f"t{rng.randrange(10**6)}" for _ in range(rng.randrange(1 + len(words) // 4))]
+            rows.append((len(rows), " ".join(copy)))
+    far = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8 and (slow_fingerprint(rows[i][1], 5) ^ slow_fingerprint(rows[j][1], 5)).bit_count() > 7]
+    assert far
+    assert sorted(r.doc_id for r in S.deduplicate(docs(rows).repartition(3)).collect()) == slow_keepers(rows)
