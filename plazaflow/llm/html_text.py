@@ -38,6 +38,9 @@ DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies share sharing social related recommended footer pagination pager toolbar".split()
 )
 OUTSIDE_NAMES = frozenset(["header", "masthead"])
+#: What a name of several parts may hold besides names of boilerplate: ``ad-slot``, but not ``no-comments`` or ``related-work``.
+HOLDERS = frozenset("area bar block bottom box col column container content group holder inner item items left link links list outer panel right row section site slot slots top unit widget widgets wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: A start tag of the first closes an open element of the second, unless one of the third stands between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -48,15 +51,24 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _NAME = re.compile(r"[^a-z0-9]+")
 
 
+def _boilerplate(value: str, names: frozenset[str]) -> bool:
+    """Whether one of the names of a class or id says boilerplate with all of its parts."""
+    for name in value.split():
+        parts = set(filter(None, _NAME.split(name)))
+        if not parts.isdisjoint(names) and parts <= names | HOLDERS:
+            return True
+    return False
+
+
 class Page:
     """Blocks of text and elements of a page.
 
-    blocks: of each its pieces, (text, element); parent, tag, drop (deleted by its name), digest: of each element; 0 is
+    blocks: of each its pieces, (text, element); parent, tag, drop (deleted by its name or with one that holds it), digest: of each element; 0 is
     the page itself.
     """
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.drop = ["#page"], [-1], [False]
+        self.tag, self.parent, self.drop, self._weak = ["#page"], [-1], [False], [False]
         self.digest: list[int] = [0]
         self.blocks: list[list[tuple[str, int]]] = []
         self.main: list[int] = []
@@ -66,6 +78,20 @@ class Page:
         self._read(source)
         while self._open:
             self._close()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Pass drops on to what elements hold; those that are weak spare an element that holds an article or main."""
+        strong = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            strong[e] = strong[self.parent[e]] or (self.drop[e] and not self._weak[e])
+        for e in self.main:
+            if not strong[e]:
+                for up in self.above(e):
+                    self.drop[up] = False
+        for e in range(1, len(self.tag)):
+            self.drop[e] |= self.drop[self.parent[e]]
+        self.main = [e for e in self.main if not self.drop[e]]
 
     def _flush(self) -> None:
         if self._pieces:
@@ -98,8 +124,7 @@ class Page:
         if raw:
             text = _html.unescape(raw) if "&" in raw else raw
             e = self._open[-1]
-            if not self.drop[e]:
-                self._pieces.append((text, e))
+            self._pieces.append((text, e))
             bare = text.strip()
             if bare:
                 self._state[-1].update(b"\2" + bare.encode("utf-8", "replace"))
@@ -119,27 +144,27 @@ class Page:
             return
         if tag in VOID:
             return
-        drop, named = tag in DROPPED_TAGS, ""
+        drop, weak, named = tag in DROPPED_TAGS and tag != "form", tag == "form", ""
         inside = any(self.tag[e] in ("article", "main") for e in self._open)
         if attrs:
             for m in _ATTR.finditer(attrs):
                 value = (m[2] or m[3] or m[4] or "").lower()
                 kind = m[1].lower()
                 named += f"{kind}={value};"
-                names = _NAME.split(value)
                 if tag in ("html", "body", "article", "main"):
                     drop |= kind == "role" and value in DROPPED_ROLES
                 elif kind == "role":
                     drop |= value in DROPPED_ROLES
-                else:
-                    drop |= not DROPPED_NAMES.isdisjoint(names) or (not inside and not OUTSIDE_NAMES.isdisjoint(names))
+                elif kind == "class" or tag not in HEADINGS:  # the id of a heading is a place to link to
+                    weak |= _boilerplate(value, DROPPED_NAMES if inside else DROPPED_NAMES | OUTSIDE_NAMES)
         drop |= tag == "header" and not inside
         k = len(self.tag)
         self.tag.append(tag)
         self.parent.append(self._open[-1])
-        self.drop.append(drop or self.drop[self._open[-1]])
+        self.drop.append(drop or weak)
+        self._weak.append(not drop)
         self.digest.append(0)
-        if not self.drop[k] and (tag in ("article", "main") or "role=main;" in named):
+        if tag in ("article", "main") or "role=main;" in named:
             self.main.append(k)
         self._state.append(xxhash.xxh64(f"{tag};{named}".encode("utf-8", "replace")))
         self._open.append(k)

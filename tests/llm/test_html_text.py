@@ -66,3 +66,19 @@ def test_nulls_and_repeats(spark):
     got = sorted(((r.page_id, r.n_chars) for r in H.extract(df).collect()), key=repr)
     assert got == sorted([(1, 1), (1, 1), (2, 0), (None, 0), (3, 249_999)], key=repr)
     assert H.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div class='layout has-sidebar'><article>a</article></div>", "a"),
+        ("<div id=no-comments><main>a</main></div>", "a"),
+        ("<div class=sidebar><article>a<div class=ad>no</div></article></div>", "a"),
+        ("<form id=aspnetForm><nav>no</nav><article>a</article></form>", "a"),
+        ("<article><section id=related-work>a</section><div class=social-science>b</div><h2 id=comments>c</h2></article>", "a\nb\nc"),
+        ("<aside class=x><div class=related><article>no</article></div></aside><p>a", "a"),
+        ("<div class=related><p>no</div><div class='top ad-box'>no</div><form>no</form><p>a", "a"),
+    ],
+)
+def test_names_of_boilerplate_take_no_content(html, want):
+    assert text(html) == want
