@@ -28,6 +28,8 @@ from plazaflow.session import ensure_importable
 
 #: Different pages of a host on which a subtree recurs to count as its template.
 MIN_PAGES = 5
+#: And the share of the host's different pages, so that what counts as template does not follow the size of the host.
+MIN_SHARE = 0.3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -41,6 +43,8 @@ OUTSIDE_NAMES = frozenset(["header", "masthead"])
 #: What a name of several parts may hold besides names of boilerplate: ``ad-slot``, but not ``no-comments`` or ``related-work``.
 HOLDERS = frozenset("area bar block bottom box col column container content group holder inner item items left link links list outer panel right row section site slot slots top unit widget widgets wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Bare blocks of text: they go with a template that holds them, but are none on their own.
+TEXT_BLOCKS = HEADINGS | INLINE | frozenset("p li dt dd td th pre blockquote figcaption caption address".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: A start tag of the first closes an open element of the second, unless one of the third stands between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -214,13 +218,13 @@ class Page:
             yield e
 
     def candidates(self) -> set[int]:
-        """Elements that may be of the site's template: all but those in the main content, or around it."""
+        """Elements that may be of the site's template: all but those in the main content, or around it, and bare blocks of text."""
         content = self.content()
         around = {p for e in content for p in self.above(e)}
         out, within = set(), [False] * len(self.tag)
         for e in range(1, len(self.tag)):
             within[e] = e in content or within[self.parent[e]]
-            if not within[e] and e not in around and self.tag[e] not in ("html", "body"):
+            if not within[e] and e not in around and self.tag[e] not in ("html", "body") and self.tag[e] not in TEXT_BLOCKS:
                 out.add(e)
         return out
 
@@ -270,20 +274,24 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages(page_id, url, html)``.
 
     A null or empty html gives an empty text; a null url has the empty host, whose pages share a template
     like any other's. Rows that repeat each get a row, and count as one page for the template, as do copies
     of a page on one host. An empty table gives an empty result; other columns are ignored.
+    A template is on ``min_pages`` different pages of its host at least and on ``min_share`` of them.
     Counts are per (host, subtree), aggregated before they are shuffled; each different page then learns
     its own template subtrees, so no task holds a host.
     """
     ensure_importable(pages.sparkSession)
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
     found = rows.select("host", "page", "html").mapInArrow(_subtrees, "host string, page long, subtrees array<long>").dropDuplicates(["host", "page"])
-    found = written(found, "subtrees").select("host", "page", F.explode("subtrees").alias("subtree"))
-    counts = found.groupBy("host", "subtree").count().filter(F.col("count") >= min_pages).select("host", "subtree")
+    found = written(found, "subtrees")
+    hosts = found.groupBy("host").agg((F.count("*") * min_share).alias("least"))
+    found = found.select("host", "page", F.explode("subtrees").alias("subtree"))
+    counts = found.groupBy("host", "subtree").count().filter(F.col("count") >= min_pages)
+    counts = counts.join(hosts, "host").filter(F.col("count") >= F.col("least")).select("host", "subtree")
     template = written(found.join(counts, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_list("subtree").alias("template")), "template")
     small = rows.mapInArrow(_shrink, "page_id long, url string, host string, page long, html binary")
     return small.join(template, ["host", "page"], "left").select("page_id", "url", "html", "template").mapInArrow(_render, "page_id long, url string, text string, n_chars long")

@@ -82,3 +82,16 @@ def test_nulls_and_repeats(spark):
 )
 def test_names_of_boilerplate_take_no_content(html, want):
     assert text(html) == want
+
+
+def test_template_is_a_share_of_the_pages_of_a_host(spark):
+    box, passage = "<div><p>Our shop</p></div>", "<section><p>A passage of five pages</p></section>"
+    rows = [page(f"<body>{box}<p>story {k}</p>{passage if k < 5 else ''}</body>") for k in range(40)]
+    got = extracted(spark, rows)
+    assert [got[r[0]][0] for r in rows] == [f"story {k}" + "\nA passage of five pages" * (k < 5) for k in range(40)]
+
+
+def test_bare_text_blocks_are_no_template(spark):
+    rows = [page(f"<body><h2>Introduction</h2><p>One passage</p><p>story {k}</p></body>") for k in range(9)]
+    got = extracted(spark, rows)
+    assert [got[r[0]][0] for r in rows] == [f"Introduction\nOne passage\nstory {k}" for k in range(9)]
