@@ -165,7 +165,7 @@ def op7_sharding(spark, sf_dir: str) -> DataFrame:
     from plazaflow.session import table
 
     docs = table(spark, sf_dir, "documents")
-    back = shard(docs, scratch(spark, "shards"), Sizes(target=32 * MB, arrival_rows=2_000)).read()
+    back = shard(docs, scratch(spark, "shards")).read()
     if "doc_id" not in back.columns:
         back = docs.limit(0)
     return back.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))

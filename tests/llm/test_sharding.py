@@ -74,3 +74,17 @@ def test_rows_without_a_version_are_not_there(spark, docs, tmp_path):
     t.append(filled(docs, 10))
     filled(docs, 10).write.parquet(str(tmp_path / "t" / "data" / "orphan"))
     assert t.read().count() == 10
+
+
+def test_the_query_has_the_default_sizes(docs, spark, monkeypatch, tmp_path):
+    from plazaflow.llm import sharding
+
+    docs([(1, "a")]).write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+
+    def shard_(df, root, sizes=Sizes()):  # noqa: B008
+        seen.append(sizes)
+        return shard(df, root, sizes)
+
+    monkeypatch.setattr(sharding, "shard", shard_)
+    assert sharding.op7_sharding(spark, str(tmp_path)).count() == 1 and seen == [Sizes()]
