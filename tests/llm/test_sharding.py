@@ -88,3 +88,41 @@ def test_the_query_has_the_default_sizes(docs, spark, monkeypatch, tmp_path):
 
     monkeypatch.setattr(sharding, "shard", shard_)
     assert sharding.op7_sharding(spark, str(tmp_path)).count() == 1 and seen == [Sizes()]
+
+
+def test_columns_of_later_arrivals_stay(spark, tmp_path):
+    t = ShardTable(spark, str(tmp_path / "t"), Sizes(target=60_000, smallest=2_000, growth=4, full=2, arrival_rows=20))
+    t.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    t.append(spark.createDataFrame([(2, "b", "x")], "doc_id long, text string, extra string"))
+    t.append(spark.createDataFrame([("y", 3)], "extra string, doc_id long"))
+    want = [("1", "a", "None"), ("2", "b", "x"), ("3", "None", "y")]
+    assert t.read().columns == ["doc_id", "text", "extra"] and bag(t.read()) == want
+    assert t.read(1).columns == ["doc_id", "text"]
+    assert t.compact()
+    t.vacuum()
+    assert bag(t.read()) == want, "merged shards keep every column"
+
+
+def test_columns_that_do_not_fit_are_refused(spark, tmp_path):
+    t = ShardTable(spark, str(tmp_path / "t"), SMALL)
+    t.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    for bad in ("doc_id string", "doc_id long, TEXT string"):
+        with pytest.raises(ValueError):
+            t.append(spark.createDataFrame([], bad))
+    assert t.versions() == [1]
+
+
+def test_names_of_our_own_and_very_long_texts(spark, tmp_path):
+    df = spark.createDataFrame([("p", 1, "word " * 400_000, 7, None), ("p", 1, "", None, "q"), (None, None, None, None, None)], "path string, bytes long, text string, tier int, rows string")
+    t = shard(df.unionAll(df), str(tmp_path / "t"), Sizes(target=60_000, smallest=500, growth=4, full=2, arrival_rows=1))
+    assert bag(t.read()) == bag(df.unionAll(df))
+
+
+def test_shard_keeps_older_versions_and_vacuum_keeps_as_many_as_asked(spark, docs, tmp_path):
+    lots = [filled(docs, n, 1000 * n) for n in (10, 60, 200)]
+    for df in lots:
+        t = shard(df, str(tmp_path / "t"), SMALL)
+    first = bag(lots[0])
+    assert bag(t.read(1)) == first and len(t.versions()) > 3
+    t.vacuum(keep=2)
+    assert len(t.versions()) == 2 and bag(t.read()) == bag(lots[0].unionAll(lots[1]).unionAll(lots[2])) and t.read(t.versions()[0]).count() == 270
