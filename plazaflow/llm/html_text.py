@@ -1,11 +1,14 @@
 """Main text of web pages, with site templates removed.
 
-Every element outside the main content has a hash of its subtree (tag, class, id, text and children).
-Spark counts, per host, the different pages that hold a subtree; subtrees that recur on many of them are
-the site's template and are deleted together with all they hold. Elements that are boilerplate by their
-tag, class, id or role are deleted on every host, since a host with few pages shows no recurrence. What
-lies inside ``article`` (else ``main``) is the main content and is never taken for a template, so that
-a text that a site publishes on many pages stays.
+Every element has a hash of its subtree (tag, class, id, role, text and children). Spark counts, per host,
+the different pages that hold a subtree (pages of the same text are one); subtrees that recur on many of them are the site's template and are
+deleted, wherever on the page they are, together with all they hold. Bare blocks of text are no template on
+their own: a licence line or a passage that a site publishes on many pages stays. Elements that are boilerplate by
+their tag, class, id or role are deleted on every host, since reader comments and adverts differ from page to page.
+
+What is left is the main text. ``article`` (else ``main``) only breaks the tie where recurrence says nothing: on a host
+without any template the text is that of the article, and where the template would take all the text of a page the page is
+read as if its host had none.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plazaflow.llm.common import written
@@ -30,6 +33,10 @@ from plazaflow.session import ensure_importable
 MIN_PAGES = 5
 #: And the share of the host's different pages, so that what counts as template does not follow the size of the host.
 MIN_SHARE = 0.3
+#: Bytes of all hosts' templates that are broadcast at most; beyond that pages are joined with their host's.
+MOST_BROADCAST = 16 << 20
+#: Parts into which the pages of a host are dealt in that join.
+SALT = 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -218,26 +225,28 @@ class Page:
             yield e
 
     def candidates(self) -> set[int]:
-        """Elements that may be of the site's template: all but those in the main content, or around it, and bare blocks of text."""
-        content = self.content()
-        around = {p for e in content for p in self.above(e)}
-        out, within = set(), [False] * len(self.tag)
-        for e in range(1, len(self.tag)):
-            within[e] = e in content or within[self.parent[e]]
-            if not within[e] and e not in around and self.tag[e] not in ("html", "body") and self.tag[e] not in TEXT_BLOCKS:
-                out.add(e)
-        return out
+        """Elements that may be of the site's template: all but the main content as a whole, what holds it, and bare blocks of text."""
+        whole = self.content()
+        whole |= {p for e in whole for p in self.above(e)}
+        return {e for e in range(1, len(self.tag)) if e not in whole and self.tag[e] not in ("html", "body") and self.tag[e] not in TEXT_BLOCKS}
 
     def text(self, template: set[int]) -> str:
-        """The main text. template: digests of subtrees to delete."""
+        """The main text. template: digests of subtrees to delete; none if the host has no template."""
+        if template:
+            may = self.candidates()
+            found = self._left({e for e in may if self.digest[e] in template}, set())
+            if found:
+                return found
+        return self._left(set(), self.content())
+
+    def _left(self, deleted: set[int], within: set[int]) -> str:
+        """The text outside what is dropped or ``deleted``, and inside the elements of ``within`` unless there are none."""
         gone = [False] * len(self.tag)
-        content = self.content()
-        kept = [not content] * len(self.tag)
-        may = self.candidates() if template else set()
+        kept = [not within] * len(self.tag)
         for e in range(1, len(self.tag)):
             up = self.parent[e]
-            gone[e] = gone[up] or self.drop[e] or (e in may and self.digest[e] in template)
-            kept[e] = kept[up] or e in content
+            gone[e] = gone[up] or self.drop[e] or e in deleted
+            kept[e] = kept[up] or e in within
         blocks = (" ".join("".join([t for t, e in pieces if kept[e] and not gone[e]]).split()) for pieces in self.blocks)
         return "\n".join(filter(None, blocks))
 
@@ -248,53 +257,87 @@ def _signed(x) -> np.ndarray:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches):
-        found = []
+        found, texts = [], []
         for h in b.column("html").to_pylist():
             page = Page(h or "")
             found.append(_signed({page.digest[e] for e in page.candidates()}))
-        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page"), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "subtrees"])
+            texts.append(xxhash.xxh64_intdigest(page.text(set()).encode("utf-8", "replace")))
+        columns = [b.column("host"), pa.array(np.array(texts, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "subtrees"])
 
 
 def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
     for b in chunks(batches):
         packed = pa.array([pack((h or "").encode("utf-8", "replace")) for h in b.column("html").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "page")), packed], names=["page_id", "url", "host", "page", "html"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "salt")), packed], names=["page_id", "url", "host", "salt", "html"])
+
+
+TEXTS = "page_id long, url string, text string, n_chars long"
+
+
+def _texts(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
 
+def _digests(template: list[int] | None) -> set[int]:
+    return set(np.array(template, np.int64).view(np.uint64).tolist()) if template else set()
 
-def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _render_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
         for i in range(0, b.num_rows, 256):
             part = b.slice(i, 256)
-            texts = []
-            for packed, template in zip(part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True):
-                digests = set(np.array(template, np.int64).view(np.uint64).tolist()) if template else set()
-                texts.append(Page(unpack(packed).decode()).text(digests))
-            yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield _texts(part, [Page(unpack(h).decode()).text(_digests(t)) for h, t in zip(part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True)])
+
+
+def _renderer(shipped):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {host: _digests(t) for host, t in shipped.value.items()}
+        for b in chunks(batches):
+            yield _texts(b, [Page(h or "").text(of.get(host, set())) for h, host in zip(b.column("html").to_pylist(), b.column("host").to_pylist(), strict=True)])
+
+    return run
+
+
+def host_templates(rows: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """host and template, the hashes of the subtrees that recur on its pages, of the hosts that have any, from ``rows(host, html)``.
+
+    Pages of a host are the same if what the names leave of them is, so that one story under many addresses is no template.
+    Each (host, page, subtree) counts once, repetitions being dropped before they are shuffled. A host's list is no
+    longer than the subtrees of 1 / ``min_share`` of its pages.
+    """
+    found = written(rows.select("host", "html").mapInArrow(_subtrees, "host string, page long, subtrees array<long>"), "subtrees")
+    hosts = found.select("host", "page").distinct().groupBy("host").agg((F.count("*") * min_share).alias("least"))
+    each = found.select("host", "page", F.explode("subtrees").alias("subtree")).distinct()
+    counts = each.groupBy("host", "subtree").count().filter(F.col("count") >= min_pages)
+    recurring = counts.join(hosts, "host").filter(F.col("count") >= F.col("least"))
+    return written(recurring.groupBy("host").agg(F.collect_list("subtree").alias("template")), "template")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages(page_id, url, html)``.
 
     A null or empty html gives an empty text; a null url has the empty host, whose pages share a template
-    like any other's. Rows that repeat each get a row, and count as one page for the template, as do copies
-    of a page on one host. An empty table gives an empty result; other columns are ignored.
-    A template is on ``min_pages`` different pages of its host at least and on ``min_share`` of them.
-    Counts are per (host, subtree), aggregated before they are shuffled; each different page then learns
-    its own template subtrees, so no task holds a host.
+    like any other's. Rows that repeat each get a row, and count as one page for the template, as do a host's pages
+    of the same text. A very long page is read whole, by one task that holds it. An empty table gives an empty
+    result; other columns are ignored. A template is on ``min_pages`` different pages of its host at least and on
+    ``min_share`` of them. Templates of ``most_broadcast`` bytes together at most are broadcast, and pages stay where they
+    are; larger ones are joined with the pages, a host's dealt over several tasks.
     """
-    ensure_importable(pages.sparkSession)
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
-    found = rows.select("host", "page", "html").mapInArrow(_subtrees, "host string, page long, subtrees array<long>").dropDuplicates(["host", "page"])
-    found = written(found, "subtrees")
-    hosts = found.groupBy("host").agg((F.count("*") * min_share).alias("least"))
-    found = found.select("host", "page", F.explode("subtrees").alias("subtree"))
-    counts = found.groupBy("host", "subtree").count().filter(F.col("count") >= min_pages)
-    counts = counts.join(hosts, "host").filter(F.col("count") >= F.col("least")).select("host", "subtree")
-    template = written(found.join(counts, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_list("subtree").alias("template")), "template")
-    small = rows.mapInArrow(_shrink, "page_id long, url string, host string, page long, html binary")
-    return small.join(template, ["host", "page"], "left").select("page_id", "url", "html", "template").mapInArrow(_render, "page_id long, url string, text string, n_chars long")
+    spark = pages.sparkSession
+    ensure_importable(spark)
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    template = host_templates(rows, min_pages, min_share)
+    size = template.agg(F.coalesce(F.sum(8 * F.size("template") + F.octet_length("host") + 64), F.lit(0))).first()[0]
+    if size <= most_broadcast:
+        shipped = spark.sparkContext.broadcast({r["host"]: r["template"] for r in template.collect()})
+        return rows.mapInArrow(_renderer(shipped), TEXTS)
+    salt: Column = F.pmod(F.xxhash64("page_id", "html"), F.lit(SALT)).cast("int")
+    small = rows.withColumn("salt", salt).select("page_id", "url", "host", "salt", "html").mapInArrow(_shrink, "page_id long, url string, host string, salt int, html binary")
+    dealt = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return small.join(dealt, ["host", "salt"], "left").select("page_id", "url", "html", "template").mapInArrow(_render_joined, TEXTS)
 
 
 def op8_html_text(spark, sf_dir: str) -> DataFrame:

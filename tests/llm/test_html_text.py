@@ -95,3 +95,54 @@ def test_bare_text_blocks_are_no_template(spark):
     rows = [page(f"<body><h2>Introduction</h2><p>One passage</p><p>story {k}</p></body>") for k in range(9)]
     got = extracted(spark, rows)
     assert [got[r[0]][0] for r in rows] == [f"Introduction\nOne passage\nstory {k}" for k in range(9)]
+
+
+def brute_force(rows, min_pages=H.MIN_PAGES, min_share=H.MIN_SHARE):
+    """The texts with templates counted by dictionaries over all pages."""
+    pages = {}
+    for _, url, html in rows:
+        p = H.Page(html)
+        pages.setdefault(url.split("/")[2], {}).setdefault(p.text(set()), set()).update(p.digest[e] for e in p.candidates())
+    out = {}
+    for i, url, html in rows:
+        others = pages[url.split("/")[2]]
+        recur = others.values()
+        n = {d: sum(d in r for r in recur) for r in recur for d in r}
+        out[i] = H.Page(html).text({d for d, c in n.items() if c >= max(min_pages, min_share * len(others))})
+    return out
+
+
+def site(k, host, article=True, box=True):
+    inner = f"<h1>Title {k}</h1><p>story {k} of {host}</p><p>Free to share under the licence.</p>" + "<div><h3>Read more</h3><ul><li>One</li><li>Two</li></ul></div>" * box + f"<p>end {k}</p>"
+    shell = "<article>{}</article>" if article else "{}"
+    return page(f"<body><nav>{k}</nav><div class=x1><span>Shop</span><p>Offers of the day</p></div>{shell.format(inner)}<section><p>Visit us</p></section><footer>{k}</footer></body>", f"http://{host}/{k}")
+
+
+@pytest.mark.parametrize("most", [H.MOST_BROADCAST, 0])
+def test_templates_decide_with_and_without_article(spark, most):
+    sites = {a: [site(k, "h.example", a) for k in range(12)] for a in (True, False)}
+    want = [f"Title {k}\nstory {k} of h.example\nFree to share under the licence.\nend {k}" for k in range(12)]
+    for rows in sites.values():
+        got = extracted(spark, rows, most_broadcast=most)
+        assert [got[r[0]][0] for r in rows] == want, "the box inside the article goes, the licence line stays"
+
+
+@pytest.mark.parametrize("most", [H.MOST_BROADCAST, 0])
+def test_against_brute_force(spark, most):
+    rows = [site(k, host, article=k % 3 > 0, box=k % 4 > 0) for host, n in (("a.example", 30), ("b.example", 4), ("c.example", 7)) for k in range(n)]
+    rows += rows[:9]
+    got = extracted(spark, rows, most_broadcast=most)
+    assert {i: t for i, (t, _) in got.items()} == brute_force(rows)
+    assert got[rows[30][0]][0].startswith("Shop\nOffers"), "four pages say nothing about their host's template"
+
+
+def test_one_story_under_many_addresses_stays(spark):
+    body = "<div class=x1><p>Shop</p></div><article><div><p>one story</p></div></article>"
+    rows = [page(f"<body>{body}<i>{k}</i></body>") for k in range(8)]
+    assert {t for t, _ in extracted(spark, rows).values()} == {"one story"}
+
+
+def test_a_page_that_is_all_template_is_read_without_it(spark):
+    box = "<div class=x1><p>Our shop</p></div>"
+    rows = [page(f"<body>{box}<p>story {k}</p></body>") for k in range(8)] + [page(f"<body>{box}</body>")]
+    assert [extracted(spark, rows)[r[0]][0] for r in rows[7:]] == ["story 7", "Our shop"]
