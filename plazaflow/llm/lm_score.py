@@ -6,10 +6,14 @@ the workers; occurrences of any other word meet their count in a join. That take
 the join and leaves it a tail in which no word is frequent.
 
 The model is the recurrent network of ``gru``: it predicts frequent words one by one, and for any other
-word its *shape* (what it ends in, and its first letter beyond ASCII); within a shape a word's probability
-comes from the counts, with 0.5 added and one unseen word more, so that the probabilities of all texts
-sum to one at most. The counts cover the whole corpus; the weights are fitted on ``SAMPLE`` training
-documents, chosen by a hash of doc_id.
+word its *shape* (what it ends in, and its first letter beyond ASCII, if any); within a shape a
+word's probability comes from the counts, with 0.5 added and one unseen word more, so that the probabilities of all
+texts sum to one at most.
+
+The network learns from every token of every training document, once. Texts become the network's tokens first, two
+bytes each, written beside what else is known of their rows. The documents are dealt into ``ROUNDS`` rounds; in a round each
+task starts from the same parameters, learns from its own documents as a stream, and the results are averaged, by
+their tokens, in groups of tasks and then over the groups. No text and no document comes to the driver.
 """
 
 from __future__ import annotations
@@ -26,13 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plazaflow.llm.common import written
-from plazaflow.llm.gru import GRU, SHAPES, WORDS
+from plazaflow.llm import gru
+from plazaflow.llm.gru import SHAPES, START, WORDS
 from plazaflow.llm.token_blocks import chunks
 from plazaflow.session import ensure_importable
 
 FREQUENT = 200_000
-#: Documents that the weights are fitted on, about, and characters of each at most; longer ones are not chosen.
-SAMPLE, SAMPLE_CHARS = 1_500, 200_000
+#: Rounds of learning, groups of tasks whose parameters are averaged first, and the learning rate of the first round, which falls by half with each.
+ROUNDS, AVERAGED, RATE = 3, 16, 0.02
 #: The end of a document, as a word; no word is empty.
 END = ""
 #: Distinct words that a counting task holds before it passes them on.
@@ -45,9 +50,9 @@ def in_training(doc_id: Column) -> Column:
 
 
 def shape(word: str) -> int:
-    """One of ``SHAPES`` shapes: eight kinds of last character by four kinds of first letter beyond ASCII."""
+    """One of ``SHAPES`` shapes: four kinds of last character, by whether all is ASCII and else three kinds of first letter beyond it."""
     last = word[-1]
-    kind = 0 if last.isalpha() else 1 if last.isdigit() else 2 + ",.%&*".find(last) if last in ",.%&*" else 7
+    kind = 0 if last.isalpha() else 1 if last.isdigit() else 2 if last in ",.;:!?" else 3
     if word.isascii():
         return kind * 4
     first = next(c for c in word if ord(c) > 127)
@@ -109,6 +114,10 @@ class Tables:
             outside[k][0] -= c
             outside[k][1] -= 1
         self.shape_total = [t + 0.5 * (d + 1) for t, d in outside]
+        #: Occurrences of each of the network's tokens in training.
+        self.frequency = np.zeros(START, np.int64)
+        self.frequency[: len(frequent[:WORDS])] = [c for _, c in frequent[:WORDS]]
+        self.frequency[WORDS:] = [t for t, _ in outside]
         self.index = {w.encode(): i for i, (w, _) in enumerate(frequent)}
         c = np.array([c for _, c in frequent], np.float64)
         self.base = np.log10((c + 0.5) / self.total)
@@ -147,21 +156,17 @@ def _rare_column(rare: list[Rare]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(kinds, names=["word", "n", "shape"]))
 
 
-_ROWS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word:string,n:int,shape:int>>"
+_ROWS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, rare array<struct<word:string,n:int,shape:int>>, tokens binary"
 
 
-def _scorer(shipped):
+def _tokenizer(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        frequent, tokens, distinct, shapes, weights = shipped.value
-        tables = Tables(frequent, tokens, distinct, shapes)
-        network = GRU()
-        network.params = weights
+        tables = Tables(*shipped.value)
         row = TaskContext.get().partitionId() << 40
         for b in chunks(batches):
             found = [_tokens(tables, t) for t in b.column("text").to_pylist()]
-            model = network.score([t for t, _, _ in found]) / math.log(10) + np.array([tables.inner[p].sum() for _, p, _ in found])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(row, row + b.num_rows)),
@@ -170,44 +175,95 @@ def _scorer(shipped):
                     pa.array([len(t) for t, _, _ in found], pa.int64()),
                     pa.array([len(p) for _, p, _ in found], pa.int64()),
                     pa.array([tables.base[p].sum() for _, p, _ in found], pa.float64()),
-                    pa.array(model, pa.float64()),
+                    pa.array([tables.inner[p].sum() for _, p, _ in found], pa.float64()),
                     _rare_column([r for _, _, r in found]),
+                    pa.array([t.astype("<u2").tobytes() for t, _, _ in found], pa.binary()),
                 ],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"],
+                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "inner", "rare", "tokens"],
             )
             row += b.num_rows
 
     return run
 
 
-def score(docs: DataFrame, frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs(doc_id, text)``.
+def _learner(shipped, rate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    A null, empty or blank text is its end alone. Rows that repeat each get a row, and count each time
-    where they are in training. An empty table gives an empty result. Without training documents no word
-    is known and the network is not fitted. Other columns are ignored.
+        trainer = gru.Trainer(gru.from_bytes(shipped.value), rate)
+        trainer.learn(np.frombuffer(t, "<u2") for b in batches for t in b.column("tokens").to_pylist())
+        if trainer.tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([trainer.tokens], pa.int64()), pa.array([gru.to_bytes(trainer.params)], pa.binary())], names=["part", "n", "params"])
+
+    return run
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first: list[int] = []
+
+    def found() -> Iterator[tuple[int, bytes]]:
+        for b in batches:
+            for r in b.to_pylist():
+                first.append(r["part"])
+                yield r["n"], r["params"]
+
+    n, params = gru.average(found())
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(first[:1], pa.int32()), pa.array([n], pa.int64()), pa.array([params], pa.binary())], names=["part", "n", "params"])
+
+
+def fit(rows: DataFrame, tables: Tables, rounds: int = ROUNDS, rate: float = RATE) -> gru.Params:
+    """The network's parameters from all rows of ``rows(row, held_out, tokens)`` that are not held out; each is read in one round.
+
+    The same rows in the same partitions give the same parameters, whichever task ends first. A task's parameters are all that leaves
+    it; ``AVERAGED`` of them at most come to the driver in a round.
     """
-    spark = docs.sparkSession
-    ensure_importable(spark)
+    params = gru.first_params(tables.frequency)
+    schema = "part int, n long, params binary"
+    for k in range(rounds):
+        shipped = rows.sparkSession.sparkContext.broadcast(gru.to_bytes(params))
+        some = rows.filter((~F.col("held_out")) & (F.pmod("row", F.lit(rounds)) == k)).select("tokens")
+        learned = some.mapInArrow(_learner(shipped, rate / 2**k), schema)
+        groups = learned.repartition(AVERAGED, F.pmod("part", F.lit(AVERAGED))).sortWithinPartitions("part").mapInArrow(_averaged, schema)
+        n, raw = gru.average((r["n"], r["params"]) for r in sorted(groups.collect(), key=lambda r: r["part"]))
+        if n:
+            params = gru.from_bytes(raw)
+    return params
+
+
+def _scorer(shipped):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        params = gru.from_bytes(shipped.value)
+        for b in chunks(batches):
+            model = gru.score(params, [np.frombuffer(t, "<u2") for t in b.column("tokens").to_pylist()]) / math.log(10)
+            kept = ["row", "doc_id", "held_out", "n_tokens", "known", "base"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(model + b.column("inner").to_numpy())], names=[*kept, "model"])
+
+    return run
+
+
+def prepare(docs: DataFrame, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame, Tables]:
+    """(rows with their tokens, counts of words, tables) of ``docs(doc_id, text)``; both frames are written."""
     docs = docs.select(F.col("doc_id"), "text", (~in_training(F.col("doc_id"))).alias("held_out"))
-    training = docs.filter("not held_out")
-    counts = word_counts(training)
+    counts = word_counts(docs.filter("not held_out"))
     by_shape = {r["shape"]: (r["t"], r["d"]) for r in counts.groupBy("shape").agg(F.sum("count").alias("t"), F.count("*").alias("d")).collect()}
     shapes = [by_shape.get(k, (0, 0)) for k in range(SHAPES)]
-    n, v = sum(t for t, _ in shapes), sum(d for _, d in shapes)
-    top = frequent_words(counts, frequent)
-    tables = Tables(top, n, v, shapes)
-
-    n_docs = counts.filter(F.col("word") == END).select("count").first()
-    share = min(1.0, sample / n_docs["count"]) if n_docs else 0.0
-    bound = min(2**63 - 1, int(-(2**63) + share * 2**64))
-    chosen = training.filter((F.xxhash64("doc_id") <= bound) & (F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)).select("doc_id", "text").limit(2 * sample)
-    texts = [r["text"] for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or ""))]
-    network = GRU()
-    network.train([_tokens(tables, t)[0] for t in texts])
-
-    shipped = spark.sparkContext.broadcast((top, n, v, shapes, network.params))
-    rows = written(docs.mapInArrow(_scorer(shipped), _ROWS), "lm-rows")
+    given = frequent_words(counts, frequent), sum(t for t, _ in shapes), sum(d for _, d in shapes), shapes
+    shipped = docs.sparkSession.sparkContext.broadcast(given)
+    return written(docs.mapInArrow(_tokenizer(shipped), _ROWS), "lm-rows"), counts, Tables(*given)
+
+
+def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs(doc_id, text)``.
+
+    A null, empty or blank text is its end alone. Rows that repeat each get a row, and count each time
+    where they are in training. A very long text is learned from and scored whole. An empty table gives an empty
+    result. Without training documents no word is known and the network is not fitted. Other columns are ignored.
+    """
+    ensure_importable(docs.sparkSession)
+    rows, counts, tables = prepare(docs, frequent)
+    shipped = docs.sparkSession.sparkContext.broadcast(gru.to_bytes(fit(rows, tables)))
+    scored = rows.drop("rare").mapInArrow(_scorer(shipped), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n", "r.shape")
     met = rare.join(counts.select("word", "count"), "word", "left").withColumn("c", F.coalesce("count", F.lit(0)))
     in_shape = F.element_at(F.array(*[F.lit(float(x)) for x in tables.shape_total]), F.col("shape") + 1)
@@ -217,12 +273,12 @@ def score(docs: DataFrame, frequent: int = FREQUENT, sample: int = SAMPLE) -> Da
         F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / in_shape)).alias("m"),
     )
     zero = F.lit(0)
-    return rows.drop("rare").join(tail, "row", "left").select(
+    return scored.join(tail, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("k", zero)).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
+        F.lit(tables.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
         (F.col("model") + F.coalesce("m", zero)).alias("score"),
     )
