@@ -11,13 +11,18 @@ Equal fingerprints are one point from the start, so that a group of exact copies
 one row. Anchors with more than ``GROUP`` points are cut into chunks that meet pairwise in different
 tasks. What leaves an anchor is a spanning forest, never all pairs.
 
-A pair can be held to a similarity besides: each point then carries a sketch of its shingles, the smallest
-hash of each of 64 ranges in a byte, by which the Jaccard similarity is estimated (standard error 0.05 at 0.8).
-
-``deduplicate`` links by the similarity itself. Two sets of shingles of a Jaccard similarity of t or more
-share one of the first n - ceil(t n) + 1 of their n shingles in any order that is the same for all sets, so texts that
-meet at such a shingle are candidates, as are near fingerprints, and no pair is missed. Candidates are held to
-the similarity of their whole sets. The order is by the counts of buckets of shingles: common ones come last.
+A pair can be held to a similarity besides: each point then carries the size of its set of shingles and a *sketch*, two
+bits for each of 64 ranges of hashes, of the smallest hash in it. Of two sets of n and m shingles and a Jaccard similarity
+of t at least, no more ranges differ than shingles do, (1 - t) / (1 + t) (n + m), and by chance a mean of
+64 (1 - t) 2/3; pairs beyond the former, or six standard deviations beyond the latter (a chance of about 1e-9), are
+dropped before texts are compared.
+
+``deduplicate`` links by the similarity itself. Near fingerprints are candidates; so are, for the pairs that differ in
+more bits, texts that share a shingle of their prefixes: two sets of a similarity of t or more share one of the first
+n - ceil(t n) + 1 of their n shingles in any order that is the same for all sets. The order is by the counts of buckets of
+shingles: common ones come last. Texts that meet at such a shingle are compared by their sketches in its task, which
+passes on a spanning forest of those alike, and the connected groups of candidates are held to the similarity of their
+whole sets. Texts that share a passage alone never meet as texts.
 """
 
 from __future__ import annotations
@@ -39,11 +44,16 @@ THRESHOLD = 4
 #: Points of an anchor that one task compares at once.
 GROUP = 16_384
 PAIRS = 1 << 21
-SKETCH = 64
+#: Ranges of hashes in a sketch.
+RANGES = 64
 #: Buckets of shingles whose counts order them, and points that a task remembers.
-BUCKETS, SEEN = 1 << 16, 1 << 19
+BUCKETS, SEEN = 1 << 18, 1 << 19
+#: Texts that meet at one shingle, about, beyond which they are cut into chunks.
+MEETING = 1 << 18
 #: Shingles of a component beyond which it is cut into chunks.
 SHINGLES = 1 << 20
+#: Tasks among which the rows of a large star are dealt.
+SALT = 8
 
 
 def shingle_hashes(text: str | None, words_per_shingle: int) -> bytes:
@@ -68,31 +78,53 @@ def fingerprint(hashes: bytes) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(view)).tobytes(), "big")
 
 
-def sketch(hashes: bytes) -> bytes:
-    """For each of ``SKETCH`` ranges of hashes a byte of the smallest in it; 0 if there is none."""
-    h = np.sort(np.frombuffer(hashes, ">u8").astype(np.uint64))
-    out = np.zeros(SKETCH, np.uint8)
-    if len(h):
-        ranges = (h >> np.uint64(58)).astype(np.int64)
+def shingle_set(hashes: bytes) -> np.ndarray:
+    """The different hashes, sorted."""
+    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+
+
+def sketch(shingles: np.ndarray) -> tuple[int, int]:
+    """Two bits for each of ``RANGES`` ranges of hashes: 1 to 3 of the smallest in it, 0 if there is none; as two longs."""
+    out = [0, 0]
+    if len(shingles):
+        ranges = (shingles >> np.uint64(58)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))
-        out[ranges[first]] = 1 + (h[first] & np.uint64(0xFFFFFF)) % np.uint64(255)
-    return out.tobytes()
+        value = (1 + (shingles[first] & np.uint64(0xFFFFFF)) % np.uint64(3)) << (2 * (ranges[first] % 32)).astype(np.uint64)
+        half = int(np.searchsorted(ranges[first], 32))
+        out = [int(value[:half].sum()), int(value[half:].sum())]
+    return out[0], out[1]
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 4, keep: str = "doc_id", sketched: bool = False) -> DataFrame:
-    """The column ``keep``, the fingerprint ``fp`` as a signed long and, if asked for, the sketch of every row."""
+class Alike:
+    """Says which pairs of points may have the similarity; size, low, high: of each point."""
+
+    def __init__(self, similarity: float, size: np.ndarray, low: np.ndarray, high: np.ndarray):
+        mean = RANGES * (1 - similarity) * 2 / 3
+        self.most, self.similarity = math.floor(mean + 6 * math.sqrt(mean) + 1), similarity
+        self.size, self.low, self.high = size, low, high
+
+    def __call__(self, a, b) -> np.ndarray:
+        """For points a and b, numbers or arrays that broadcast."""
+        n, m = self.size[a], self.size[b]
+        x, y = self.low[a] ^ self.low[b], self.high[a] ^ self.high[b]
+        one, every = np.uint64(1), np.uint64(0x5555555555555555)
+        different = np.bitwise_count((x | (x >> one)) & every).astype(np.int64) + np.bitwise_count((y | (y >> one)) & every)
+        t = self.similarity
+        bound = np.minimum(np.floor((1 - t) / (1 + t) * (n + m) + 1e-6), self.most)
+        return (different <= bound) & (np.minimum(n, m) >= t * np.maximum(n, m) - 1e-6)
+
+
+def fingerprints(docs: DataFrame, words_per_shingle: int = 4, keep: str = "doc_id") -> DataFrame:
+    """The column ``keep`` and the fingerprint ``fp`` as a signed long of every row."""
     ensure_importable(docs.sparkSession)
     kind = docs.schema[keep].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            hashes = [shingle_hashes(x.as_py(), words_per_shingle) for x in b.column("text")]
-            out = [b.column(keep), pa.array(np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64))]
-            if sketched:
-                out.append(pa.array([sketch(h) for h in hashes], pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, names=[keep, "fp", "sketch"][: len(out)])
+            fps = [fingerprint(shingle_hashes(x.as_py(), words_per_shingle)) for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(np.array(fps, np.uint64).view(np.int64))], names=[keep, "fp"])
 
-    return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, fp long" + ", sketch binary" * sketched)
+    return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, fp long")
 
 
 def blocks_for(most_bits: int) -> list[tuple[int, int]]:
@@ -155,10 +187,55 @@ def forest(left: np.ndarray, right: np.ndarray, label: np.ndarray) -> np.ndarray
         label = after
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarities of sketches, row by row; two without shingles are alike."""
-    either = ((a | b) != 0).sum(axis=1)
-    return np.where(either == 0, 1.0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(either, 1))
+def sweep(n: int, near) -> Iterator[tuple[int, np.ndarray]]:
+    """Edges (one, others) of a spanning forest of the pairs of n points that ``near(one, others)`` says are near.
+
+    A point that has been reached is not compared with another that has, so a group of copies costs few comparisons.
+    """
+    waiting = np.arange(n)
+    while len(waiting):
+        reached, waiting = [waiting[0]], waiting[1:]
+        while reached and len(waiting):
+            i = reached.pop()
+            hit = near(i, waiting)
+            if hit.any():
+                found = waiting[hit]
+                waiting = waiting[~hit]
+                reached += found.tolist()
+                yield i, found
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by their first, a group, in arrays that end where a group does."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        whole = int(np.searchsorted(x[0], x[0][-1]))  # the last group may go on in the next batch
+        if whole:
+            held.append([v[:whole] for v in x])
+        if held and (whole or held[-1][0][-1] != x[0][0]):
+            yield [np.concatenate(v) for v in zip(*held, strict=True)]
+            held = []
+        held.append([v[whole:] for v in x])
+    if held:
+        yield [np.concatenate(v) for v in zip(*held, strict=True)]
+
+
+def _bounds(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group begins, and its size."""
+    first = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
+    return first, np.diff(np.concatenate([first, [len(group)]]))
+
+
+def _linked(node: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    label = np.arange(len(node))
+    for left, right in pairs:
+        if len(left):
+            label = forest(left, right, label)
+    linked = np.flatnonzero(label != np.arange(len(node)))
+    return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["a", "b"])
 
 
 def _groups(most_bits: int, similarity: float):
@@ -175,69 +252,45 @@ def _groups(most_bits: int, similarity: float):
         # many small groups at once
         group = np.repeat(np.arange(len(first)), size)
         own = np.flatnonzero(owner & ~large[group])
-        length, start = size[group[own]], first[group[own]]
-        total = np.concatenate([[0], np.cumsum(length)])
-        lo = 0
-        while lo < len(own):
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1)
-            m = length[lo:hi]
-            left = np.repeat(own[lo:hi], m)
-            right = np.arange(len(left)) + np.repeat(start[lo:hi] - np.cumsum(m) + m, m)
+        for left, right in _pieces(own, first[group[own]], size[group[own]]):
             near = np.bitwise_count(fp[left] ^ fp[right]) <= most_bits
             yield left[near], right[near]
-            lo = hi
-
-    def edges(group: np.ndarray, fp: np.ndarray, owner: np.ndarray, node: np.ndarray, sketches: np.ndarray | None) -> pa.RecordBatch:
-        n = len(fp)
-        first = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
-        label = np.arange(n)
-        for left, right in near_pairs(fp, owner, first, np.diff(np.concatenate([first, [n]]))):
-            keep = left != right
-            left, right = left[keep], right[keep]
-            if sketches is not None and len(left):
-                alike = similar(sketches[left], sketches[right]) >= similarity
-                left, right = left[alike], right[alike]
-            if len(left):
-                label = forest(left, right, label)
-        linked = np.flatnonzero(label != np.arange(n))
-        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["a", "b"])
-
-    def columns(b: pa.RecordBatch) -> list[np.ndarray]:
-        out = [b.column(c).to_numpy(zero_copy_only=False) for c in ("group", "fp", "owner", "node")]
-        out[1] = out[1].view(np.uint64)
-        if similarity > 0:
-            out.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
-        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        for group, owner, node, fp, *rest in whole_groups(batches):
+            alike = Alike(similarity, rest[0], rest[1].view(np.uint64), rest[2].view(np.uint64)) if rest else None
 
-        def flush() -> pa.RecordBatch:
-            whole = [np.concatenate(v) for v in zip(*held, strict=True)]
-            held.clear()
-            return edges(*whole, *[None] * (5 - len(whole)))
+            def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for left, right in near_pairs(fp.view(np.uint64), owner, *_bounds(group)):  # noqa: B023
+                    keep = left != right
+                    left, right = left[keep], right[keep]
+                    if alike and len(left):  # noqa: B023
+                        keep = alike(left, right)  # noqa: B023
+                        left, right = left[keep], right[keep]
+                    yield left, right
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = columns(b)
-            whole = int(np.searchsorted(x[0], x[0][-1]))  # the last group may go on in the next batch
-            if whole:
-                held.append([v[:whole] for v in x])
-            if held and (whole or held[-1][0][-1] != x[0][0]):
-                yield flush()
-            held.append([v[whole:] for v in x])
-        if held:
-            yield flush()
+            yield _linked(node, pairs())
 
     return run
 
 
+def _pieces(left: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each of ``left`` with the ``length`` places from ``start``, about ``PAIRS`` at once."""
+    total = np.concatenate([[0], np.cumsum(length)])
+    lo = 0
+    while lo < len(left):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1)
+        m = length[lo:hi]
+        one = np.repeat(left[lo:hi], m)
+        yield one, np.arange(len(one)) + np.repeat(start[lo:hi] - np.cumsum(m) + m, m)
+        lo = hi
+
+
 def near_edges(points: DataFrame, most_bits: int = THRESHOLD, similarity: float = 0.0) -> DataFrame:
-    """Edges (a, b) among the nodes of ``points(node, fp)`` that connect all that are linked; with a similarity also ``sketch``."""
-    rest = ["node", "fp", *["sketch"] * (similarity > 0)]
+    """Edges (a, b) among the nodes of ``points(node, fp)`` that connect all that are linked; with a similarity also ``n, low, high``."""
+    rest = ["node", "fp", *["n", "low", "high"] * (similarity > 0)]
     points = points.select(*rest)
-    rows = points.mapInArrow(_replicate(most_bits), "anchor int, owner boolean, node long, fp long" + ", sketch binary" * (similarity > 0))
+    rows = points.mapInArrow(_replicate(most_bits), "anchor int, owner boolean, node long, fp long" + ", n long, low long, high long" * (similarity > 0))
     keys = points.select("fp").mapInArrow(_replicate(most_bits), "anchor int, owner boolean, fp long")
     counts = keys.groupBy("anchor").count().filter(F.col("count") > GROUP)
     # written rather than checkpointed: the size is then known, and Spark broadcasts it only if it is small
@@ -251,26 +304,35 @@ def near_edges(points: DataFrame, most_bits: int = THRESHOLD, similarity: float
     return dealt.mapInArrow(_groups(most_bits, similarity), "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges(a, b)``, root the smallest node reachable.
 
-    Rounds of large star and small star; each is two aggregations and joins, and the edges are cut
-    off from their lineage in the shared folder after each round.
+    Rounds of large star and small star until nothing changes, which takes a number of rounds in the square of the
+    logarithm of the nodes at most. Edges are cut off from their lineage in the shared folder after each round, and the
+    edges of a large star are dealt over ``SALT`` tasks.
     """
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(SALT - 1))
+
+    def met(rows: DataFrame, least: DataFrame) -> DataFrame:
+        return rows.withColumn("s", salt).join(least.withColumn("s", F.explode(every)), ["a", "s"])
+
+    def mark(rows: DataFrame) -> tuple:
+        h = F.xxhash64("a", "b")
+        return tuple(rows.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 24))).first())
+
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    before = None
+    while (state := mark(now)) != before:
+        before = state
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = met(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(small, "a").select("b", "m").unionAll(small.select(F.col("a").alias("b"), "m"))
-        after = cut(star.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        changed = after.exceptAll(now).limit(1).count() or now.exceptAll(after).limit(1).count()
-        now = after
-        if not changed:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        star = met(large, small).select("b", "m").unionAll(small.select(F.col("a").alias("b"), "m"))
+        now = cut(star.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, most_bits: int = THRESHOLD) -> DataFrame:
@@ -291,38 +353,40 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, most_bits: int
     return found.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(hashes: bytes) -> np.ndarray:
-    """The different hashes, sorted."""
-    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
-
-
 def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), 7)
 
 
+POINT = ("fp", "node", "n", "low", "high")
+
+
 def _points(words_per_shingle: int):
-    """Fingerprint, a hash of the set of shingles, which is the number of the point, and the size of the set, of every row."""
+    """Of every row fingerprint, a hash of the set of shingles, which is the number of the point, its size and sketch; and in one last row the task's counts of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, key = np.zeros(BUCKETS, np.int64), None
         for b in chunks(batches):
             hashes = [shingle_hashes(x.as_py(), words_per_shingle) for x in b.column("text")]
             sets = [shingle_set(h) for h in hashes]
-            fps, nodes = (np.array(v, np.uint64).view(np.int64) for v in ([fingerprint(h) for h in hashes], [_node(x) for x in sets]))
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(fps), pa.array(nodes), pa.array(map(len, sets), pa.int64())], names=["key", "fp", "node", "n"])
+            total += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            low, high = zip(*map(sketch, sets), strict=True)
+            unsigned = [[fingerprint(h) for h in hashes], [_node(x) for x in sets], list(map(len, sets)), low, high]
+            key = b.column("key")
+            yield pa.RecordBatch.from_arrays([key, *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in unsigned), pa.nulls(b.num_rows, pa.binary())], names=["key", *POINT, "buckets"])
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key.type), *(pa.nulls(1, pa.int64()) for _ in POINT), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["key", *POINT, "buckets"])
 
     return run
 
 
-def _bucket_counts(words_per_shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for b in chunks(batches):
-            h = np.frombuffer(b"".join([shingle_hashes(x.as_py(), words_per_shingle) for x in b.column("text")]), ">u8")
-            total += np.bincount((h % BUCKETS).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    return run
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in batches:
+        for raw in b.column("buckets"):
+            x = np.frombuffer(raw.as_py(), "<i8")
+            total = x if total is None else total + x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["buckets"])
 
 
 def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
@@ -332,42 +396,67 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.nd
     return shingles[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
-def _prefixes(shipped, words_per_shingle: int, similarity: float):
+def _prefixes(shipped, words_per_shingle: int, similarity: float, meeting: int, remembered: int):
+    """The points at each shingle of their prefixes. A shingle where many meet has groups of chunks, of which each point is in as many as there are chunks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shipped.value, set()
+        noise = counts.mean()  # what other shingles add to the count of a bucket
         for b in chunks(batches):
-            tokens, nodes, sizes = [], [], []
+            fronts, points = [], []
             for t in b.column("text"):
                 x = shingle_set(shingle_hashes(t.as_py(), words_per_shingle))
                 node = _node(x)
                 if node in seen or not len(x):
                     continue
-                if len(seen) < SEEN:
+                if len(seen) < remembered:
                     seen.add(node)  # copies that this task meets later would say the same
-                tokens.append(prefix(x, counts, similarity))
-                nodes.append(node)
-                sizes.append(len(x))
-            if nodes:
-                m = [len(t) for t in tokens]
-                columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.uint64).view(np.int64), m), np.repeat(np.array(sizes, np.int32), m)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "size"])
+                fronts.append(prefix(x, counts, similarity))
+                points.append((node, len(x), *sketch(x)))
+            if not points:
+                continue
+            token = np.concatenate(fronts)
+            point = np.repeat(np.array(points, np.uint64).view(np.int64), [len(f) for f in fronts], axis=0)
+            many = 1 + np.maximum(0, (counts[(token % np.uint64(BUCKETS)).astype(np.int64)] - noise) // meeting).astype(np.int64)
+            group = token.view(np.int64).copy()
+            if (many > 1).any():
+                row = np.repeat(np.arange(len(token)), many)
+                c, j = many[row], np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                i = point[row, 0].view(np.uint64) % c.astype(np.uint64)
+                pair = np.minimum(i.astype(np.int64), j) * c + np.maximum(i.astype(np.int64), j)
+                group = np.where(c > 1, (token[row] ^ ((pair.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64), group[row])
+                point = point[row]
+            yield pa.RecordBatch.from_arrays([pa.array(group), *(pa.array(np.ascontiguousarray(v)) for v in point.T)], names=["group", "node", "n", "low", "high"])
 
     return run
 
 
-def _chains(similarity: float):
-    """Edges between neighbours by size among the rows of a token, sorted by token and size, unless one is too small for the other."""
+def _meetings(similarity: float):
+    """Edges of a spanning forest of the points alike in each group, from rows sorted by group and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[np.ndarray] = []
-        for b in batches:
-            if not b.num_rows:
+        for group, node, size, low, high in whole_groups(batches):
+            alone = np.concatenate([[True], (group[1:] != group[:-1]) | (node[1:] != node[:-1])])  # one row of each point
+            first, n = _bounds(group[alone])
+            place = np.flatnonzero(alone)[np.repeat(n > 1, n)]
+            if not len(place):
                 continue
-            here = [b.column(c).to_numpy(zero_copy_only=False) for c in ("token", "node", "size")]
-            token, node, size = (np.concatenate(v) for v in zip(last, here, strict=True)) if last else here
-            last = [v[-1:] for v in here]
-            linked = np.flatnonzero((token[1:] == token[:-1]) & (node[1:] != node[:-1]) & (size[:-1] >= similarity * size[1:] - 1e-6))
-            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[linked + 1])], names=["a", "b"])
+            group, node, size, low, high = (v[place] for v in (group, node, size, low, high))
+            first, n = _bounds(group)
+            alike = Alike(similarity, size, low.view(np.uint64), high.view(np.uint64))
+
+            def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                large = n >= 128  # noqa: B023
+                for at, m in zip(first[large].tolist(), n[large].tolist(), strict=True):  # noqa: B023
+                    for i, found in sweep(m, lambda i, others: alike(at + i, at + others)):  # noqa: B023
+                        yield np.full(len(found), at + i), at + found
+                ends = np.repeat(first + n, n)  # noqa: B023
+                left = np.flatnonzero(~np.repeat(large, n))  # noqa: B023
+                for a, b in _pieces(left, left + 1, ends[left] - left - 1):
+                    keep = alike(a, b)  # noqa: B023
+                    yield a[keep], b[keep]
+
+            yield _linked(node, pairs())
 
     return run
 
@@ -433,26 +522,22 @@ def _verified(shipped, words_per_shingle: int, similarity: float):
     return run
 
 
-def similar_edges(keyed: DataFrame, found: DataFrame, words_per_shingle: int, most_bits: int, similarity: float) -> DataFrame:
-    """Edges (a, b) among the nodes of ``found(key, fp, node, n)`` that connect all whose texts in ``keyed(key, text)`` are similar.
+def similar_edges(keyed: DataFrame, found: DataFrame, counts: np.ndarray, words_per_shingle: int, most_bits: int, similarity: float) -> DataFrame:
+    """Edges (a, b) among the nodes of ``found`` (see ``_points``) that connect all whose texts in ``keyed(key, text)`` are similar.
 
     Sets of shingles are made anew where they are needed: they take more room than the texts.
     """
-    buckets = keyed.select("text").mapInArrow(_bucket_counts(words_per_shingle), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in buckets.collect():
-        counts[r["bucket"]] = r["n"]
     shipped = keyed.sparkSession.sparkContext.broadcast(counts)
-    tokens = keyed.select("text").mapInArrow(_prefixes(shipped, words_per_shingle, similarity), "token long, node long, size int")
-    chains = tokens.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_chains(similarity), "a long, b long")
-    near = near_edges(cut(found.select("node", "fp").distinct()), most_bits)
-    labels = components(chains.unionAll(near))
+    fronts = keyed.select("text").mapInArrow(_prefixes(shipped, words_per_shingle, similarity, MEETING, SEEN), "group long, node long, n long, low long, high long")
+    meetings = fronts.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_meetings(similarity), "a long, b long")
+    near = near_edges(cut(found.select(*POINT).distinct()), most_bits, similarity)
+    labels = components(near.unionAll(meetings))
     labels = labels.unionAll(labels.select(F.col("root").alias("node"), "root").distinct())
     # one copy of each set that has a candidate; large components fall into chunks that meet pairwise
     first = labels.join(found.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n")), "node")
     sizes = first.groupBy("root").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("c"))
     members = written(first.join(sizes, "root").select("key", "node", "root", "c"), "candidates")
-    split = keyed.join(members, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    split = keyed.join(members.hint("shuffle_hash"), "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
     split = split.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     group = F.when(F.col("c") == 1, F.col("root")).otherwise(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")))
     dealt = split.select(group.alias("group"), "node", "text").repartition("group").sortWithinPartitions("group")
@@ -463,8 +548,11 @@ def deduplicate(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = 7,
     """``docs`` with one row of each component: the first by doc_id, nulls last, then by a hash of the row.
 
     Rows are linked when the Jaccard similarity of their sets of shingles is ``similarity`` or more; every such pair
-    is found. Only keys take part in the choice; rows cross the network once, to meet the keys
-    of those that go, and are not sorted. Rows that are equal in every column count as copies of one another.
+    is found. A text of fewer words than a shingle has the whole sequence as its one shingle; null, empty and blank texts
+    have none and are copies of one another, so that one of them stays. Very long texts are compared whole. Only keys take
+    part in the choice; rows cross the network once, to meet the keys of those that go, and are not sorted. Rows that are
+    equal in every column count as copies of one another. An empty table gives an empty result; columns are those of ``docs``,
+    whatever their names.
     """
     ensure_importable(docs.sparkSession)
     every = [F.col(f"`{c}`") for c in docs.columns]
@@ -473,8 +561,11 @@ def deduplicate(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = 7,
     keyed = marked.select(key.alias("key"), "text")
     kind = keyed.schema["key"].dataType.simpleString()
     # equal sets: one point
-    found = written(keyed.mapInArrow(_points(words_per_shingle), f"key {kind}, fp long, node long, n long"), "fingerprints")
-    labels = components(similar_edges(keyed, found, words_per_shingle, most_bits, similarity)).select(F.col("node").alias("n"), "root")
+    made = written(keyed.mapInArrow(_points(words_per_shingle), f"key {kind}, " + "".join(f"{c} long, " for c in POINT) + "buckets binary"), "fingerprints")
+    found = made.filter("buckets is null").drop("buckets")
+    sums = made.filter("buckets is not null").select("buckets").repartition(16).mapInArrow(_added, "buckets binary").collect()
+    counts = sum((np.frombuffer(r["buckets"], "<i8") for r in sums), np.zeros(BUCKETS, np.int64))
+    labels = components(similar_edges(keyed, found, counts, words_per_shingle, most_bits, similarity)).select(F.col("node").alias("n"), "root")
     points = found.groupBy("node").agg(F.min("key").alias("first"))
     rooted = points.join(labels, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("first").alias("stays"))

@@ -92,18 +92,43 @@ def jaccard(a, b, k=5):
     return len(x & y) / len(x | y)
 
 
-def test_sketch_estimates_similarity():
-    rng = random.Random(3)
-    errors = []
-    for _ in range(40):
-        a = [str(rng.random()) for _ in range(400)]
-        b = list(a)
-        for _ in range(rng.randrange(60)):
-            b[rng.randrange(400)] = str(rng.random())
-        a, b = " ".join(a), " ".join(b)
-        sketches = [np.frombuffer(S.sketch(S.shingle_hashes(t, 5)), np.uint8)[None] for t in (a, b)]
-        errors.append(S.similar(*sketches)[0] - jaccard(a, b))
-    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.09
+def test_sketches_let_similar_sets_through_and_few_others():
+    rng = np.random.default_rng(3)
+    for n in (1, 4, 20, 90, 400, 3000):
+        passed = 0
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            gone = int(rng.integers(0, n // 9 + 1))  # as many are exchanged: a similarity of 0.8 at least
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**64, gone, dtype=np.uint64)]))
+            c = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            low, high = (np.array(x, np.uint64) for x in zip(*map(S.sketch, (a, b, c)), strict=True))
+            alike = S.Alike(0.8, np.array([len(a), len(b), len(c)]), low, high)
+            assert alike(0, 1) and alike(0, 0)
+            passed += bool(alike(0, np.array([2]))[0])
+        assert passed <= (60 if n < 4 else 3)
+    assert S.sketch(np.zeros(0, np.uint64)) == (0, 0)
+
+
+def test_sweep_finds_the_components_of_all_pairs():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 400, 120)
+    compared = []
+
+    def near(i, others):
+        compared.append(len(others))
+        return np.abs(x[others] - x[i]) <= 2
+
+    label = np.arange(len(x))
+    for i, found in S.sweep(len(x), near):
+        label = S.forest(np.full(len(found), i), found, label)
+    order = np.argsort(x, kind="stable")
+    want = np.zeros(len(x), int)
+    want[order] = np.cumsum(np.concatenate([[0], np.diff(x[order]) > 2]))
+    assert len(set(zip(label, want, strict=True))) == len(set(label)) == len(set(want))
+    x = np.zeros(5000)
+    compared.clear()
+    list(S.sweep(len(x), near))
+    assert sum(compared) < 5000, "copies are not compared with one another"
 
 
 def test_deduplicate(spark, docs):
@@ -140,10 +165,11 @@ def slow_keepers(rows, least=0.8):
     return sorted(rows[i][0] for i in range(len(rows)) if top(i) == i)
 
 
-@pytest.mark.parametrize(("shingles", "seen"), [(1 << 20, 1 << 19), (500, 5)])
-def test_deduplicate_equals_brute_force(spark, docs, monkeypatch, shingles, seen):
-    monkeypatch.setattr(S, "SHINGLES", shingles, raising=False)  # 500: components are cut into chunks
-    monkeypatch.setattr(S, "SEEN", seen, raising=False)
+@pytest.mark.parametrize(("shingles", "seen", "meeting"), [(1 << 20, 1 << 19, 1 << 18), (500, 5, 4)])
+def test_deduplicate_equals_brute_force(spark, docs, monkeypatch, shingles, seen, meeting):
+    monkeypatch.setattr(S, "SHINGLES", shingles)  # 500: components are cut into chunks
+    monkeypatch.setattr(S, "SEEN", seen)
+    monkeypatch.setattr(S, "MEETING", meeting)  # 4: so are texts that meet at a shingle
     rng = random.Random(5)
     rows = []
     for _ in range(25):
@@ -157,4 +183,14 @@ def test_deduplicate_equals_brute_force(spark, docs, monkeypatch, shingles, seen
             rows.append((len(rows), " ".join(copy)))
     far = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8 and (slow_fingerprint(rows[i][1], 5) ^ slow_fingerprint(rows[j][1], 5)).bit_count() > 7]
     assert far
+    rows += [(900 + i, " ".join(words[:40] + [f"p{rng.randrange(10**6)}" for _ in range(20)])) for i in range(150)]  # a passage that many share
     assert sorted(r.doc_id for r in S.deduplicate(docs(rows).repartition(3)).collect()) == slow_keepers(rows)
+
+
+def test_hot_groups_are_found_whole(spark, docs):
+    rng = random.Random(8)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(100)]
+    rows = [(i, " ".join(w if j != i % 100 else f"n{i}" for j, w in enumerate(words))) for i in range(400)] + [(1000 + i, " ".join(words)) for i in range(300)]
+    rows += [(2000, "very " * 60_000 + "long"), (2001, "very " * 60_000 + "long"), (2002, "short text"), (2003, "short text"), (2004, None), (2005, " ")]
+    got = S.deduplicate(docs(rows).repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2000, 2002, 2004]
