@@ -5,6 +5,10 @@ constants, which Spark evaluates as a hash set); its size is checked, and a larg
 joined instead. A document is scanned in two steps: pairs of adjacent words are looked up in the set
 of the benchmark's pairs, and only a document with a long enough run of known pairs has its windows
 built and looked up. The set holds the windows themselves, so that a hit is exact.
+
+For a larger benchmark the windows of documents meet those of the benchmark by 64-bit hashes: in a broadcast hash join
+up to ``MOST_HASHES`` of them, else in a shuffle in which each window of the benchmark is dealt over ``SALT`` tasks, since
+one passage may be in many documents. What meets is held to the windows themselves.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Windows of a benchmark that travel with the plan, and characters of them; beyond either it is joined.
 MOST_WINDOWS, MOST_CHARS = 50_000, 16_000_000
+#: Hashes of windows that are broadcast, 16 bytes each, and parts into which the documents' windows of one hash are dealt beyond that.
+MOST_HASHES, SALT = 1_000_000, 16
 HITS = "array<struct<pos:int,len:int,window:string>>"
 
 
@@ -70,14 +76,25 @@ def _joined(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
     """As ``with_hits`` for a benchmark of any size: windows of documents meet those of the benchmark in a join."""
     docs = docs.withColumn("_w", words(F.col("text"))).withColumn("_row", F.monotonically_increasing_id())
     kept = written(docs, "windows")
-    lengths = [r[0] for r in found.select("len").distinct().collect()]  # at most ``size`` of them
+    known = written(found.select("window", "len").distinct(), "benchmark-windows")
+    lengths = [r[0] for r in known.select("len").distinct().collect()]  # at most ``size`` of them
     each = None
     for n in lengths:
-        w = kept.filter(F.size("_w") >= n).select("_row", F.expr(f"posexplode(transform(sequence(0, size(_w) - {n}), i -> array_join(slice(_w, i + 1, {n}), ' ')))").alias("pos", "window")).withColumn("len", F.lit(n))
-        each = w if each is None else each.unionAll(w)
+        at = kept.filter(F.size("_w") >= n).select("_row", F.expr(f"posexplode(transform(sequence(0, size(_w) - {n}), i -> xxhash64(array_join(slice(_w, i + 1, {n}), ' '))))").alias("pos", "h"))
+        at = at.withColumn("len", F.lit(n))
+        each = at if each is None else each.unionAll(at)
     if each is None:
         return kept.drop("_row").withColumn("_hits", F.array().cast(HITS))
-    hits = each.join(found.select("window", "len").distinct(), ["window", "len"], "left_semi").groupBy("_row").agg(F.collect_list(F.struct("pos", "len", "window")).alias("_hits"))
+    hashes = known.select(F.xxhash64("window").alias("h"), "len").distinct()
+    if hashes.count() <= MOST_HASHES:
+        met = each.join(F.broadcast(hashes), ["h", "len"], "left_semi")
+    else:
+        dealt = hashes.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        met = each.withColumn("s", F.pmod("_row", F.lit(SALT)).cast("int")).join(dealt, ["h", "len", "s"], "left_semi")
+    met = met.groupBy("_row").agg(F.collect_list(F.struct("pos", "len")).alias("_met"))  # a document has no more hits than words and lengths
+    seen = kept.select("_row", "_w").join(met, "_row").select("_row", F.explode(F.expr("transform(_met, m -> named_struct('pos', m.pos, 'len', m.len, 'window', array_join(slice(_w, m.pos + 1, m.len), ' ')))")).alias("hit"))
+    seen = seen.join(known.select(F.col("window").alias("_known")), F.col("hit.window") == F.col("_known"), "left_semi")
+    hits = seen.groupBy("_row").agg(F.collect_list("hit").alias("_hits"))
     return kept.join(hits, "_row", "left").drop("_row").withColumn("_hits", F.coalesce(F.col("_hits").cast(HITS), F.array().cast(HITS)))
 
 
@@ -91,7 +108,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tuple[Dat
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A null, empty or blank text has no words and is clean; rows that repeat each get a row; an empty
+    A null, empty or blank text has no words and is clean; a very long text is scanned whole; rows that repeat each get a
+    row; an empty table gives an empty result and other columns are ignored; an empty
     benchmark, or one of blank items, leaves all clean; an item that repeats in the benchmark counts once
     by its item_id; items without an id make a hit but are not counted among items.
     """
@@ -112,8 +130,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rem
     """``docs`` without what it shares with the benchmark.
 
     remove="documents": rows with a hit go, the others stay as they are. remove="spans": the words of
-    each hit are cut from ``text``, with what stands between them, and a blank takes their place. The
-    columns are those of ``docs``; names that begin with an underscore and clash with ours are kept apart.
+    each hit are cut from ``text``, with what stands between them, and a blank takes their place; hits that overlap or
+    follow one another are one cut. Words are cut by their place, so equal words elsewhere stay, and the work follows the
+    length of the text, however long. Null, empty and blank texts have no hit and stay; rows that repeat are each judged; an
+    empty table, or an empty benchmark, changes nothing. The columns are those of ``docs``, whatever their names.
     """
     columns = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_all"), F.col("text"))
@@ -124,14 +144,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rem
         return numbered.filter("size(_hits) = 0 and _row >= 0").select("_all.*")
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
-    inside = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
-    between = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-    # covered positions in runs: a run is cut whole, so that windows that overlap do not hide one another
-    covered = "array_sort(array_distinct(flatten(transform(_hits, h -> sequence(h.pos, h.pos + h.len - 1)))))"
-    runs = "transform(filter(_c, p -> not array_contains(_c, p - 1)), p -> slice(_w, p + 1, element_at(filter(_c, q -> q >= p and not array_contains(_c, q + 1)), 1) - p + 1))"
-    pattern = f"concat('(?i)(?<!{inside})', array_join(r, '{between}'), '(?!{inside})')"
-    cut_text = f"if(size(_hits) = 0, text, aggregate(array_sort(_runs, (a, b) -> size(b) - size(a)), text, (t, r) -> regexp_replace(t, {pattern}, ' ')))"
-    out = scanned.withColumn("_c", F.expr(covered)).withColumn("_runs", F.expr(runs)).withColumn("_text", F.expr(cut_text))
+    word = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+    # a column that a function reads for each word is named twice where it is read: Catalyst then computes it once
+    last = scanned.withColumn("_h", F.expr("array_sort(_hits)"))
+    last = last.withColumn("_h", F.expr("filter(_h, (h, k) -> k + 1 = size(_h) or get(_h, k + 1).pos != h.pos)"))
+    # of each word the end of the longest hit that starts there, 0 if none does
+    gap = "coalesce(get(_h, k + 1).pos, size(_w)) - h.pos - 1"
+    ends = last.withColumn("_e", F.expr(f"if(size(_h) = 0, cast(array() as array<int>), concat(array_repeat(0, get(_h, 0).pos), flatten(transform(_h, (h, k) -> concat(array(h.pos + h.len), array_repeat(0, {gap}))))))"))
+    covered = ends.withColumn("_c", F.expr(f"if(size(_e) = 0, cast(array() as array<boolean>), transform(sequence(0, size(_e) - 1), i -> exists(slice(_e, greatest(1, i + 2 - {size}), least({size}, i + 1)), e -> e > i)))"))
+    parts = covered.withColumn("_v", F.expr(f"regexp_extract_all(text, '({word})', 1)")).withColumn("_s", F.expr(f"split(text, '{word}', -1)"))
+    piece = "if(_c[i], if(i > 0 and _c[i - 1], '', concat(_s[i], ' ')), concat(_s[i], _v[i]))"
+    cut_text = f"if(size(_hits) = 0, text, concat(array_join(transform(sequence(0, size(_v) - 1), i -> {piece}), ''), _s[size(_v)]))"
+    out = parts.withColumn("_text", F.expr(cut_text))
     return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_all.`{c}`").alias(c) for c in columns])
 
 

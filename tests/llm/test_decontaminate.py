@@ -48,9 +48,10 @@ def corpus():
     return rows, items
 
 
-@pytest.mark.parametrize("most", [D.MOST_WINDOWS, 0])
-def test_report_equals_brute_force(spark, docs, monkeypatch, most):
+@pytest.mark.parametrize(("most", "hashes"), [(D.MOST_WINDOWS, D.MOST_HASHES), (0, D.MOST_HASHES), (0, 0)])
+def test_report_equals_brute_force(spark, docs, monkeypatch, most, hashes):
     monkeypatch.setattr(D, "MOST_WINDOWS", most)  # 0: by joins
+    monkeypatch.setattr(D, "MOST_HASHES", hashes)  # 0: by a shuffle
     rows, items = corpus()
     got = sorted((tuple(r) for r in D.report(docs(rows).withColumnRenamed("source", "window").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()), key=repr)
     assert got == slow(rows, items)
@@ -95,3 +96,54 @@ def test_empty_sides(spark, docs):
 def test_no_python_on_the_main_path(spark, docs):
     plan = D.decontaminate(docs([(1, "a")]), spark.createDataFrame([(1, "a b")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def slow_cut(text, items):
+    """The text without the words of hits, a blank for each run of them."""
+    spans = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+    w, hit = tokens(text), set()
+    for _, t in items:
+        x = tokens(t)
+        for k in range(max(1, len(x) - 9) if x else 0):
+            y = x[k : k + 10]
+            for i in range(len(w) - len(y) + 1):
+                if w[i : i + len(y)] == y:
+                    hit |= set(range(i, i + len(y)))
+    if not hit:
+        return text
+    out, at, i = [], 0, 0
+    while i < len(w):
+        if i in hit:
+            out.append(text[at : spans[i][0]] + " ")
+            while i + 1 in hit:
+                i += 1
+            at = spans[i][1]
+        i += 1
+    return "".join([*out, text[at:]])
+
+
+@pytest.mark.parametrize("most", [D.MOST_WINDOWS, 0])
+def test_spans_equal_brute_force(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(D, "MOST_WINDOWS", most)
+    rows, items = corpus()
+    items += [(90, " ".join(f"k{i}" for i in range(10))), (91, "b c")]
+    rows += [(700, "a b " + " ".join(f"k{i}" for i in range(10)) + " c d B, c"), (701, "b c"), (702, "x b c"), (703, "B-C b c...")]
+    got = D.decontaminate(docs(rows).withColumnRenamed("source", "_h").repartition(3), spark.createDataFrame(items, "item_id long, text string"), remove="spans")
+    assert got.columns == ["doc_id", "text", "lang", "_h", "n_chars"]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(((i, slow_cut(t, items)) for i, t in rows), key=repr)
+
+
+def test_spans_of_long_texts_take_linear_time(spark, docs):
+    import time
+
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    took = []
+    for n in (2_000, 64_000):
+        text = " ".join("one two three" if i % 4 == 0 else f"w{i}" for i in range(n))
+        began = time.monotonic()
+        [r] = D.decontaminate(docs([(1, text)]), items, remove="spans").collect()
+        took.append(time.monotonic() - began)
+        assert r.text.split() == [f"w{i}" for i in range(n) if i % 4]
+    assert took[1] < 60, took
+    empty = D.decontaminate(docs([]), items, remove="spans")
+    assert empty.count() == 0 and D.decontaminate(docs([(1, "one two three")]), items.limit(0), remove="spans").first().text == "one two three"
