@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plazaflow.session import clean, scratch, shared_dir, written
 
-__all__ = ["ascii_lower", "clean", "cut", "scratch", "shared_dir", "written"]
+__all__ = ["ascii_lower", "build_side", "clean", "cut", "scratch", "shared_dir", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,6 +18,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of keys that are broadcast at most.
+MOST_KEYS = 500_000
+
+
+def build_side(keys: DataFrame) -> DataFrame:
+    """``keys``, written and a few numbers wide, as the side of a join that is built: broadcast up to ``MOST_KEYS`` rows, else
+    hashed after a shuffle, so that the whole rows on the other side are never sorted."""
+    return F.broadcast(keys) if keys.count() <= MOST_KEYS else keys.hint("shuffle_hash")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case and no other letter changed.
 

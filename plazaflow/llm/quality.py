@@ -1,11 +1,15 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of characters.
+"""Quality classifier: perplexity under interpolated modified Kneser-Ney trigram models of characters, one a language.
 
-The model is trained on trusted text, a bounded sample of the documents labelled good. N-gram counts,
-continuation counts and the statistics of contexts are tables keyed by n-gram, dealt over the cluster
-and joined there; the finished model, whose size the alphabet bounds (``SYMBOLS`` cubed numbers), is
-laid out as a dense table and broadcast, so that a document meets its n-grams by lookup and no n-gram
-of a document is ever shuffled. A document's perplexity is compared with a quantile, for its language, of the perplexities
-of all documents labelled good.
+The models are trained on trusted text, a bounded sample of the documents labelled good; one more, of the
+sample's languages together, serves documents of other languages. N-gram counts, continuation counts and the
+statistics of contexts are tables keyed by (language, n-gram), dealt over the cluster and joined there. An n-gram is a
+long, 21 bits a code point, so that no alphabet is cut.
+
+Documents meet the counts in joins: the different n-grams of all documents, gathered by tasks before they are
+shuffled, are joined with the tables of each order, which gives every n-gram its probability. Up to ``MOST_GRAMS``
+of these probabilities are broadcast and a document adds up those of its n-grams where it stands; more are joined with the
+n-grams of each document, counted before they are shuffled and dealt over ``SALT`` parts. A document's perplexity is compared
+with a quantile, for its language, of the perplexities of all documents labelled good.
 
 Before it is cut into characters, a text has its white space made even, and a word that repeats the
 one before it becomes one symbol of its own: trusted text has next to no runs of them.
@@ -21,20 +25,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plazaflow.llm.common import cut, written
+from plazaflow.llm.common import build_side, written
 from plazaflow.llm.token_blocks import chunks
 from plazaflow.session import ensure_importable
 
-#: Symbols: start, end, any other character, a repeated word, and the most frequent characters.
-SYMBOLS = 96
-START, END, OTHER, REPEAT = range(4)
-#: Labelled documents that the model is trained on, at most, chosen by a hash of doc_id.
+#: Bits of a symbol, and the symbols that are no code points: start and end. A repeated word is U+0001.
+BITS = 21
+START, END = 0x110000, 0x110001
+#: Labelled documents that the models are trained on, at most, chosen by a hash of doc_id.
 TRUSTED = 20_000
 QUANTILE = 0.998
 #: Discounts of the counts 1, 2 and more are no less than this: a small sample may show none, and unseen n-grams need their share.
 LEAST_DISCOUNT = 0.05
 #: A text's perplexity is drawn towards the mean of its language's good texts as if it had so many more symbols of that mean.
 PRIOR = 300
+#: Probabilities of n-grams that are broadcast, 16 bytes each, and parts into which a hot n-gram's documents are dealt beyond that.
+MOST_GRAMS, SALT = 2_000_000, 16
+#: Different n-grams that a task holds before it passes them on.
+HELD = 1_000_000
+#: The model of all languages, and the row of the limits for languages without trusted text of their own, and for null.
+ANY = "\0"
 
 
 def marked(text: str | None) -> str:
@@ -43,29 +53,13 @@ def marked(text: str | None) -> str:
     return "".join([" " + a if a != b else "\1" for a, b in zip(w, [""] + w)])  # noqa: B905
 
 
-@dataclass
-class Model:
-    """symbol: of each code point; logp: natural logarithms for codes (a * SYMBOLS + b) * SYMBOLS + c."""
-
-    symbol: np.ndarray
-    logp: np.ndarray
-
-    def codes(self, text: str | None) -> np.ndarray:
-        return trigrams(self.symbol, text)
-
-    def score(self, text: str | None) -> tuple[float, int]:
-        """(negative log likelihood, symbols) of the whole text, its end included."""
-        c = self.codes(text)
-        return -float(self.logp[c].sum(dtype=np.float64)), len(c)
-
-
-def trigrams(symbol: np.ndarray, text: str | None) -> np.ndarray:
-    """Codes of the trigrams of a text and its end; none for a text without words."""
-    s = symbol[np.frombuffer(marked(text).encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
+def trigrams(text: str | None) -> np.ndarray:
+    """The trigrams of a text and its end as longs; none for a text without words."""
+    s = np.frombuffer(marked(text).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     if not len(s):
         return s
-    s = np.concatenate([[START, START], s, [END]]).astype(np.int32)
-    return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+    s = np.concatenate([[START, START], s, [END]])
+    return (s[:-2] << (2 * BITS)) | (s[1:-1] << BITS) | s[2:]
 
 
 def good_rows(labels: DataFrame) -> DataFrame:
@@ -79,168 +73,271 @@ def trusted_rows(labels: DataFrame, most: int) -> DataFrame:
     return clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def _symbols(texts: DataFrame) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
-        for b in chunks(batches):
-            for t in b.column("text").to_pylist():
-                points, n = np.unique(np.frombuffer(marked(t).encode("utf-32-le", "replace"), np.uint32), return_counts=True)
-                total[points] += n
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["point", "n"])
-
-    counts = texts.select("text").mapInArrow(run, "point int, n long").filter("point <> 1").groupBy("point").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "point").limit(SYMBOLS - 4).collect()
-    symbol = np.full(0x110000, OTHER, np.uint8)
-    symbol[1] = REPEAT
-    for i, r in enumerate(top):
-        symbol[r["point"]] = 4 + i
-    return symbol
-
-
-def _stats(counts: DataFrame, by: list[str]) -> tuple[DataFrame, list[float]]:
-    """Of each context: total and weight of the lower order; and the discounts of counts 1, 2 and more."""
-    n1, n2, n3, n4 = (counts.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)])).first()
-    y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    d = [min(max(LEAST_DISCOUNT, i - (i + 1) * y * after / before), float(i)) if before else LEAST_DISCOUNT for i, before, after in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    weight = d[0] * F.count_if(F.col("n") == 1) + d[1] * F.count_if(F.col("n") == 2) + d[2] * F.count_if(F.col("n") >= 3)
-    return counts.groupBy(*by).agg(F.sum("n").alias("total"), (weight / F.sum("n")).alias("g")), d
+GRAMS = "lang string, code long, n long"
 
 
-def _discounted(d: list[float]):
-    n = F.col("n")
-    return n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+def _grams(lang: list[str], code: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+    flat = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (code, n)]
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(lang, object), [len(c) for c in code]), pa.string()), *map(pa.array, flat)], names=["lang", "code", "n"])
 
 
-def train(texts: DataFrame) -> Model | None:
-    """The model of ``texts(text)``; None if there are none."""
-    ensure_importable(texts.sparkSession)
-    symbol = _symbols(texts)
-    shipped = texts.sparkSession.sparkContext.broadcast(symbol)
+def gram_counts(texts: DataFrame, as_model) -> DataFrame:
+    """(lang, code, n) of the trigrams of ``texts(text, lang)``. as_model: from a language to those it is counted for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**3, np.int64)
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in chunks(batches):
-            for t in b.column("text").to_pylist():
-                c, n = np.unique(trigrams(shipped.value, t), return_counts=True)
-                total[c] += n
-        found = np.flatnonzero(total)
-        a, rest = np.divmod(found, SYMBOLS**2)
-        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (a, rest // SYMBOLS, rest % SYMBOLS)), pa.array(total[found])], names=["a", "b", "c", "n"])
-
-    c3 = cut(texts.select("text").mapInArrow(run, "a int, b int, c int, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")))
-    c2 = cut(c3.groupBy("b", "c").agg(F.count("*").alias("n")))
-    c1 = cut(c2.groupBy("c").agg(F.count("*").alias("n")))
-    if c1.isEmpty():
-        return None
-    s1, d1 = _stats(c1.withColumn("root", F.lit(0)), ["root"])
-    s2, d2 = _stats(c2, ["b"])
-    s3, d3 = _stats(c3, ["a", "b"])
-    total1, g1 = s1.select("total", "g").first()
-    p1 = cut(c1.select("c", (_discounted(d1) / total1 + g1 / SYMBOLS).alias("p1")))
-    p2 = cut(c2.join(s2, "b").join(p1, "c").select("b", "c", (_discounted(d2) / F.col("total") + F.col("g") * F.col("p1")).alias("p2")))
-    p3 = c3.join(s3, ["a", "b"]).join(p2, ["b", "c"]).select("a", "b", "c", (_discounted(d3) / F.col("total") + F.col("g") * F.col("p2")).alias("p3"))
-    # the tables have SYMBOLS, its square and its cube rows at most
-    one = np.full(SYMBOLS, g1 / SYMBOLS)
-    x = p1.toPandas()
-    one[x["c"]] = x["p1"]
-    two = np.tile(one, (SYMBOLS, 1))
-    x = s2.select("b", "g").toPandas()
-    two[x["b"]] = x["g"].to_numpy()[:, None] * one
-    x = p2.toPandas()
-    two[x["b"], x["c"]] = x["p2"]
-    three = np.tile(two, (SYMBOLS, 1, 1))
-    x = s3.select("a", "b", "g").toPandas()
-    three[x["a"], x["b"]] = x["g"].to_numpy()[:, None] * two[x["b"]]
-    x = p3.toPandas()
-    three[x["a"], x["b"], x["c"]] = x["p3"]
-    return Model(symbol, np.log(three).astype(np.float32).ravel())
-
-
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, nll and n of every row of ``docs(doc_id, text, lang)``."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+            found: dict[str, list[np.ndarray]] = {}
+            for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
+                for k in as_model(lang):
+                    found.setdefault(k, []).append(trigrams(t))
+            for k, parts in found.items():
+                code, n = np.unique(np.concatenate(parts), return_counts=True)
+                if k in held:
+                    old, m = held[k]
+                    code, of = np.unique(np.concatenate([old, code]), return_inverse=True)
+                    n = np.bincount(of, np.concatenate([m, n]), len(code)).astype(np.int64)
+                held[k] = code, n
+            if sum(len(c) for c, _ in held.values()) > HELD:
+                yield _grams(list(held), *map(list, zip(*held.values(), strict=True)))
+                held = {}
+        if held:
+            yield _grams(list(held), *map(list, zip(*held.values(), strict=True)))
+
+    return texts.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, GRAMS).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def _tail(code: Column, symbols: int) -> Column:
+    """The last symbols of an n-gram."""
+    return code.bitwiseAND((1 << (BITS * symbols)) - 1)
+
+
+def _discounted(counts: DataFrame) -> DataFrame:
+    """``counts(lang, code, n)`` with d, the discount of each n in its language."""
+    of = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
+    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.0)
+    for i in (1, 2, 3):
+        d = F.least(F.greatest(F.lit(LEAST_DISCOUNT), i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0))), F.lit(float(i)))
+        of = of.withColumn(f"d{i}", F.when(F.col(f"n{i}") > 0, d).otherwise(LEAST_DISCOUNT))
+    of = written(of.select("lang", "d1", "d2", "d3"), "discounts")  # a row a language
+    return counts.join(of, "lang").select("lang", "code", "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Tables by (lang, n-gram): probabilities p1, p2 and p3 of n-grams seen, weights g2 and g3 of the lower order by context, and root, the
+    probability of an unseen symbol, by language; langs: the languages that have a model."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            found = [shipped.value.score(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("lang").cast(pa.string()), pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "lang", "nll", "n"])
+    p1: DataFrame
+    p2: DataFrame
+    p3: DataFrame
+    g2: DataFrame
+    g3: DataFrame
+    root: DataFrame
+    langs: frozenset[str]
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, nll double, n long")
+    def probabilities(self, grams: DataFrame) -> DataFrame:
+        """``grams(lang, code)`` and lp, the natural logarithm of the probability of the last symbol after the two before it."""
 
+        def met(rows: DataFrame, table: DataFrame, key: Column) -> DataFrame:
+            return rows.withColumn("key", key).join(table.withColumnRenamed("code", "key"), ["lang", "key"], "left").drop("key")
 
-#: Language of the row of the limits that holds for languages without trusted text of their own, and for null.
-ANY = "\0"
+        code = F.col("code")
+        rows = met(met(met(grams, self.p3, code), self.g3, F.shiftright(code, BITS)), self.p2, _tail(code, 2))
+        rows = met(met(rows, self.g2, F.shiftright(_tail(code, 2), BITS)), self.p1, _tail(code, 1)).join(self.root, "lang")
+        one = F.lit(1.0)
+        two = F.coalesce("p2", F.coalesce("g2", one) * F.coalesce("p1", "root"))
+        return rows.select("lang", "code", F.ln(F.coalesce(F.col("p3"), F.coalesce("g3", one) * two)).alias("lp"))
+
+
+def train(texts: DataFrame) -> Model | None:
+    """The models of ``texts(text, lang)``; None if there are none with words."""
+    ensure_importable(texts.sparkSession)
+    c3 = written(gram_counts(texts, lambda lang: {ANY} if lang is None else {ANY, lang}), "grams-3")
+    c2 = written(c3.groupBy("lang", _tail(F.col("code"), 2).alias("code")).agg(F.count("*").alias("n")), "grams-2")
+    c1 = written(c2.groupBy("lang", _tail(F.col("code"), 1).alias("code")).agg(F.count("*").alias("n")), "grams-1")
+    share = [F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("g")]
+    left = (F.col("n") - F.col("d")) / F.col("total")
+    d1, d2, d3 = (_discounted(c) for c in (c1, c2, c3))
+    s1 = written(d1.groupBy("lang").agg(*share, (F.sum("d") / F.sum("n") / (F.count("*") + 1)).alias("root")), "root")
+    s2 = written(d2.groupBy("lang", F.shiftright("code", BITS).alias("ctx")).agg(*share), "contexts-2")
+    s3 = written(d3.groupBy("lang", F.shiftright("code", BITS).alias("ctx")).agg(*share), "contexts-3")
+    langs = frozenset(r["lang"] for r in s1.select("lang").collect())  # no more than texts
+    if not langs:
+        return None
+    p1 = written(d1.join(s1, "lang").select("lang", "code", (left + F.col("root")).alias("p1")), "p1")
+
+    def seen(d: DataFrame, s: DataFrame, lower: DataFrame, symbols: int) -> DataFrame:
+        rows = d.withColumn("ctx", F.shiftright("code", BITS)).join(s, ["lang", "ctx"]).withColumn("key", _tail(F.col("code"), symbols - 1))
+        rows = rows.join(lower.select("lang", F.col("code").alias("key"), F.col(f"p{symbols - 1}").alias("lower")), ["lang", "key"])
+        return written(rows.select("lang", "code", (left + F.col("g") * F.col("lower")).alias(f"p{symbols}")), f"p{symbols}")
+
+    p2 = seen(d2, s2, p1, 2)
+    p3 = seen(d3, s3, p2, 3)
+    g2, g3 = (s.select("lang", F.col("ctx").alias("code"), F.col("g").alias(name)) for s, name in ((s2, "g2"), (s3, "g3")))
+    return Model(p1, p2, p3, g2, g3, s1.select("lang", "root"), langs)
+
+
+class Table:
+    """Logarithms by n-gram in flat arrays: open addressing, a quarter full at most."""
+
+    def __init__(self, code: np.ndarray, lp: np.ndarray):
+        bits = max(4, (4 * len(code)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.value = np.zeros(1 << bits)
+        at, left = self._slot(code), np.arange(len(code))
+        while len(left):
+            free = left[self.key[at[left]] < 0]
+            self.key[at[free]] = code[free]  # of several that want a slot the last gets it
+            left = left[self.key[at[left]] != code[left]]
+            at[left] = (at[left] + 1) & self.mask
+        self.value[at] = lp
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, code: np.ndarray) -> np.ndarray:
+        """Of n-grams that are all in the table."""
+        at = self._slot(code)
+        left = np.flatnonzero(self.key[at] != code)
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            left = left[self.key[at[left]] != code[left]]
+        return self.value[at]
+
+
+@dataclass(frozen=True)
+class Scorer:
+    """Scores documents of the table that it was made for. grams: (lang, code, lp) of all their n-grams; shipped: the same for workers, or None if they are too many."""
+
+    langs: frozenset[str]
+    grams: DataFrame
+    shipped: object | None
+
+    def __call__(self, docs: DataFrame, carried: list[str]) -> DataFrame:
+        """The columns ``carried`` of ``docs(text, lang, ...)``, whose text and lang are taken off, with nll and n_symbols of each row."""
+        schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carried)
+        rows = docs.select(*carried, F.col("text").alias("_text"), F.col("lang").cast("string").alias("_lang"))
+        return self._broadcast(rows, carried, schema) if self.shipped else self._joined(rows, carried, schema)
+
+    def _broadcast(self, rows: DataFrame, carried: list[str], schema: str) -> DataFrame:
+        shipped, langs = self.shipped, self.langs
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = {k: Table(np.frombuffer(c, np.int64), np.frombuffer(v)) for k, (c, v) in shipped.value.items()}
+            for b in chunks(batches):
+                codes = [trigrams(t) for t in b.column("_text").to_pylist()]
+                lang = [k if k in langs else ANY for k in b.column("_lang").to_pylist()]
+                nll = [-float(tables[k](c).sum()) if len(c) else 0.0 for k, c in zip(lang, codes, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(nll, pa.float64()), pa.array(map(len, codes), pa.int64())], names=[*carried, "nll", "n_symbols"])
+
+        return rows.mapInArrow(run, schema + "nll double, n_symbols long")
+
+    def _joined(self, rows: DataFrame, carried: list[str], schema: str) -> DataFrame:
+        langs = self.langs
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            row = TaskContext.get().partitionId() << 40
+            for b in chunks(batches):
+                found = [np.unique(trigrams(t), return_counts=True) for t in b.column("_text").to_pylist()]
+                ends = pa.array(np.cumsum([0, *(len(c) for c, _ in found)]).astype(np.int32))
+                code, n = (np.concatenate(v) for v in zip(*found, strict=True))
+                grams = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"]))
+                lang = pa.array([k if k in langs else ANY for k in b.column("_lang").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(np.arange(row, row + b.num_rows)), lang, pa.array([int(x.sum()) for _, x in found], pa.int64()), grams], names=[*carried, "_row", "_lang", "n_symbols", "_grams"])
+                row += b.num_rows
+
+        counted = written(rows.mapInArrow(run, schema + "_row long, _lang string, n_symbols long, _grams array<struct<code:long,n:long>>"), "document-grams")
+        each = counted.select("_row", F.col("_lang").alias("lang"), F.explode("_grams").alias("g")).select("_row", "lang", "g.code", "g.n", F.pmod("_row", F.lit(SALT)).cast("int").alias("s"))
+        dealt = self.grams.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        sums = each.join(dealt, ["lang", "code", "s"]).groupBy("_row").agg((-F.sum(F.col("n") * F.col("lp"))).alias("nll"))
+        return counted.join(sums, "_row", "left").select(*carried, F.coalesce("nll", F.lit(0.0)).alias("nll"), "n_symbols")
+
+
+def scorer(docs: DataFrame, model: Model, most: int | None = None) -> Scorer:
+    """What scores the rows of ``docs(text, lang)``: the different n-grams of all of them with their probabilities."""
+    langs = model.langs
+    grams = gram_counts(docs, lambda lang: {lang if lang in langs else ANY}).select("lang", "code")
+    grams = written(model.probabilities(grams), "probabilities")
+    shipped = None
+    if grams.count() <= (MOST_GRAMS if most is None else most):
+        found = grams.toArrow().to_pandas()
+        of = {k: (x["code"].to_numpy(np.int64).tobytes(), x["lp"].to_numpy(np.float64).tobytes()) for k, x in found.groupby("lang")}
+        shipped = docs.sparkSession.sparkContext.broadcast(of)
+    return Scorer(langs, grams, shipped)
 
 
 def _perplexity(mean: Column) -> Column:
-    return F.exp((F.col("nll") + PRIOR * mean) / (F.col("n") + PRIOR))
+    return F.exp((F.col("nll") + PRIOR * mean) / (F.col("n_symbols") + PRIOR))
+
 
+def limits(good: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """lang, mean (nll a symbol) and threshold over ``good(lang, nll, n_symbols)``, the documents labelled good; one row, ``ANY``, over those of all languages.
 
-def limits(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """lang, mean (nll a symbol) and threshold over all documents labelled good; one row, ``ANY``, over those of all languages."""
-    good = scored.join(good_rows(labels), "doc_id", "left_semi").filter("n > 0")
-    good = cut(good.withColumn("lang", F.explode(F.array_distinct(F.array(F.coalesce("lang", F.lit(ANY)), F.lit(ANY))))))
-    means = good.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
-    found = good.join(means, "lang").groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx(_perplexity(F.col("mean")), quantile, 10_000).alias("threshold"))
+    Means and quantiles are aggregated before they are shuffled, so a language of any share is no task's work.
+    """
+    good = good.filter("n_symbols > 0")
+    good = written(good.withColumn("lang", F.explode(F.array_distinct(F.array(F.coalesce("lang", F.lit(ANY)), F.lit(ANY))))), "good-scores")
+    means = written(good.groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean")), "means")
+    dealt = good.withColumn("s", F.pmod(F.xxhash64("nll"), F.lit(SALT))).join(means.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["lang", "s"])
+    found = dealt.groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx(_perplexity(F.col("mean")), quantile, 10_000).alias("threshold"))
     return written(found, "quality-limits")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRUSTED, quantile: float = QUANTILE) -> tuple[Model, DataFrame, DataFrame] | None:
-    """(model, scores of all rows, limits); None if no document is labelled good."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRUSTED, quantile: float = QUANTILE, **more: Column) -> tuple[DataFrame, DataFrame] | None:
+    """(scores, limits): doc_id, lang, the columns ``more``, nll and n_symbols of every row of ``docs``, written; None if no document is labelled good."""
     ensure_importable(docs.sparkSession)
     chosen = written(trusted_rows(labels, most), "trusted")  # at most ``most`` ids, so they can be broadcast
-    model = train(written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text"), "trusted-text"))
+    model = train(written(docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang"), "trusted-text"))
     if model is None:
         return None
-    scored = written(scores(docs, model), "quality-scores")
-    return model, scored, limits(scored, labels, quantile)
+    rows = docs.select("doc_id", "text", "lang", F.col("lang").cast("string").alias("_language"), *[c.alias(name) for name, c in more.items()])
+    scored = scorer(docs.select("text", "lang"), model)(rows, ["doc_id", "_language", *more]).withColumnRenamed("_language", "lang")
+    scored = written(scored, "quality-scores")
+    return scored, limits(scored.join(good_rows(labels), "doc_id", "left_semi").select("lang", "nll", "n_symbols"), quantile)
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = TRUSTED, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold and keep of every row of ``docs(doc_id, text, lang)``.
 
     A null, empty or blank text has no symbols, and so the mean perplexity of good texts in its language: it
-    is kept. A language without trusted text, or null, is held to the limits of all languages together.
-    Rows that repeat are each judged. Without a document labelled good there is no model: all rows are kept,
-    with null figures. Other columns are ignored.
+    is kept. A very long text is scored whole. A language without trusted text, or null, is scored by the model of all
+    languages together and held to their limits. Rows that repeat are each judged. Without a document labelled good
+    there is no model: all rows are kept, with null figures. An empty table gives an empty result. Other columns are ignored.
     """
     found = fit(docs, labels, most, quantile)
     if found is None:
         return docs.select("doc_id", "lang", *[F.lit(None).cast(t).alias(c) for c, t in (("n_symbols", "long"), ("perplexity", "double"), ("threshold", "double"))], F.lit(True).alias("keep"))
-    _, scored, limit = found
-    judged = _limited(scored, limit).withColumn("perplexity", _perplexity(F.col("mean")))
-    return judged.select("doc_id", "lang", F.col("n").alias("n_symbols"), "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("keep"))
+    return _judged(*found).select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "keep")
 
 
-def _limited(rows: DataFrame, limit: DataFrame) -> DataFrame:
-    """``rows`` with the mean and threshold of their language."""
+def _judged(rows: DataFrame, limit: DataFrame) -> DataFrame:
+    """``rows(lang, nll, n_symbols)`` with perplexity, the threshold of their language and keep."""
     general = limit.filter(F.col("lang") == ANY).first()
     own = limit.filter(F.col("lang") != ANY).select(F.col("lang").alias("_lang"), "mean", "threshold")
     joined = rows.join(own, rows["lang"] == own["_lang"], "left").drop("_lang")
-    return joined.withColumn("mean", F.coalesce("mean", F.lit(general["mean"]))).withColumn("threshold", F.coalesce("threshold", F.lit(general["threshold"])))
+    mean, threshold = (F.coalesce(c, F.lit(general[c])) for c in ("mean", "threshold"))
+    return joined.withColumn("perplexity", _perplexity(mean)).withColumn("threshold", threshold).withColumn("keep", F.col("perplexity") <= F.col("threshold"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = TRUSTED, quantile: float = QUANTILE) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, in their own columns. Texts are scored again rather than shuffled."""
-    found = fit(docs, labels, most, quantile)
+    """The rows of ``docs`` that ``classify`` keeps, in their own columns, whatever their names.
+
+    Null, empty and blank texts stay, as in ``classify``; so do all rows where no document is labelled good; rows that
+    repeat are each judged and very long texts read whole; an empty table gives an empty result.
+    """
+    every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    found = fit(docs, labels, most, quantile, _hash=every)
     if found is None:
         return docs
-    model, _, limit = found
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("lang"), F.col("text").alias("_text"))
-    rows = _limited(rows, limit).select("row", "_text", "mean", "threshold")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            found = np.array([shipped.value.score(t) for t in b.column("_text").to_pylist()]).reshape(-1, 2)
-            mean, threshold = (b.column(c).to_numpy(zero_copy_only=False) for c in ("mean", "threshold"))
-            keep = np.exp((found[:, 0] + PRIOR * mean) / (found[:, 1] + PRIOR)) <= threshold
-            yield b.select(["row"]).filter(pa.array(keep))
-
-    schema = rows.select("row").schema
-    return rows.mapInArrow(run, schema).select("row.*")
+    # equal rows have equal verdicts; rows cross the network at most once, to meet the keys of those that go
+    gone = written(_judged(*found).filter(~F.col("keep")).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_gone")).distinct(), "rejected")
+    marked_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col("doc_id").alias("_key"), every.alias("_hash"))
+    kept = marked_rows.join(build_side(gone), marked_rows["_key"].eqNullSafe(gone["_id"]) & (marked_rows["_hash"] == gone["_gone"]), "left_anti")
+    return kept.select("_all.*")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plazaflow.llm.common import cut, written
+from plazaflow.llm.common import build_side, cut, written
 from plazaflow.llm.token_blocks import chunks
 from plazaflow.session import ensure_importable
 
@@ -537,7 +537,7 @@ def similar_edges(keyed: DataFrame, found: DataFrame, counts: np.ndarray, words_
     first = labels.join(found.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n")), "node")
     sizes = first.groupBy("root").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("c"))
     members = written(first.join(sizes, "root").select("key", "node", "root", "c"), "candidates")
-    split = keyed.join(members.hint("shuffle_hash"), "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    split = keyed.join(build_side(members), "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
     split = split.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     group = F.when(F.col("c") == 1, F.col("root")).otherwise(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")))
     dealt = split.select(group.alias("group"), "node", "text").repartition("group").sortWithinPartitions("group")
@@ -571,7 +571,7 @@ def deduplicate(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = 7,
     stay = rooted.groupBy("root").agg(F.min("first").alias("stays"))
     of = cut(rooted.select("node", "root").join(stay, "root").select("node", "stays"))
     gone = written(found.select("key", "node").join(of, "node").filter("key <> stays").select(F.col("key.doc_id").alias("_id"), F.col("key._tie").alias("_gone")), "duplicates")
-    kept = marked.join(gone.hint("shuffle_hash"), marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_tie"] == gone["_gone"]), "left_anti")
+    kept = marked.join(build_side(gone), marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_tie"] == gone["_gone"]), "left_anti")
     same = written(found.groupBy("key").count().filter("count > 1").select(F.col("key.doc_id").alias("_id"), F.col("key._tie").alias("_same")), "equal-rows")
     if same.isEmpty():
         return kept.select("_all.*")

@@ -9,11 +9,15 @@ from plazaflow.llm import quality as Q
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def slow_model(texts, symbol):
+def symbols(text):
+    return [Q.START, Q.START, *map(ord, Q.marked(text)), Q.END]
+
+
+def slow_model(texts):
     """Interpolated modified Kneser-Ney in plain Python: a function (a, b, c) -> probability."""
     grams = Counter()
     for t in filter(Q.marked, texts):
-        s = [Q.START, Q.START, *(int(symbol[ord(ch)]) for ch in Q.marked(t)), Q.END]
+        s = symbols(t)
         grams.update(zip(s, s[1:], s[2:], strict=False))
     two = Counter((b, c) for _, b, c in grams)
     one = Counter(c for _, c in two)
@@ -39,26 +43,43 @@ def slow_model(texts, symbol):
 
         return p
 
-    p1 = level({(c,): n for c, n in one.items()}, lambda *_: 1 / Q.SYMBOLS)
+    p1 = level({(c,): n for c, n in one.items()}, lambda *_: 1 / (len(one) + 1))
     return level(grams, level(two, p1))
 
 
-TEXTS = ["the cat sat on the mat.", "The dog sat on the log, the the end", "", None, "Ünï çödé", "a a a a b"]
+TEXTS = [("the cat sat on the mat.", "en"), ("The dog sat on the log, the the end", "en"), ("", "en"), (None, None), ("Ünï çödé 漢字", "xx"), ("a a a a b", None), ("der Hund", "de")]
 
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return Q.train(spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3))
+    return Q.train(spark.createDataFrame(TEXTS, "text string, lang string").repartition(3))
 
 
-def test_model_equals_a_slow_one(model):
-    p = slow_model(TEXTS, model.symbol)
-    dense = np.exp(model.logp.reshape([Q.SYMBOLS] * 3).astype(np.float64))
+def test_models_equal_slow_ones(spark, model):
+    assert model.langs == {Q.ANY, "en", "xx", "de"}
     rng = random.Random(0)
-    for _ in range(4000):
-        g = [rng.randrange(40) for _ in range(3)]
-        assert dense[tuple(g)] == pytest.approx(p(*g), rel=1e-5)
-    assert np.allclose(dense.sum(axis=2), 1, atol=1e-5)
+    alphabet = [Q.START, Q.END, 1, *map(ord, " thecasonmdHuç漢z")]
+    want = {}
+    for lang in model.langs:
+        p = slow_model([t for t, k in TEXTS if lang in (Q.ANY, k)])
+        for _ in range(400):
+            g = tuple(rng.choice(alphabet) for _ in range(3))
+            want[lang, (g[0] << 42) | (g[1] << 21) | g[2]] = p(*g)
+        for ctx in ((ord("t"), ord("h")), (ord("z"), ord(" ")), (1, 1)):
+            every = {c for t, k in TEXTS if lang in (Q.ANY, k) for c in symbols(t)[2:] if Q.marked(t)}
+            assert sum(p(*ctx, c) for c in [*every, 0x10FFFF]) == pytest.approx(1)
+    got = model.probabilities(spark.createDataFrame(list(want), "lang string, code long")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert np.exp(r.lp) == pytest.approx(want[r.lang, r.code], rel=1e-9)
+
+
+def test_table():
+    rng = np.random.default_rng(1)
+    code = np.unique(rng.integers(0, 2**62, 5000))
+    t = Q.Table(code, np.arange(len(code)) / 7)
+    at = rng.integers(0, len(code), 9000)
+    assert (t(code[at]) == at / 7).all() and len(t(code[:0])) == 0
 
 
 def test_repeats_become_a_symbol():
@@ -96,6 +117,50 @@ def test_held_out_accuracy(spark, docs):
     assert same.columns == docs(rows).columns and {r.doc_id for r in same.collect()} == kept
 
 
+def slow_classify(rows, labels, quantile):
+    """doc_id -> (n_symbols, perplexity, threshold, keep), models, means and quantiles by plain Python."""
+    good = {i for i, q, _ in labels if q == 1}
+    trusted = {i for i, q, x in labels if q == 1 and not x}
+    langs = {k for i, t, k in rows if i in trusted and k and Q.marked(t)}
+    models = {k: slow_model([t for i, t, x in rows if i in trusted and k in (Q.ANY, x)]) for k in (*langs, Q.ANY)}
+
+    def scored(t, k):
+        s = symbols(t) if Q.marked(t) else []
+        return -sum(float(np.log(models[k if k in langs else Q.ANY](*g))) for g in zip(s, s[1:], s[2:], strict=False)), max(0, len(s) - 2)
+
+    found = {i: (*scored(t, k), k) for i, t, k in rows}
+    limit = {}
+    for k in {k for _, _, k in rows if k} | {Q.ANY}:
+        some = [(x, n) for i, (x, n, lang) in found.items() if i in good and n and k in (Q.ANY, lang)]
+        if some:
+            mean = sum(x for x, _ in some) / sum(n for _, n in some)
+            p = sorted(float(np.exp((x + Q.PRIOR * mean) / (n + Q.PRIOR))) for x, n in some)
+            limit[k] = mean, p[max(0, int(np.ceil(quantile * len(p))) - 1)]
+    out = {}
+    for i, (x, n, k) in found.items():
+        mean, threshold = limit.get(k, limit[Q.ANY])
+        p = float(np.exp((x + Q.PRIOR * mean) / (n + Q.PRIOR)))
+        out[i] = n, p, threshold, p <= threshold
+    return out
+
+
+@pytest.mark.parametrize("most", [Q.MOST_GRAMS, 0])
+def test_judgements_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(Q, "MOST_GRAMS", most)  # 0: by joins
+    rows, labels, _ = corpus()
+    rows = [(i, t.translate(str.maketrans("kalo", "кало")) if i % 5 == 0 else t, ["xx", "en", "en", None, "de"][i % 5]) for i, t in rows[:200]]
+    rows += [(900, None, "en"), (901, " ", "zz"), (902, "kalo " + "mine lo " * 20_000, "en"), (903, "漢字 " * 9, "zz")]
+    labels = [x for x in labels if x[0] < 200]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, row string").repartition(3)
+    want = slow_classify(rows, labels, 0.95)
+    got = {r.doc_id: (r.n_symbols, r.perplexity, r.threshold, r.keep) for r in Q.classify(df, spark.createDataFrame(labels, LABELS), quantile=0.95).collect()}
+    assert got.keys() == want.keys()
+    for i, (n, p, threshold, keep) in want.items():
+        assert got[i] == (n, pytest.approx(p, rel=1e-9), pytest.approx(threshold, rel=1e-9), keep), i
+    kept = Q.keep_good(df, spark.createDataFrame(labels, LABELS), quantile=0.95)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in want.items() if x[3])
+
+
 def test_edges(spark, docs):
     rows, labels, _ = corpus()
     df = docs(rows + [(None, None), (9001, ""), (9002, "kalo mine"), (9002, "kalo mine")]).withColumnRenamed("source", "threshold")
