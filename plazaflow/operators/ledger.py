@@ -46,7 +46,7 @@ def problem_report(latest_records: DataFrame, missing: DataFrame) -> DataFrame:
         F.when(F.col("status") == "error", F.lit(0)).otherwise(F.coalesce("rows_total", F.lit(0))).cast("bigint").alias("rows_saved"),
         F.replace(F.coalesce("error", F.lit("")), F.lit("\n"), F.lit(" ")).alias("reason"), "finished_at",
     )
-    gone = missing.select("file", "kind", "month", F.lit("missing_on_drive").alias("status"), F.lit(0).cast("bigint").alias("rows_saved"), F.lit("file is not on the source drive").alias("reason"), F.lit("").alias("finished_at"))
+    gone = missing.select("file", "kind", "month", F.lit("missing_on_drive").alias("status"), F.lit(0).cast("bigint").alias("rows_saved"), F.lit("no dump of this month was found").alias("reason"), F.lit("").alias("finished_at"))
     return bad.unionByName(gone)
 
 
@@ -67,8 +67,8 @@ def log_summary(log: DataFrame) -> DataFrame:
 
 
 def task_grid(months: DataFrame, sources: DataFrame, mode: str) -> DataFrame:
-    """task, mode, subreddit, month for every month and source. Both sides are lists of names, as long as a calendar and a command line."""
-    grid = months.select("month").join(F.broadcast(sources.select("subreddit")))
+    """task, mode, subreddit, month for every month and source. Months are as many as a calendar has and are what is broadcast; sources may be any number."""
+    grid = sources.select("subreddit").join(F.broadcast(months.select("month")))
     return grid.select(F.concat_ws("|", F.lit(mode), "subreddit", "month").alias("task"), F.lit(mode).alias("mode"), "subreddit", "month")
 
 

@@ -23,27 +23,35 @@ def manifest(spark: SparkSession, out: str) -> DataFrame:
     return ledger.latest(tables.read_ledger(spark, f"{out}/{MANIFEST_DIR}")).drop("line_no")
 
 
-def extract_dumps(spark: SparkSession, src: str, out: str, wanted: list[str], start: str, end: str, kind: str = "both", redo: bool = False, limit_bytes: int = 0, mirrors: tuple[str, ...] = ()) -> DataFrame:
+def extract_dumps(
+    spark: SparkSession, src: str, out: str, wanted: list[str], start: str, end: str, kind: str = "both", redo: bool = False, limit_bytes: int = 0,
+    mirrors: tuple[str, ...] = (), only: tuple[str, ...] = (), skip: tuple[str, ...] = (),
+) -> DataFrame:
     """Extract the months' dumps under ``src`` that are not done, append to the ledger and return the problem report.
 
-    All files of a kind are one job: Spark schedules a task a file and tries a failed one again.
+    only: months (YYYY-MM) to which the calendar is narrowed; skip: names of files that are left alone. A trial with
+    ``limit_bytes`` takes files up again whatever the ledger says. All files of a kind are one job, a task a file, and each
+    is read once: records, mirrors and verdicts are all made of what that reading wrote. A file that cannot be read gets its
+    verdict and does not stop the others.
     """
-    expected = ledger.expected_files(month_grid(spark, start, end))
+    months = month_grid(spark, start, end)
+    expected = ledger.expected_files(months.filter(F.col("month").isin(*only)) if only else months)
     if kind != "both":
         expected = expected.filter(F.col("kind") == kind)
     jobs = dumps.collect_jobs(expected, dumps.list_dumps(spark, src))
     present, missing = jobs.filter("path is not null"), jobs.filter("path is null").select("file", "kind", "month")
-    todo = ledger.work_list(present, manifest(spark, out), redo)
+    todo = present if limit_bytes else ledger.work_list(present, manifest(spark, out), redo)
+    if skip:
+        todo = todo.filter(~F.col("file").isin(*skip))
     paths: dict[str, list[str]] = {}
     for r in todo.select("kind", "path").collect():  # a row a file: the calendar bounds it
         paths.setdefault(r["kind"], []).append(r["path"])
     for k, found in sorted(paths.items(), reverse=True):
-        lines = dumps.read_dumps(spark, found, limit_bytes)
-        records = dumps.extract(lines, k, wanted).withColumn("month", dumps.name_parts(F.col("file"))["month"]).drop("line_no", "file")
-        tables.write_records(records, f"{out}/{k}")
-        for m in mirrors:
-            tables.write_records(records, f"{m}/{k}")
-        done = dumps.verdicts(lines, k, wanted, bool(limit_bytes)).withColumn("finished_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+        stage = written(dumps.staged(dumps.read_dumps(spark, sorted(found), limit_bytes), k, wanted), "dump-lines")
+        records = dumps.records(stage).withColumn("month", dumps.name_parts(F.col("file"))["month"]).drop("file")
+        for root in (out, *mirrors):
+            tables.write_records(records, f"{root}/{k}")
+        done = dumps.judge(stage, bool(limit_bytes)).withColumn("finished_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
         tables.append_ledger(done, f"{out}/{MANIFEST_DIR}")
     report = ledger.problem_report(manifest(spark, out), missing).orderBy("kind", "month")
     tables.write_report(report, f"{out}/{PROBLEMS_DIR}")

@@ -546,7 +546,7 @@ def work_list_redo(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {LATEST}, {GRID} SELECT file, kind, substr(file, 4, 7) AS month, status, CASE status WHEN 'error' THEN 0 ELSE rows_total END AS rows_saved, replace(coalesce(error, ''), chr(10), ' ') AS reason, finished_at
-    FROM latest WHERE status IN ('error', 'partial', 'stalled', 'truncated') UNION ALL SELECT file, kind, month, 'missing_on_drive', 0, 'file is not on the source drive', '' FROM grid WHERE file NOT IN (SELECT file FROM led)"""
+    FROM latest WHERE status IN ('error', 'partial', 'stalled', 'truncated') UNION ALL SELECT file, kind, month, 'missing_on_drive', 0, 'no dump of this month was found', '' FROM grid WHERE file NOT IN (SELECT file FROM led)"""
 )
 def problem_report(spark: SparkSession, d: str) -> DataFrame:
     return ledger.problem_report(_latest(spark, d), ledger.missing_files(_grid(spark), _ledger(spark, d)))

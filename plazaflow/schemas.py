@@ -5,14 +5,35 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "l": T.LongType(), "b": T.BooleanType(), "h": T.ShortType()}
-    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (x.split(":") for x in spec.split())])
-
-
-COMMENTS = _schema("id:s parent_id:s link_id:s author:s created_utc:l score:l body:s subreddit:s distinguished:s")
-SUBMISSIONS = _schema("id:s author:s created_utc:l score:l num_comments:l title:s selftext:s url:s domain:s is_self:b over_18:b subreddit:s")
-SAMPLE_EXTRA = _schema("batch:h slot_start:l")
+# The columns of records and what a sample adds to them.
+COMMENTS = (
+    T.StructType()
+    .add("id", "string")
+    .add("parent_id", "string")
+    .add("link_id", "string")
+    .add("author", "string")
+    .add("created_utc", "long")
+    .add("score", "long")
+    .add("body", "string")
+    .add("subreddit", "string")
+    .add("distinguished", "string")
+)
+SUBMISSIONS = (
+    T.StructType()
+    .add("id", "string")
+    .add("author", "string")
+    .add("created_utc", "long")
+    .add("score", "long")
+    .add("num_comments", "long")
+    .add("title", "string")
+    .add("selftext", "string")
+    .add("url", "string")
+    .add("domain", "string")
+    .add("is_self", "boolean")
+    .add("over_18", "boolean")
+    .add("subreddit", "string")
+)
+SAMPLE_EXTRA = T.StructType().add("batch", "short").add("slot_start", "long")
 
 
 def sample_schema(base: T.StructType) -> T.StructType:

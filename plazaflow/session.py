@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -36,10 +37,13 @@ def ensure_importable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the session has one.
 
-    A folder of our own is made only where none is set, as in local tests.
+    A folder of our own is made only where none is set and everything runs on one machine, as in local tests; on
+    a cluster that is an error, since executors do not see one another's folders.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="plazaflow-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plazaflow.functions.text import CSV_NULLS, NULL_TOKENS, null_tokens
 from plazaflow.operators.clean import q
@@ -57,9 +61,27 @@ def append_ledger(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """``write`` to a folder beside ``path``, then put it in its place.
+
+    What was there is moved aside before and deleted after, so that a run that fails at any point leaves one whole version.
+    """
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    write(new)
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = made(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = system.exists(made(path))
+    if before and not system.rename(made(path), made(old)):
+        raise OSError(f"{path} could not be moved")
+    if not system.rename(made(new), made(path)):
+        raise OSError(f"{new} could not be moved to {path}")
+    if before:
+        system.delete(made(old), True)
+
+
 def write_report(df: DataFrame, path: str) -> None:
-    """A small report as one CSV with a header, replacing the one before."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A small report as one CSV with a header, replacing the one before once it is written."""
+    replaced(df.sparkSession, path, lambda to: df.coalesce(1).write.csv(to, header=True))
 
 
 write_csv = write_report
@@ -75,15 +97,33 @@ def read_totals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=TOTALS)
 
 
+PLAN_KEYS = {"months": ["kind", "subreddit", "month"], "batches": ["kind", "subreddit", "month", "batch"]}
+
+
+def _plan_part(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """One part of a saved plan; of entries of the same key the one that was saved first."""
+    schema = T.StructType.fromDDL({"months": PLAN_MONTHS, "batches": PLAN_BATCHES}[part])
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema, T.StructField("saved_at", T.StringType())])).json(f"{path}/{part}")
+    first = F.min_by(F.struct(*schema.names), F.struct(F.coalesce("saved_at", F.lit("")), F.to_json(F.struct(*schema.names)))).alias("_row")
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in PLAN_KEYS[part]]).agg(first).select("_row.*")
+
+
 def read_plan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(months, batches) of a saved plan; a plan that is saved outweighs defaults."""
-    return spark.read.schema(PLAN_MONTHS).json(f"{path}/months"), spark.read.schema(PLAN_BATCHES).json(f"{path}/batches")
+    """(months, batches) of a saved plan; a plan that is saved outweighs defaults, and what was saved first what came later."""
+    return _plan_part(spark, path, "months"), _plan_part(spark, path, "batches")
 
 
 def save_plan(months: DataFrame, batches: DataFrame, path: str) -> None:
-    """Months and batches are added and never changed."""
-    months.write.mode("append").json(f"{path}/months")
-    batches.write.mode("append").json(f"{path}/batches")
+    """Months and batches are added and never changed: those that the plan already has are passed over."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("saved_at")
+    for part, df in (("months", months), ("batches", batches)):
+        known = _plan_part(df.sparkSession, path, part)
+        same = [df[k].eqNullSafe(known[k]) for k in PLAN_KEYS[part]]
+        new = df.join(known, same, "left_anti").select(*known.columns, now)
+        new.write.mode("append").json(f"{path}/{part}")
 
 
 def prefix(df: DataFrame, rows: int) -> DataFrame:

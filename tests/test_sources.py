@@ -95,6 +95,149 @@ def test_fields_are_dropped_when_refused():
     assert "fields" in s.asked[0] and "fields" not in s.asked[1]
 
 
+def test_questions_that_take_too_long_are_made_smaller():
+    class Slow(Server):
+        def __call__(self, url):
+            from urllib.parse import parse_qs, urlsplit
+
+            p = {k: int(v[0]) for k, v in parse_qs(urlsplit(url).query).items() if k in ("after", "before")}
+            if p["before"] - p["after"] > 3_600:
+                self.asked.append(p)
+                raise http.TooLong("422")
+            return super().__call__(url)
+
+    s = Slow()
+    c, waits = client(s)
+    assert [r["id"] for r in c.fetch_range("comments", "s", JAN, JAN + 5 * 3_600, page=7)] == [str(i) for i in range(20)]
+    assert c.exact_count("comments", "s", JAN, JAN + 40 * 3_600) == 20 and set(waits) == {0.5}
+    c, waits = client(Server([http.TooLong("422")] * 3))
+    assert c.exact_count("comments", "s", JAN, JAN + 5) == 7 and [w for w in waits if w != 0.5] == [2.0, 4.0, 8.0]
+    with pytest.raises(http.TooLong):
+        client(Server([http.TooLong("422")] * 99))[0].exact_count("comments", "s", JAN, JAN + 5)
+    with pytest.raises(http.TooLong):
+        list(client(Server([http.TooLong("422")] * 99))[0].fetch_range("comments", "s", JAN, JAN + 5))
+
+
+def test_errors_are_never_empty_pages():
+    class Broken(Server):
+        def __call__(self, url):
+            return {"error": "internal"} if len(self.asked) < self.bad and not self.asked.append(url) else super().__call__(url.replace("x?", "x?"))
+
+    s = Broken()
+    s.bad = 99
+    for ask in (lambda c: list(c.fetch_range("comments", "s", JAN, JAN + 9)), lambda c: c.exact_count("comments", "s", JAN, JAN + 9)):
+        with pytest.raises(http.ServerError):
+            ask(client(s)[0])
+    s = Broken()
+    s.bad = 2
+    c, waits = client(s)
+    assert c.exact_count("comments", "s", JAN, JAN + 5) == 7 and [w for w in waits if w != 0.5] == [1.0, 2.0]
+    c, waits = client(Server([http.TooManyRequests(5)] * 99))
+    with pytest.raises(http.TooManyRequests):
+        list(c.fetch_range("comments", "s", JAN, JAN + 9))
+    assert [w for w in waits if w != 0.5] == [5] * (http.TRIES - 1)
+
+
+def test_rates_of_three_pages(spark):
+    from plazaflow.operators.counts import estimated_counts
+
+    c, _ = client(Server())
+    assert c.page_rates("comments", "s", JAN, JAN + 30, page=5) == [(5, 2, 30), (5, 4, 30), (0, 10, 30)]
+    rates = spark.createDataFrame([("s", "2024-01", *r) for r in c.page_rates("comments", "s", JAN, JAN + 30, page=5)], "subreddit string, month string, rows long, seconds long, span long")
+    assert estimated_counts(rates).first().n == int((5 / 2 + 5 / 4) / 3 * 30)
+
+
+def test_a_bad_dump_does_not_stop_the_others(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    end = 1_454_284_800 + 28 * 86400  # in February 2016
+    dumps.write_dump(str(src / "RC_2016-02.zst"), [line(1, ts=end), line(2, ts=end)])
+    (src / "RC_2016-03.zst").write_bytes(b"this is no zstd data" * 50)
+    whole = tmp_path / "whole"
+    dumps.write_dump(str(whole), [line(i, ts=end + 60 * 86400, body=str(i * 7919 % 10_007) * 9) for i in range(30_000)])
+    (src / "RC_2016-04.zst").write_bytes(whole.read_bytes()[: whole.stat().st_size * 2 // 3])
+    dumps.write_dump(str(src / "RC_2016-05.zst"), [])
+    mirror = str(tmp_path / "mirror")
+    report = collection.extract_dumps(spark, str(src), out, ["memes"], "2016-02", "2016-06", kind="comments", mirrors=(mirror,))
+    assert {(r.month, r.status) for r in report.collect()} == {("2016-03", "error"), ("2016-04", "truncated"), ("2016-06", "missing_on_drive")}
+    ledger = {r.file[3:10]: r for r in collection.manifest(spark, out).collect()}
+    assert {m: r.status for m, r in ledger.items()} == {"2016-02": "ok", "2016-03": "error", "2016-04": "truncated", "2016-05": "ok"}
+    assert "zstd" in ledger["2016-03"].error and ledger["2016-02"].rows_total == 2
+    counts = {r.month: r["count"] for r in tables.read_records(spark, f"{out}/comments").groupBy("month").count().collect()}
+    assert counts["2016-02"] == 2 and counts["2016-04"] == ledger["2016-04"].rows_total > 0 and set(counts) == {"2016-02", "2016-04"}
+    assert tables.read_records(spark, f"{mirror}/comments").count() == sum(counts.values())
+
+
+def test_what_a_reader_says_of_its_file(spark, tmp_path):
+    path = str(tmp_path / "RC_2024-01.zst")
+    dumps.write_dump(path, [line(1)] * 3)
+
+    def said(**options):
+        reader = dumps._Reader({"paths": json.dumps([path]), **options})
+        return [r for b in reader.read(reader.partitions()[0]) for r in b.to_pylist()]
+
+    assert [r["problem"] for r in said()] == [None] * 3
+    assert said(leastseconds="-1", secondspergb="0")[-1]["problem"] == "stalled"
+
+    class Failing:
+        def __init__(self, raw):
+            self.raw = raw
+
+        def read(self, n=-1):
+            raise OSError(5, "input/output error")
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.close()
+
+        def close(self):
+            self.raw.close()
+
+    real = dumps._open
+    try:
+        dumps._open = lambda p: (Failing(real(p)[0]), 1)
+        assert said()[-1]["problem"] == "partial"
+    finally:
+        dumps._open = real
+    path = str(tmp_path / "RC_2024-02.zst")
+    assert said()[-1]["problem"] == "source_missing"
+    v = dumps.verdicts(dumps.read_dumps(spark, [path]), "comments", ["memes"]).first()
+    assert v.status == "source_missing" and v.rows_total == 0
+
+
+def test_only_and_skip(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    for m in ("01", "02", "03"):
+        dumps.write_dump(str(src / f"RC_2024-{m}.zst"), [line(1)])
+    report = collection.extract_dumps(spark, str(src), out, ["memes"], "2024-01", "2024-03", kind="comments", only=("2024-01", "2024-02"), skip=("RC_2024-02.zst",))
+    assert report.count() == 0 and [r.file for r in collection.manifest(spark, out).collect()] == ["RC_2024-01.zst"]
+
+
+def test_saved_plans_do_not_change(spark, tmp_path):
+    months = spark.createDataFrame([("comments", "s", "2024-01", "S", 1000, 10_000, 12_000, 1440)], tables.PLAN_MONTHS)
+    batches = spark.createDataFrame([("comments", "s", "2024-01", 1, 0, 5, 10_100)], tables.PLAN_BATCHES)
+    path = str(tmp_path / "plan")
+    tables.save_plan(months, batches, path)
+    tables.save_plan(months.withColumn("slot_minutes", F.lit(60).cast("long")), batches.withColumn("rows", F.lit(1).cast("long")).unionAll(batches.withColumn("batch", F.lit(2))), path)
+    spark.createDataFrame([("comments", "s", "2024-01", 1, 9, 9, 9, "9999")], tables.PLAN_BATCHES + ", saved_at string").write.mode("append").json(path + "/batches")
+    a, b = tables.read_plan(spark, path)
+    assert [r.slot_minutes for r in a.collect()] == [1440]
+    assert sorted((r.batch, r.rows) for r in b.collect()) == [(1, 10_100), (2, 10_100)]
+
+
+def test_reports_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "report")
+    tables.write_report(spark.range(3), path)
+    with pytest.raises(ZeroDivisionError):
+        tables.replaced(spark, path, lambda to: 1 / 0)
+    assert spark.read.csv(path, header=True).count() == 3
+    tables.write_report(spark.range(5), path)
+    assert spark.read.csv(path, header=True).count() == 5 and [p.name for p in tmp_path.iterdir() if p.is_dir()] == ["report"]
+
+
 def test_plan_and_batches(spark, tmp_path):
     rows = [(str(i), "s", JAN + i * 911 % (31 * 86400)) for i in range(12_000)]
     r = spark.createDataFrame(rows, "id string, subreddit string, created_utc long")
@@ -170,7 +313,8 @@ def test_archive_as_a_data_source(spark):
         def do_GET(self):  # noqa: N802
             p = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
             rows = [{"id": f"{p['subreddit']}{i}", "created_utc": str(JAN + i), "score": "3.9", "over_18": "1", "subreddit": p["subreddit"], "extra": 1} for i in range(250)]
-            found = [r for r in rows if int(p["after"]) <= int(r["created_utc"]) < int(p["before"])][: int(p["limit"])]
+            found = [r for r in rows if int(p["after"]) <= int(r["created_utc"]) < int(p["before"])]
+            found = [{"count": len(found)}] if "aggregate" in p else found[: int(p["limit"])]
             body = json.dumps({"data": found}).encode()
             self.send_response(200)
             self.end_headers()
@@ -184,8 +328,13 @@ def test_archive_as_a_data_source(spark):
     try:
         df = http.read_archive(spark, f"http://127.0.0.1:{server.server_port}", "submissions", [("a", JAN, JAN + 1000), ("b", JAN + 10, JAN + 20)], min_interval=0)
         got = df.collect()
+        ranges = [("a", JAN, JAN + 1000), ("b", JAN + 10, JAN + 20)]
+        counted = http.read_counts(spark, f"http://127.0.0.1:{server.server_port}", "submissions", ranges, min_interval=0).collect()
+        rates = http.read_rates(spark, f"http://127.0.0.1:{server.server_port}", "submissions", ranges, min_interval=0).collect()
     finally:
         server.shutdown()
+    assert {tuple(r) for r in counted} == {("a", "2024-01", 250), ("b", "2024-01", 10)}
+    assert len(rates) == 6 and all(r.span in (1000, 10) for r in rates)
     assert sorted(r.id for r in got if r.subreddit == "b") == sorted(f"b{i}" for i in range(10, 20))
     assert len({r.id for r in got}) == len(got) == 260
     assert {(r.score, r.over_18, r.title) for r in got} == {(3, True, None)}
