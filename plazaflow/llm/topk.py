@@ -1,26 +1,33 @@
 """Exact maximum-inner-product search by ball trees.
 
-Candidates are dealt into shards by a hash of their id, queries into blocks; a (shard, block) pair is a
-task. A shard's vectors form a ball tree: leaves of at most ``LEAF`` vectors, split at the median
-along the direction between two far points. The inner product of q with anything in a ball of centre c
-and radius r is at most q.c + |q| r. Leaves are visited in descending order of that bound, and a query skips a leaf
-whose bound is under its current k-th score. A first round searches one shard per block; its k-th
-scores are where the second round, over the other shards, starts from.
+Candidates are dealt into shards by a hash of their row; a shard's vectors form a ball tree, split at the median
+along the direction between two far points down to leaves of at most ``LEAF``. Each tree is built once, by one task,
+and written as a row. A search streams the queries of a shard past its tree: the inner product of q with
+anything in a ball of centre c and radius r is at most q.c + |q| r, nodes are taken in descending order of that
+bound, and a query leaves a node, and all below it, whose bound is under its current k-th score.
+
+The k-th scores are passed on between shards: in a first round a query searches one shard, in a second about the square
+root of them, in a third the rest, and each round starts from the k-th score of all rounds before.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plazaflow.llm.common import cut
+from plazaflow.llm.common import cut, written
 from plazaflow.session import ensure_importable
 
 LEAF = 128
-#: Candidates of a shard and queries of a block, about.
+#: Candidates of a shard, about, and queries that go past a tree at once.
 SHARD, QUERIES = 100_000, 4_000
 #: The score of no candidate; its negative is a long too.
 NONE = -(2**63) + 1
@@ -35,26 +42,62 @@ def scaled(c: Column, by: int = 64) -> Column:
 
 
 class BallTree:
-    """Leaves of a ball tree over the rows of ``x``: order of rows, bounds of leaves, centres and radii."""
+    """A ball tree over the rows of ``x``. order: rows by leaf; of each node lo and hi, its part of the order, left and right, its
+    children (-1 for a leaf), centre and radius; node 0 is the root, none if there are no rows."""
 
     def __init__(self, x: np.ndarray):
         self.order = np.arange(len(x))
-        self.bounds: list[tuple[int, int]] = []
-        todo = [(0, len(x))] if len(x) else []
+        nodes: list[list[int]] = []
+        todo = [(0, len(x), -1, 0)] if len(x) else []
         while todo:
-            lo, hi = todo.pop()
+            lo, hi, parent, side = todo.pop()
+            if parent >= 0:
+                nodes[parent][2 + side] = len(nodes)
+            nodes.append([lo, hi, -1, -1])
             if hi - lo <= LEAF:
-                self.bounds.append((lo, hi))
                 continue
             rows = x[self.order[lo:hi]]
             a = rows[np.argmax(((rows - rows.mean(axis=0)) ** 2).sum(axis=1))]
             b = rows[np.argmax(((rows - a) ** 2).sum(axis=1))]
             half = (hi - lo) // 2  # by rank and not by value: equal vectors are split too
             self.order[lo:hi] = self.order[lo:hi][np.argpartition(rows @ (b - a), half)]
-            todo += [(lo, lo + half), (lo + half, hi)]
-        self.centre = np.array([x[self.order[lo:hi]].mean(axis=0) for lo, hi in self.bounds]).reshape(len(self.bounds), x.shape[1])
-        radius = [np.sqrt(((x[self.order[lo:hi]] - c) ** 2).sum(axis=1).max()) for (lo, hi), c in zip(self.bounds, self.centre, strict=True)]
-        self.radius = np.array(radius)
+            me = len(nodes) - 1
+            todo += [(lo, lo + half, me, 0), (lo + half, hi, me, 1)]
+        self.lo, self.hi, self.left, self.right = np.array(nodes, np.int64).reshape(-1, 4).T.copy()
+        parts = [x[self.order[lo:hi]] for lo, hi in zip(self.lo, self.hi, strict=True)]
+        self.centre = np.array([p.mean(axis=0) for p in parts]).reshape(len(parts), x.shape[1])
+        self.radius = np.array([np.sqrt(((p - c) ** 2).sum(axis=1).max()) for p, c in zip(parts, self.centre, strict=True)])
+
+
+#: The arrays of a shard, each a binary column of its row; what the search needs beside the tree is in the tree's order.
+ARRAYS = {"x": np.int64, "ids": np.int64, "rows": np.int64, "lo": np.int64, "hi": np.int64, "left": np.int64, "right": np.int64, "centre": np.float64, "radius": np.float64}
+
+
+class Shard:
+    """The candidates of a shard in the order of its tree: x (longs), ids and rows, and the nodes."""
+
+    def __init__(self, width: int, **arrays: np.ndarray):
+        self.width = width
+        for name, a in arrays.items():
+            setattr(self, name, a.reshape(-1, width) if name in ("x", "centre") and width else a)
+        if not width:
+            self.x, self.centre = np.zeros((len(self.ids), 0), np.int64), np.zeros((len(self.lo), 0))
+        self.largest = float(np.abs(self.x).max(initial=0))
+
+    @classmethod
+    def of(cls, x: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> Shard:
+        t = BallTree(x.astype(np.float64))
+        return cls(x.shape[1], x=x[t.order], ids=ids[t.order], rows=rows[t.order], lo=t.lo, hi=t.hi, left=t.left, right=t.right, centre=t.centre, radius=t.radius)
+
+    def packed(self) -> list[bytes]:
+        """The arrays as bytes; vectors in the narrowest integers that hold them."""
+        kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if self.largest <= np.iinfo(k).max)
+        return [kind.encode() + self.x.astype(kind).tobytes() if name == "x" else np.ascontiguousarray(getattr(self, name), k).tobytes() for name, k in ARRAYS.items()]
+
+    @classmethod
+    def unpacked(cls, width: int, packed: list[bytes]) -> Shard:
+        arrays = {name: np.frombuffer(raw[3:], raw[:3].decode()).astype(np.int64) if name == "x" else np.frombuffer(raw, k) for (name, k), raw in zip(ARRAYS.items(), packed, strict=True)}
+        return cls(width, **arrays)
 
 
 class Best:
@@ -80,48 +123,70 @@ class Best:
         self.kth[who] = np.maximum(self.kth[who], self.score[who, -1])
 
 
-def search(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, q_rows: np.ndarray, k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+Found = list[tuple[np.ndarray, np.ndarray]]
+
+
+def search(shard: Shard, q: np.ndarray, q_rows: np.ndarray, k: int, least: np.ndarray) -> Found:
     """(score, id) of the k best of each query among the candidates, ties to the smaller id; those under ``least`` may be left out.
 
-    rows, q_rows: identities of rows; a query's own row is no candidate. First each query goes to its
-    most promising leaves; then the leaves are visited in descending order of the best bound that any query
-    has for them, each by the queries whose bound for it still reaches their k-th score.
+    q_rows: identities of the queries' rows; a query's own row is no candidate. Each query first goes down to its most
+    promising leaf; then nodes are taken in descending order of the best bound that any query has for them, with the queries whose
+    bound still reaches their k-th score.
     """
-    wide = float(max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))) ** 2 * max(1, x.shape[1])
-    kind = np.float32 if wide < 2**23 else np.float64 if wide < 2**52 else np.int64  # in which products are exact
-    tree = BallTree(x.astype(np.float64))
     best = Best(len(q), k, least)
-    if not tree.bounds or not len(q):
+    if not len(shard.lo) or not len(q):
         return [(np.zeros(0, np.int64),) * 2] * len(q)
-    fq = q.astype(np.float64)
+    width = max(shard.width, q.shape[1])  # the shorter are filled up with zeros
+    x, centre = (np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (shard.x, shard.centre))
+    q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
+    wide = max(shard.largest, float(np.abs(q).max(initial=0))) ** 2 * max(1, width)
+    kind = np.float32 if wide < 2**23 else np.float64 if wide < 2**52 else np.int64  # in which products are exact
+    x, goal, fq = x.astype(kind), q.astype(kind), q.astype(np.float64)
     norm = np.sqrt((fq**2).sum(axis=1))
-    bound = fq @ tree.centre.T + norm[:, None] * tree.radius[None, :]
-    bound += 1e-6 * (1 + np.abs(bound) + norm[:, None] * (np.abs(tree.centre).max() + tree.radius.max()))  # rounding never hides a leaf
-    leaves = [x[tree.order[lo:hi]].astype(kind) for lo, hi in tree.bounds]
-    goal = q.astype(kind)
-
-    def visit(at: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        some = tree.order[slice(*tree.bounds[leaf])]
-        score = goal[at] @ leaves[leaf].T
+    slack = 1e-6 * (1 + norm * (np.abs(centre).max(initial=0) * max(1.0, width**0.5) + shard.radius.max()))  # rounding never hides a node
+
+    def bounds(at: np.ndarray, node: int) -> np.ndarray:
+        b = fq[at] @ centre[node] + norm[at] * shard.radius[node]
+        return b + 1e-6 * np.abs(b) + slack[at]
+
+    def visit(at: np.ndarray, leaf: int) -> None:
+        lo, hi = shard.lo[leaf], shard.hi[leaf]
+        score = goal[at] @ x[lo:hi].T
         r, c = np.nonzero(score >= best.kth[at][:, None])
-        r, c = (v[q_rows[at[r]] != rows[some[c]]] for v in (r, c))
-        return at[r], score[r, c].astype(np.int64), ids[some[c]]
-
-    seen = np.zeros(bound.shape, bool)
-    enough = max(2, -(-2 * k // LEAF))
-    promising = np.argpartition(-bound, min(enough, bound.shape[1]) - 1, axis=1)[:, :enough]
-    found = []
-    for leaf in np.unique(promising):
-        at = np.flatnonzero((promising == leaf).any(axis=1))
-        seen[at, leaf] = True
-        found.append(visit(at, leaf))
-    best.offer(*(np.concatenate(v) for v in zip(*found, strict=True)))
-    for leaf in np.argsort(-bound.max(axis=0), kind="stable"):
-        at = np.flatnonzero((bound[:, leaf] >= best.kth) & ~seen[:, leaf])
-        if len(at):
-            got = visit(at, leaf)
-            if len(got[0]):
-                best.offer(*got)
+        other = q_rows[at[r]] != shard.rows[lo + c]
+        r, c = r[other], c[other]
+        if len(r):
+            best.offer(at[r], score[r, c].astype(np.int64), shard.ids[lo + c])
+
+    home = np.zeros(len(q), np.int64)
+    level = {0: np.arange(len(q))}
+    while level:
+        below: dict[int, np.ndarray] = {}
+        for node, at in level.items():
+            if shard.left[node] < 0:
+                home[at] = node
+                visit(at, node)
+                continue
+            left, right = int(shard.left[node]), int(shard.right[node])
+            first = bounds(at, left) >= bounds(at, right)
+            below |= {n: some for n, some in ((left, at[first]), (right, at[~first])) if len(some)}
+        level = below
+    every = np.arange(len(q))
+    start = bounds(every, 0)
+    heap = [(-float(start.max()), 0, every, start)]
+    while heap:
+        _, node, at, bound = heapq.heappop(heap)
+        at = at[bound >= best.kth[at]]
+        if shard.left[node] < 0:
+            at = at[home[at] != node]
+            if len(at):
+                visit(at, node)
+            continue
+        for child in (int(shard.left[node]), int(shard.right[node])) if len(at) else ():
+            b = bounds(at, child)
+            some = b >= best.kth[at]
+            if some.any():
+                heapq.heappush(heap, (-float(b[some].max()), child, at[some], b[some]))
     return [(s[s != NONE], i[s != NONE]) for s, i in zip(best.score, best.id, strict=True)]
 
 
@@ -135,14 +200,43 @@ def _matrix(v: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _searcher(k: int):
-    def run(cands: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(cands) or not len(queries):
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score", "qrow")})
-        width = max(map(len, [*cands["v"], *queries["v"]]), default=0)
-        found = search(_matrix(cands["v"], width), cands["vec_id"].to_numpy(), cands["row"].to_numpy(), _matrix(queries["v"], width), queries["row"].to_numpy(), k, queries["least"].to_numpy(np.float64))
-        n = [len(s) for s, _ in found]
-        return pd.DataFrame({"query_id": np.repeat(queries["vec_id"].to_numpy(), n), "vec_id": np.concatenate([i for _, i in found]), "score": np.concatenate([s for s, _ in found]), "qrow": np.repeat(queries["row"].to_numpy(), n)})
+def _width(v: pd.Series) -> int:
+    return max(map(len, v), default=0)
+
+
+TREES = "shard int, width int, " + ", ".join(f"{name} binary" for name in ARRAYS)
+
+
+def _tree(rows: pd.DataFrame) -> pd.DataFrame:
+    width = _width(rows["v"])
+    made = Shard.of(_matrix(rows["v"], width), rows["vec_id"].to_numpy(), rows["row"].to_numpy())
+    return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "width": [width], **{name: [raw] for name, raw in zip(ARRAYS, made.packed(), strict=True)}})
+
+
+def _searcher(k: int, block: int):
+    """Rows sorted by shard with each shard's tree first, then its queries: what each batch of queries finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tree = None, None
+        for b in batches:
+            shards = b.column("shard").to_numpy()
+            is_tree = b.column("width").is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], (shards[1:] != shards[:-1]) | is_tree[1:] | is_tree[:-1]]))
+            for lo, hi in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+                if is_tree[lo]:
+                    [r] = b.slice(lo, 1).to_pylist()
+                    at, tree = r["shard"], Shard.unpacked(r["width"], [r[name] for name in ARRAYS])
+                    continue
+                if shards[lo] != at:
+                    continue  # a shard without candidates
+                for i in range(lo, hi, block):
+                    part = b.slice(i, min(block, hi - i))
+                    v = part.column("v").to_pandas()
+                    ids, rows = (part.column(c).to_numpy() for c in ("vec_id", "row"))
+                    found = search(tree, _matrix(v, _width(v)), rows, k, part.column("least").to_numpy())
+                    n = [len(s) for s, _ in found]
+                    columns = np.repeat(ids, n), np.concatenate([x for _, x in found]), np.concatenate([s for s, _ in found]), np.repeat(rows, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score", "qrow"])
 
     return run
 
@@ -154,32 +248,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHARD,
     vectors; a vector shorter than another counts as filled up with zeros. Ties go to the smaller vec_id,
     and among rows that repeat one, each is a candidate with a rank of its own. Vectors that are null or
     hold null or non-finite components, and rows without vec_id, take no part. Fewer candidates than ``k``
-    give fewer rows, an empty table none. A query row that repeats gives its result once per row.
+    give fewer rows, an empty table none. A query row that repeats gives its result once per row. Other columns are ignored.
+
+    shard: candidates of a tree, about; block: queries that go past a tree at once.
     """
     spark = vectors.sparkSession
     ensure_importable(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding")).alias("v"), is_query.alias("is_query")).filter("vec_id is not null and v is not null")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    n, n_queries = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    # enough shards to occupy the cores, as long as a shard is worth a tree: candidates go to one task a block, queries to one a shard
+    n = rows.count()
+    # enough shards to occupy the cores, as long as a shard is worth a tree: queries go to one task a shard
     shards = max(1, -(-n // shard), min(2 * spark.sparkContext.defaultParallelism, n // 2_000))
-    blocks = max(1, -(-n_queries // block))
-    cands = rows.select("vec_id", "v", "row", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
-    cands = cands.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = rows.filter("is_query").select("vec_id", "v", "row", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    first = queries.withColumn("shard", F.pmod("block", F.lit(shards))).withColumn("least", F.lit(float("-inf")))
-
-    def round_of(q: DataFrame, c: DataFrame) -> DataFrame:
-        q = q.select(*[F.col(x).alias(x) for x in q.columns])  # both sides come from one table: else Spark takes their columns for the same
-        return c.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInPandas(_searcher(k), FOUND)
-
-    home = F.pmod("block", F.lit(shards)) == F.col("shard")
-    found = cut(round_of(first, cands.filter(home)))
-    if shards > 1:
-        kth = found.groupBy(F.col("qrow").alias("row")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("least"))
-        rest = queries.select(*[F.col(x).alias(x) for x in queries.columns]).join(kth, "row", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-        rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(~home)
-        found = found.unionByName(round_of(rest, cands.filter(~home)))
+    home = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
+    trees = written(rows.select("vec_id", "v", "row", home.alias("shard")).groupBy("shard").applyInPandas(_tree, TREES), "ball-trees")
+    names = [c for c in trees.columns if c != "shard"]
+    nothing = {c: F.lit(None).cast(trees.schema[c].dataType) for c in names}
+    first = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(shards)).cast("int")
+    queries = rows.filter("is_query").select("vec_id", "v", "row", first.alias("home")).withColumn("least", F.lit(float("-inf")))
+    ends = sorted({1, min(shards, 1 + math.isqrt(shards)), shards})
+    found = None
+    for lo, hi in zip([0, *ends], ends, strict=False):
+        if found is not None:
+            kth = F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(k)).cast("double")
+            kth = found.groupBy(F.col("qrow").alias("row")).agg(kth.alias("kth"))  # k scores of each shard at most
+            queries = queries.drop("least").join(kth, "row", "left").withColumn("least", F.coalesce("kth", F.lit(float("-inf")))).drop("kth")
+        each = queries.withColumn("o", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))).withColumn("shard", F.pmod(F.col("home") + F.col("o"), F.lit(shards)).cast("int"))
+        asked = each.select("shard", F.lit(1).alias("seq"), *[x.alias(c) for c, x in nothing.items()], "vec_id", "v", "row", "least")
+        no_query = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("vec_id", "v", "row", "least")]
+        met = trees.select("shard", F.lit(0).alias("seq"), *names, *no_query).unionByName(asked)
+        dealt = met.repartition(shards, "shard").sortWithinPartitions("shard", "seq")
+        more = cut(dealt.mapInArrow(_searcher(k, block), FOUND))
+        found = more if found is None else found.unionByName(more)
     best = Window.partitionBy("qrow").orderBy(F.desc("score"), "vec_id")  # at most k rows a query and shard
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -49,7 +49,7 @@ def test_bounds_hide_no_leaf():
     rng = np.random.default_rng(2)
     x = rng.integers(-40, 40, (3000, 6))
     q = x[:40]
-    found = K.search(x, np.arange(3000), np.arange(3000), q, np.arange(40), 7, np.full(40, -np.inf))
+    found = K.search(K.Shard.of(x, np.arange(3000), np.arange(3000)), q, np.arange(40), 7, np.full(40, -np.inf))
     score = q @ x.T
     for i, (s, ids) in enumerate(found):
         score[i, i] = -(10**9)
@@ -57,9 +57,45 @@ def test_bounds_hide_no_leaf():
         assert (ids == want).all() and (s == score[i][want]).all()
 
 
-def test_tree_covers_every_row_once():
+def test_every_node_holds_its_rows():
     x = np.random.default_rng(3).normal(size=(777, 3))
     t = K.BallTree(x)
-    assert sorted(t.order) == list(range(777)) and t.bounds and sum(b - a for a, b in t.bounds) == 777
-    for (a, b), c, r in zip(t.bounds, t.centre, t.radius, strict=True):
+    assert sorted(t.order) == list(range(777)) and (t.lo[0], t.hi[0]) == (0, 777)
+    leaves = t.left < 0
+    assert (t.hi - t.lo)[leaves].sum() == 777 and (t.hi - t.lo)[leaves].max() <= K.LEAF
+    for n in np.flatnonzero(~leaves):
+        assert (t.lo[t.left[n]], t.hi[t.left[n]], t.hi[t.right[n]]) == (t.lo[n], t.lo[t.right[n]], t.hi[n])
+    for a, b, c, r in zip(t.lo, t.hi, t.centre, t.radius, strict=True):
         assert (np.sqrt(((x[t.order[a:b]] - c) ** 2).sum(axis=1)) <= r + 1e-9).all()
+
+
+def test_inner_nodes_prune(monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(64, 16)) * 40
+    x = (centres[np.arange(40_000) % 64] + rng.normal(size=(40_000, 16))).round().astype(np.int64)
+    shard = K.Shard.of(x, np.arange(len(x)), np.arange(len(x)))
+    seen = []
+    offer = K.Best.offer
+    monkeypatch.setattr(K.Best, "offer", lambda self, *a: (seen.append(1), offer(self, *a)))
+    [(s, ids)] = K.search(shard, x[:1], np.zeros(1, np.int64), 5, np.full(1, -np.inf))
+    score = x @ x[0]
+    score[0] = -(10**9)
+    want = np.lexsort((np.arange(len(x)), -score))[:5]
+    assert (ids == want).all() and (s == score[want]).all()
+    assert len(seen) < (shard.left < 0).sum() / 4
+
+
+def test_shards_come_back():
+    rng = np.random.default_rng(5)
+    for most in (100, 30_000, 2**31, 2**40):
+        a = K.Shard.of(rng.integers(-most, most, (300, 4)), np.arange(300), np.arange(300) + 7)
+        b = K.Shard.unpacked(4, a.packed())
+        assert all((getattr(a, n) == getattr(b, n)).all() for n in K.ARRAYS)
+    assert K.Shard.unpacked(0, K.Shard.of(np.zeros((3, 0), np.int64), np.arange(3), np.arange(3)).packed()).x.shape == (3, 0)
+
+
+def test_many_shards_share_their_scores(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(600)]
+    got = sorted(tuple(r) for r in K.top_k(table(spark, rows), F.col("vec_id") % 20 == 0, 20, 40, 7).collect())
+    assert got == slow(rows, 20)
