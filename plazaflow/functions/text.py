@@ -22,10 +22,16 @@ ORDINALS = {"Low": 1, "Medium": 2, "High": 3}
 MALE, FEMALE = ("male", "m", "man"), ("female", "f", "woman")
 
 
+# What the rules take off the names of columns, and what parts the words of a slug.
+LEADING_NUMBER, PUNCTUATION, NO_SLUG = r"^\s*\d+\.\s*", r"[^\w\s]", r"[^a-z0-9]+"
+# Fixed value: a number in a phrase.
+NUMBER_IN_PHRASE = r"(\d+\.?\d*)"
+
+
 def snake_case(name: str) -> str:
     """A column name without its leading number and punctuation, in lower case, words joined by ``_``."""
-    bare = re.sub(r"^\s*\d+\.\s*", "", name).strip().lower()
-    return "_".join(re.sub(r"[^\w\s]", "", bare).split())
+    words = re.sub(PUNCTUATION, "", re.sub(LEADING_NUMBER, "", name).lower()).split()
+    return "_".join(words)
 
 
 def unique_names(names: Iterable[str]) -> list[str]:
@@ -80,13 +86,13 @@ def name_list(c: Column) -> Column:
 
 
 def slug(name: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
+    return "_".join(filter(None, re.split(NO_SLUG, name.lower())))
 
 
 def duration_hours(c: Column) -> Column:
     """Hours of a phrase: less than n is n / 2 (0.5 without a number), more than n is n + 1, two numbers their mean, one itself."""
     s = F.lower(c)
-    numbers = F.transform(F.regexp_extract_all(s, F.lit(r"(\d+\.?\d*)"), 1), lambda x: x.cast("double"))
+    numbers = F.transform(F.regexp_extract_all(s, F.lit(NUMBER_IN_PHRASE), 1), lambda x: x.cast("double"))
     one, two = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
     return (
         F.when(s.contains("less"), F.coalesce(one / 2, F.lit(0.5)))

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from plazaflow.functions.coerce import number, row_sum
 from plazaflow.functions.text import name_list, null_tokens, slug, snake_case, unique_names
 
-# Limits of the rules.
+# Names of service columns, and limits of the rules.
+SERVICE_NAME, SERVICE_PREFIX = r"d\d+", "unnamed"
 IQR_FACTOR, MOST_MISSING, MOST_LOST = 3.0, 0.5, 0.2
 
 
@@ -29,7 +30,7 @@ def named(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
 
 def drop_service_columns(df: DataFrame) -> DataFrame:
     """Without columns named ``d`` and digits, or ``unnamed...``."""
-    return df.drop(*[c for c in df.columns if re.fullmatch(r"d\d+", c) or c.startswith("unnamed")])
+    return df.drop(*[c for c in df.columns if c.startswith(SERVICE_PREFIX) or re.fullmatch(SERVICE_NAME, c)])
 
 
 def strip_strings(df: DataFrame) -> DataFrame:

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plazaflow.operators.clean import q
 
 
-def _first(df: DataFrame, keys: list[Column], order: Iterable[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-
-
 def exact(df: DataFrame) -> DataFrame:
     """Equal rows once."""
     return df.dropDuplicates()
@@ -21,8 +17,7 @@ def exact(df: DataFrame) -> DataFrame:
 
 def by_key_nonnull(df: DataFrame, key: str, order: Iterable[str]) -> DataFrame:
     """The first row of each key; rows without a key all stay, and do not meet in one task."""
-    known = df.filter(q(key).isNotNull())
-    return known.withColumn("_first", _first(df, [q(key)], order)).filter("_first").drop("_first").unionByName(df.filter(q(key).isNull()))
+    return by_key(df.filter(q(key).isNotNull()), key, order).unionByName(df.filter(q(key).isNull()))
 
 
 def by_key(df: DataFrame, key: str, order: Iterable[str]) -> DataFrame:

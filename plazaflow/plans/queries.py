@@ -488,12 +488,18 @@ def slot_length_choice(spark: SparkSession, d: str) -> DataFrame:
     return sampling.plan_months(counts.exact_counts(submissions(spark, d), "posts"), 5, 20, "S-posts").select("subreddit", "month", "count_estimate", "slot_minutes", "n_slots")
 
 
+# a rule of dates: in month m of any year nothing after day 24 + m % 8
+CUT_OFF = "day(make_timestamp(created_utc * 1000000)) <= 24 + month(make_timestamp(created_utc * 1000000)) % 8"
+
+
 @query(
-    f"""WITH m AS (SELECT 'RS_' || {MONTH_OF} || '.zst' AS file, {MONTH_OF} AS month, min(created_utc) AS first_ts, max(created_utc) AS last_ts FROM ({SUBMISSIONS}) WHERE CAST(id AS BIGINT) % 400 < 40 GROUP BY ALL)
+    f"""WITH m AS (SELECT 'RS_' || {MONTH_OF} || '.zst' AS file, {MONTH_OF} AS month, min(created_utc) AS first_ts, max(created_utc) AS last_ts FROM ({SUBMISSIONS}) WHERE {CUT_OFF} GROUP BY ALL)
     SELECT file, month, first_ts, last_ts, last_ts < {MONTH_END} - 1 - 2 * 86400 AS truncated FROM m"""
 )
 def month_completeness(spark: SparkSession, d: str) -> DataFrame:
-    s = submissions(spark, d).filter("cast(id as bigint) % 400 < 40").groupBy(months.month_of(F.col("created_utc")).alias("month")).agg(F.min("created_utc").alias("first_ts"), F.max("created_utc").alias("last_ts"))
+    """Months cut off at dates of their own, from the 24th to the 31st, so that some stop too early."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_utc") / 86_400).cast("int"))
+    s = submissions(spark, d).filter(F.dayofmonth(day) <= 24 + F.month(day) % 8).groupBy(months.month_of(F.col("created_utc")).alias("month")).agg(F.min("created_utc").alias("first_ts"), F.max("created_utc").alias("last_ts"))
     return s.select(F.concat(F.lit("RS_"), "month", F.lit(".zst")).alias("file"), "month", "first_ts", "last_ts", months.is_truncated(F.col("month"), F.col("last_ts")).alias("truncated"))
 
 

@@ -11,6 +11,7 @@ from plazaflow.functions import coerce, text
 from plazaflow.operators import clean, dedup
 from plazaflow.operators.clean import q
 from plazaflow.operators.profile import union_by_name
+from plazaflow.session import written
 
 # Columns and ranges of the surveys.
 SLEEP_RANGES = {
@@ -70,7 +71,7 @@ def sleep_survey(raw: DataFrame) -> DataFrame:
         df = clean.null_together(df, F.col(sessions[0]) * F.col(sessions[1]) > MOST_SCROLLING_MINUTES, sessions)
     if {"sleep_hours_per_night", "total_daily_screen_time_hours"} <= set(df.columns):
         df = clean.null_together(df, F.col("sleep_hours_per_night") + F.col("total_daily_screen_time_hours") > MOST_HOURS, ["total_daily_screen_time_hours"])
-    df = df.drop(ORDER).cache()  # the figures below read it several times
+    df = written(df.drop(ORDER), "survey")  # the figures below read it several times
     return clean.iqr_cap(clean.impute(df, protect=["respondent_id"]), SLEEP_RANGES)
 
 
@@ -80,7 +81,7 @@ def media_survey(raw: DataFrame) -> DataFrame:
     df = clean.range_rules(clean.guarded_numeric(df, ["age", *MEDIA_LIKERT]), {"age": (10, 100), **dict.fromkeys(MEDIA_LIKERT, (1, 5))})
     df = _each(dedup.exact(df), ["gender"], text.gender)
     df = _each(df, ["relationship_status", "occupation_status", "organization_type"], text.category)
-    df = _each(df, ["uses_social_media"], coerce.survey_bool).cache()
+    df = written(_each(df, ["uses_social_media"], coerce.survey_bool), "survey")
     if "platforms" in df.columns:
         df = clean.one_hot(df, "platforms", "platform_")
     if "avg_daily_time_social_media" in df.columns:
@@ -95,7 +96,8 @@ def student_survey(raw: DataFrame) -> DataFrame:
     df = clean.range_rules(dedup.exact(df), STUDENT_RANGES)
     df = clean.drop_where_sum_exceeds(df, STUDENT_DAY, MOST_HOURS)
     df = _each(df, STUDENT_CATEGORIES, text.category)
-    df = _each(_each(df, ["most_used_platform"], lambda c: text.replaced(c, text.PLATFORM_ALIASES)), ["country"], lambda c: text.replaced(c, text.COUNTRY_ALIASES)).cache()
+    df = _each(_each(df, ["most_used_platform"], lambda c: text.replaced(c, text.PLATFORM_ALIASES)), ["country"], lambda c: text.replaced(c, text.COUNTRY_ALIASES))
+    df = written(df, "survey")
     return clean.iqr_cap(clean.impute(df), STUDENT_RANGES)
 
 

@@ -17,16 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Environment of Python workers, which live as long as their executor: arrays of 4 MB and more go back to the system when they are freed.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers import this package when it is not installed on their machines.
 
-    Only the search path that workers start with is changed; a cluster without a shared
+    Only the search path and the memory settings that workers start with are changed; a cluster without a shared
     code folder should ship the package with ``--py-files`` instead.
     """
     root = str(Path(__file__).resolve().parents[1])
     environment = getattr(spark.sparkContext, "environment", None)
     if environment is None:
         return
+    for name, value in WORKER_MEMORY.items():
+        environment.setdefault(name, value)
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)

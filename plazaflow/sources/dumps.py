@@ -31,6 +31,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from plazaflow.functions.coerce import coerced
 from plazaflow.functions.months import is_truncated
 from plazaflow.schemas import KINDS, SCHEMAS, TRUNCATED_AFTER_DAYS
+from plazaflow.session import written
 
 NAME = re.compile(r"(RC|RS)_(\d{4})-(\d{2})\.zst$")
 WINDOW = 2**31
@@ -238,6 +239,47 @@ def verdicts(lines: DataFrame, kind: str, wanted: list[str], limited: bool = Fal
     return judge(staged(lines, kind, wanted), limited)
 
 
+def write_dumps(lines: DataFrame, root: str) -> DataFrame:
+    """Write ``lines(file, line_no, value)`` as one dump a file under ``root`` and return file and lines written of each.
+
+    A file's lines are streamed by one task, as a reader will stream them; it is written beside and moved into place, so
+    that a task that runs again replaces what it left.
+    """
+    from plazaflow.session import ensure_importable
+
+    ensure_importable(lines.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        import zstandard
+
+        system, inner = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), os.path.abspath(root.removeprefix("file:")))
+        system.create_dir(inner, recursive=True)
+        name, number, out, raw, temporary = None, 0, None, None, ""
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            raw.close()
+            system.move(temporary, f"{inner}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([number], pa.int64())], names=["file", "lines"])
+
+        for b in batches:
+            for file, value in zip(b.column("file").to_pylist(), b.column("value").to_pylist(), strict=True):
+                if file != name:
+                    if name is not None:
+                        yield close()
+                    name, number, temporary = file, 0, f"{inner}/.{file}-{uuid.uuid4().hex}"
+                    raw = system.open_output_stream(temporary, compression=None)
+                    out = zstandard.ZstdCompressor(level=3).stream_writer(raw, closefd=False)
+                out.write(value.encode() + b"\n")
+                number += 1
+        if name is not None:
+            yield close()
+
+    return written(lines.select("file", "line_no", "value").repartition("file").sortWithinPartitions("file", "line_no").mapInArrow(run, "file string, lines bigint"), "dumps-written")
+
+
 def write_dump(path: str, lines: list[str], last_newline: bool = True, window_log: int = 27) -> None:
     """A small dump, for tests and trials."""
     import zstandard

@@ -80,8 +80,8 @@ def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> No
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small report as one CSV with a header, replacing the one before once it is written."""
-    replaced(df.sparkSession, path, lambda to: df.coalesce(1).write.csv(to, header=True))
+    """A small report as one CSV with a header, quotes doubled as ``read_csv`` takes them, replacing the one before once it is written."""
+    replaced(df.sparkSession, path, lambda to: df.coalesce(1).write.csv(to, header=True, escape='"'))
 
 
 write_csv = write_report

@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from plazaflow.plans import source_queries  # noqa: F401
 from plazaflow.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
