@@ -22,7 +22,7 @@ from plazaflow.llm.token_blocks import chunks
 from plazaflow.session import ensure_importable
 
 #: Distinct pre-tokens whose ids a worker remembers; others are encoded again when they come back.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class PerfectHash:

@@ -41,8 +41,8 @@ LEAST_DISCOUNT = 0.05
 PRIOR = 300
 #: Probabilities of n-grams that are broadcast, 16 bytes each, and parts into which a hot n-gram's documents are dealt beyond that.
 MOST_GRAMS, SALT = 2_000_000, 16
-#: Different n-grams that a task holds before it passes them on.
-HELD = 1_000_000
+#: Different n-grams that a task holds before it passes them on, and bytes of text that it cuts into n-grams at once.
+HELD, AT_ONCE = 1_000_000, 1 << 20
 #: The model of all languages, and the row of the limits for languages without trusted text of their own, and for null.
 ANY = "\0"
 
@@ -86,7 +86,7 @@ def gram_counts(texts: DataFrame, as_model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for b in chunks(batches):
+        for b in chunks(batches, AT_ONCE):
             found: dict[str, list[np.ndarray]] = {}
             for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 for k in as_model(lang):
@@ -226,7 +226,7 @@ class Scorer:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = {k: Table(np.frombuffer(c, np.int64), np.frombuffer(v)) for k, (c, v) in shipped.value.items()}
-            for b in chunks(batches):
+            for b in chunks(batches, AT_ONCE):
                 codes = [trigrams(t) for t in b.column("_text").to_pylist()]
                 lang = [k if k in langs else ANY for k in b.column("_lang").to_pylist()]
                 nll = [-float(tables[k](c).sum()) if len(c) else 0.0 for k, c in zip(lang, codes, strict=True)]
@@ -241,7 +241,7 @@ class Scorer:
             from pyspark import TaskContext
 
             row = TaskContext.get().partitionId() << 40
-            for b in chunks(batches):
+            for b in chunks(batches, AT_ONCE):
                 found = [np.unique(trigrams(t), return_counts=True) for t in b.column("_text").to_pylist()]
                 ends = pa.array(np.cumsum([0, *(len(c) for c, _ in found)]).astype(np.int32))
                 code, n = (np.concatenate(v) for v in zip(*found, strict=True))
