@@ -21,16 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
+#: Bytes of the batches that go to Python workers: the setting, Spark's default, and what takes its place, since a batch is held on both sides.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers import this package when it is not installed on their machines.
 
-    Only the search path and the memory settings that workers start with are changed; a cluster without a shared
+    Only the search path and the memory settings that workers start with are changed, and the size of batches where the session
+    has Spark's default; a cluster without a shared
     code folder should ship the package with ``--py-files`` instead.
     """
     root = str(Path(__file__).resolve().parents[1])
     environment = getattr(spark.sparkContext, "environment", None)
     if environment is None:
         return
+    if spark.conf.get(BATCH_BYTES[0]) == BATCH_BYTES[1]:
+        spark.conf.set(BATCH_BYTES[0], BATCH_BYTES[2])
     for name, value in WORKER_MEMORY.items():
         environment.setdefault(name, value)
     known = environment.get("PYTHONPATH", "")
@@ -64,11 +71,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete what ``scratch`` has made, once no result that reads it is needed any more."""
+def made() -> int:
+    """How much ``scratch`` has made so far; what is made from then on is what ``clean`` may delete alone."""
+    return len(_made)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete what ``scratch`` has made, or what it has made ``since`` but for the paths to keep, once no result that reads it is needed any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    gone = [p for p in _made[since:] if p not in keep]
+    _made[since:] = [p for p in _made[since:] if p in keep]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 
