@@ -1,8 +1,8 @@
 """A table from words to token ids in flat numpy arrays.
 
-Words are known by two 64-bit polynomial hashes with different odd bases, which one pass of cumulative sums
-over a text's bytes gives for all its words at once, and by their length. Words longer than ``LONGEST``
-bytes are not kept: for longer ones such hashes say less.
+Words are found by two 64-bit polynomial hashes with different odd bases, which one pass of cumulative sums
+over a text's bytes gives for all its words at once, and by their length; a word that is found is held to its bytes, eight at
+a time, so that no two words are ever taken for one another. Words longer than ``LONGEST`` bytes are not kept.
 """
 
 from __future__ import annotations
@@ -37,6 +37,19 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.nd
     return out
 
 
+class Lanes:
+    """Reads the words of ``data`` eight bytes at a time, as longs whose bytes beyond the word are zero."""
+
+    def __init__(self, data: np.ndarray):
+        padded = np.concatenate([data, np.zeros(LONGEST + 8, np.uint8)])
+        self.at = np.ndarray((len(data) + LONGEST,), "<u8", padded.data, strides=(1,))
+
+    def lane(self, j: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Bytes 8 j to 8 j + 7 of words that are longer than 8 j."""
+        unused = np.maximum(0, 8 * (j + 1) - length).astype(np.uint64) * np.uint64(8)
+        return self.at[start + 8 * j] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> unused)
+
+
 def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of ``data`` between ASCII white space."""
     inside = np.concatenate([[False], ~_SPACE[data], [False]])
@@ -69,11 +82,23 @@ class WordTable:
         self.shift = np.uint64(64 - (len(self.slots).bit_length() - 1))
         self.check = np.zeros((most, 2), np.uint64)
         self.length = np.zeros(most, np.int32)
+        self.bytes = np.zeros((LONGEST // 8, most), np.uint64)
         self.first = np.zeros(most, np.int64)
         self.count = np.zeros(most, np.int32)
         self.ids = np.zeros(4 * most, np.uint32)
 
-    def _find(self, h: list[np.ndarray], length: np.ndarray) -> np.ndarray:
+    def _same(self, entry: np.ndarray, lanes: Lanes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether entries hold the words, whose lengths are theirs."""
+        out = np.ones(len(entry), bool)
+        at = np.arange(len(entry))
+        for j in range(LONGEST // 8):
+            at = at[length[at] > 8 * j]
+            if not len(at):
+                break
+            out[at] &= self.bytes[j, entry[at]] == lanes.lane(j, start[at], length[at])
+        return out
+
+    def _find(self, h: list[np.ndarray], length: np.ndarray, lanes: Lanes, start: np.ndarray) -> np.ndarray:
         out = np.full(len(length), -1, np.int64)
         at = (h[0] >> self.shift).astype(np.int64)
         left = np.flatnonzero(length <= LONGEST)
@@ -81,12 +106,14 @@ class WordTable:
             entry = self.slots[at[left]]
             left, entry = left[entry >= 0], entry[entry >= 0]
             same = (self.check[entry, 0] == h[0][left]) & (self.check[entry, 1] == h[1][left]) & (self.length[entry] == length[left])
+            hit = np.flatnonzero(same)
+            same[hit] = self._same(entry[hit], lanes, start[left[hit]], length[left[hit]])
             out[left[same]] = entry[same]
             left = left[~same]
             at[left] = (at[left] + 1) & (len(self.slots) - 1)
         return out
 
-    def _add(self, h: list[np.ndarray], length: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
+    def _add(self, h: list[np.ndarray], length: np.ndarray, lanes: Lanes, start: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
         """Keep words, all different and new, as far as there is room."""
         first = np.cumsum(count) - count
         ok = np.flatnonzero(length <= LONGEST)[: self.most - self.n]
@@ -95,6 +122,9 @@ class WordTable:
             return
         new = np.arange(self.n, self.n + len(ok))
         self.check[new, 0], self.check[new, 1], self.length[new], self.count[new] = h[0][ok], h[1][ok], length[ok], count[ok]
+        for j in range(LONGEST // 8):
+            long = length[ok] > 8 * j
+            self.bytes[j, new[long]] = lanes.lane(j, start[ok[long]], length[ok[long]])
         self.first[new] = self.n_ids + np.cumsum(count[ok]) - count[ok]
         got = flat[ragged(first[ok], count[ok])]
         self.ids[self.n_ids : self.n_ids + len(got)] = got
@@ -132,8 +162,8 @@ class WordTable:
         data = np.frombuffer(b"\n".join(texts), np.uint8)
         starts, ends = spans(data)
         limits = np.cumsum([len(t) + 1 for t in texts])
-        h, length = hashes(data, starts, ends), ends - starts
-        entry = self._find(h, length)
+        h, length, lanes = hashes(data, starts, ends), ends - starts, Lanes(data)
+        entry = self._find(h, length, lanes, starts)
         missing = np.flatnonzero(entry < 0)
         first, count, ids = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), self.ids
         known = np.flatnonzero(entry >= 0)
@@ -144,12 +174,23 @@ class WordTable:
             key["a"], key["b"] = h[0][missing], h[1][missing]
             key["n"] = np.where(length[missing] <= LONGEST, length[missing], -1 - np.arange(len(missing)))
             _, one, of = np.unique(key, return_index=True, return_inverse=True)
-            rep = missing[one]
+            # a word of the same hashes that is another is one of its own, and is not kept
+            short = np.flatnonzero(key["n"] >= 0)
+            a, b = missing[short], missing[one[of[short]]]
+            other = np.zeros(len(short), bool)
+            for j in range(LONGEST // 8):
+                at = np.flatnonzero(length[a] > 8 * j)
+                other[at] |= lanes.lane(j, starts[a[at]], length[a[at]]) != lanes.lane(j, starts[b[at]], length[b[at]])
+            apart = short[other]
+            of[apart] = len(one) + np.arange(len(apart))
+            rep = np.concatenate([missing[one], missing[apart]])
             raw = data.tobytes()
             flat, n = self.encode_words([raw[i:j] for i, j in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)])
             first[missing], count[missing] = (len(ids) + np.cumsum(n) - n)[of], n[of]
             ids = np.concatenate([ids, flat])
-            self._add([x[rep] for x in h], length[rep], flat, n)
+            kept, known = slice(len(one)), int(n[: len(one)].sum())
+            rep = rep[kept]
+            self._add([x[rep] for x in h], length[rep], lanes, starts[rep], flat[:known], n[kept])
         out = ids[ragged(first, count)]
         total = np.concatenate([[0], np.cumsum(count)])
         bounds = total[np.searchsorted(starts, limits)]

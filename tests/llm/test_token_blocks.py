@@ -98,3 +98,31 @@ def test_long_texts_go_by_pieces(tokenizer, texts):
         assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     finally:
         word_table.PIECE = held
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="abc ", max_size=120), min_size=1, max_size=6))
+def test_words_of_equal_hashes_are_told_apart_by_their_bytes(texts):
+    def identity(words):
+        return np.concatenate([np.frombuffer(w, np.uint8).astype(np.uint32) for w in words]), np.array([len(w) for w in words])
+
+    real = word_table.hashes
+    word_table.hashes = lambda data, starts, ends: [np.zeros(len(starts), np.uint64)] * 2
+    try:
+        table = WordTable(identity, 40)
+        for _ in range(2):
+            got = table.encode([t.encode() for t in texts])
+            assert [bytes(x.astype(np.uint8)) for x in got] == ["".join(t.split()).encode() for t in texts]
+    finally:
+        word_table.hashes = real
+
+
+def test_very_long_words_are_not_kept():
+    def lengths(words):
+        return np.array([len(w) for w in words], np.uint32), np.ones(len(words), np.int64)
+
+    table = WordTable(lengths, 10)
+    text = b"x" * 49 + b" " + b"x" * 48 + b" y " + b"x" * 49 + b" " + b"x" * 47 + b"z"
+    for _ in range(2):
+        assert table.encode([text])[0].tolist() == [49, 48, 1, 49, 48]
+    assert table.n == 3
