@@ -17,6 +17,9 @@ from plazaflow.functions.text import name_list, null_tokens, slug, snake_case, u
 SERVICE_NAME, SERVICE_PREFIX = r"d\d+", "unnamed"
 IQR_FACTOR, MOST_MISSING, MOST_LOST = 3.0, 0.5, 0.2
 
+#: Names of a list column that become columns at most.
+MOST_NAMES = 1_000
+
 
 def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
@@ -113,9 +116,11 @@ def drop_all_null(df: DataFrame, besides: Iterable[str] = ()) -> DataFrame:
 
 
 def one_hot(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """A column 0 or 1 for each name found in a comma-separated list column; names with one slug share a column."""
+    """A column 0 or 1 for each name found in a comma-separated list column; names with one slug share a column. More than ``MOST_NAMES`` names are an error."""
     listed = df.withColumn("_names", name_list(q(column)))
-    names = sorted(r[0] for r in listed.select(F.explode("_names")).distinct().collect())  # columns have to be known to plan
+    names = sorted(r[0] for r in listed.select(F.explode("_names")).distinct().limit(MOST_NAMES + 1).collect())  # columns have to be known to plan
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"{column} has more than {MOST_NAMES} names")
     by_slug: dict[str, list[str]] = {}
     for n in names:
         by_slug.setdefault(prefix + slug(n), []).append(n)
