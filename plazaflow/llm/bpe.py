@@ -22,7 +22,7 @@ from plazaflow.llm.token_blocks import chunks
 from plazaflow.session import ensure_importable
 
 #: Distinct pre-tokens whose ids a worker remembers; others are encoded again when they come back.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 
 class PerfectHash:
@@ -164,7 +164,7 @@ class Codec:
                             self.fresh.append(w)
                 ids = b"".join(map(known.__getitem__, words))
             out.append(np.frombuffer(ids, "<u4"))
-            if len(self.fresh) > 50_000:
+            if len(self.fresh) > 20_000:
                 for w in self.fresh:
                     del known[w]
                 self.fresh.clear()

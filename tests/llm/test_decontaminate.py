@@ -44,6 +44,7 @@ def corpus():
             at = rng.randint(0, len(w))
             w[at:at] = piece[rng.randint(0, 3) :]
         rows.append((i, rng.choice([" ", "\n", " - "]).join(w)))
+    rows += [(504, "w1 " * 30_000 + items[0][1] + " w2" * 30_000)]
     rows += [(None, None), (500, ""), (501, "..."), (502, "'Quoted', WORDS here... now"), rows[3], rows[3], (503, "xquoted words here now")]
     return rows, items
 

@@ -76,7 +76,7 @@ def corpus(seed=0):
 @pytest.mark.parametrize("group", [S.GROUP, 8])
 def test_components_equal_brute_force(spark, docs, monkeypatch, group):
     monkeypatch.setattr(S, "GROUP", group)  # 8: anchors are cut into chunks
-    rows = corpus()
+    rows = [*corpus(), (6000, "Long text " * 50_000 + "a"), (6001, "long text " * 50_000 + "b")]
     got = sorted((tuple(r) for r in S.near_duplicates(docs(rows).withColumnRenamed("source", "fp").repartition(3)).collect()), key=repr)
     assert got == slow_components(rows)
 
