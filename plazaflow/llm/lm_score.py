@@ -37,7 +37,7 @@ from plazaflow.session import ensure_importable
 
 FREQUENT = 200_000
 #: Rounds of learning, groups of tasks whose parameters are averaged first, and the learning rate of the first round, which falls by half with each.
-ROUNDS, AVERAGED, RATE = 3, 16, 0.02
+ROUNDS, AVERAGED, RATE = 3, 16, 0.04
 #: The end of a document, as a word; no word is empty.
 END = ""
 #: Distinct words that a counting task holds before it passes them on.
@@ -104,7 +104,7 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[str, int]]:
 
 
 class Tables:
-    """What a worker needs: the frequent words with their counts, and totals. Built from small arrays on each worker once."""
+    """What a worker needs: the frequent words with their counts, and totals. Broadcast as it is; ``frequent`` bounds it."""
 
     def __init__(self, frequent: list[tuple[str, int]], tokens: int, distinct: int, shapes: list[tuple[int, int]]):
         self.n, self.v = tokens, distinct
@@ -163,7 +163,7 @@ def _tokenizer(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tables = Tables(*shipped.value)
+        tables = shipped.value  # unpacked once by each worker
         row = TaskContext.get().partitionId() << 40
         for b in chunks(batches):
             found = [_tokens(tables, t) for t in b.column("text").to_pylist()]
@@ -248,9 +248,9 @@ def prepare(docs: DataFrame, frequent: int = FREQUENT) -> tuple[DataFrame, DataF
     counts = word_counts(docs.filter("not held_out"))
     by_shape = {r["shape"]: (r["t"], r["d"]) for r in counts.groupBy("shape").agg(F.sum("count").alias("t"), F.count("*").alias("d")).collect()}
     shapes = [by_shape.get(k, (0, 0)) for k in range(SHAPES)]
-    given = frequent_words(counts, frequent), sum(t for t, _ in shapes), sum(d for _, d in shapes), shapes
-    shipped = docs.sparkSession.sparkContext.broadcast(given)
-    return written(docs.mapInArrow(_tokenizer(shipped), _ROWS), "lm-rows"), counts, Tables(*given)
+    tables = Tables(frequent_words(counts, frequent), sum(t for t, _ in shapes), sum(d for _, d in shapes), shapes)
+    shipped = docs.sparkSession.sparkContext.broadcast(tables)
+    return written(docs.mapInArrow(_tokenizer(shipped), _ROWS), "lm-rows"), counts, tables
 
 
 def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
