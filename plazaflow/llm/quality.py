@@ -1,15 +1,15 @@
-"""Quality classifier: perplexity under interpolated modified Kneser-Ney trigram models of characters, one a language.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of characters.
 
-The models are trained on trusted text, a bounded sample of the documents labelled good; one more, of the
-sample's languages together, serves documents of other languages. N-gram counts, continuation counts and the
-statistics of contexts are tables keyed by (language, n-gram), dealt over the cluster and joined there. An n-gram is a
+The model is trained on trusted text, a bounded sample of the documents labelled good, of all languages together: texts
+quote other languages, and a model of one language alone takes that for a fault. N-gram counts, continuation
+counts and the statistics of contexts are tables keyed by n-gram, dealt over the cluster and joined there. An n-gram is a
 long, 21 bits a code point, so that no alphabet is cut.
 
 Documents meet the counts in joins: the different n-grams of all documents, gathered by tasks before they are
 shuffled, are joined with the tables of each order, which gives every n-gram its probability. Up to ``MOST_GRAMS``
 of these probabilities are broadcast and a document adds up those of its n-grams where it stands; more are joined with the
 n-grams of each document, counted before they are shuffled and dealt over ``SALT`` parts. A document's perplexity is compared
-with a quantile, for its language, of the perplexities of all documents labelled good.
+with a quantile, for its language, of the perplexities of the documents labelled good that the model has not seen.
 
 Before it is cut into characters, a text has its white space made even, and a word that repeats the
 one before it becomes one symbol of its own: trusted text has next to no runs of them.
@@ -32,7 +32,7 @@ from plazaflow.session import ensure_importable
 #: Bits of a symbol, and the symbols that are no code points: start and end. A repeated word is U+0001.
 BITS = 21
 START, END = 0x110000, 0x110001
-#: Labelled documents that the models are trained on, at most, chosen by a hash of doc_id.
+#: Labelled documents that the model is trained on, at most, chosen by a hash of doc_id.
 TRUSTED = 20_000
 QUANTILE = 0.998
 #: Discounts of the counts 1, 2 and more are no less than this: a small sample may show none, and unseen n-grams need their share.
@@ -43,7 +43,7 @@ PRIOR = 300
 MOST_GRAMS, SALT = 2_000_000, 16
 #: Different n-grams that a task holds before it passes them on, and bytes of text that it cuts into n-grams at once.
 HELD, AT_ONCE = 1_000_000, 1 << 20
-#: The model of all languages, and the row of the limits for languages without trusted text of their own, and for null.
+#: Language of the row of the limits that holds for languages without good documents of their own, and for null.
 ANY = "\0"
 
 
@@ -68,43 +68,31 @@ def good_rows(labels: DataFrame) -> DataFrame:
 
 
 def trusted_rows(labels: DataFrame, most: int) -> DataFrame:
-    """doc_id of ``most`` of the documents labelled good and not toxic, by a hash of the id."""
+    """doc_id of ``most`` of the documents labelled good and not toxic, by a hash of the id, but no more than about half of them: the others set the limits."""
     clean = good_rows(labels.filter(F.coalesce("toxic", F.lit(0)) == 0))
-    return clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    h = F.xxhash64("doc_id")
+    return clean.filter(F.pmod(h, F.lit(2)) == 0).orderBy(h, "doc_id").limit(most)
 
 
-GRAMS = "lang string, code long, n long"
+GRAMS = "code long, n long"
 
 
-def _grams(lang: list[str], code: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
-    flat = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (code, n)]
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(lang, object), [len(c) for c in code]), pa.string()), *map(pa.array, flat)], names=["lang", "code", "n"])
-
-
-def gram_counts(texts: DataFrame, as_model) -> DataFrame:
-    """(lang, code, n) of the trigrams of ``texts(text, lang)``. as_model: from a language to those it is counted for."""
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(code, n) of the trigrams of ``texts(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in chunks(batches, AT_ONCE):
-            found: dict[str, list[np.ndarray]] = {}
-            for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                for k in as_model(lang):
-                    found.setdefault(k, []).append(trigrams(t))
-            for k, parts in found.items():
-                code, n = np.unique(np.concatenate(parts), return_counts=True)
-                if k in held:
-                    old, m = held[k]
-                    code, of = np.unique(np.concatenate([old, code]), return_inverse=True)
-                    n = np.bincount(of, np.concatenate([m, n]), len(code)).astype(np.int64)
-                held[k] = code, n
-            if sum(len(c) for c, _ in held.values()) > HELD:
-                yield _grams(list(held), *map(list, zip(*held.values(), strict=True)))
-                held = {}
-        if held:
-            yield _grams(list(held), *map(list, zip(*held.values(), strict=True)))
-
-    return texts.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, GRAMS).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+            code, n = np.unique(np.concatenate([trigrams(t) for t in b.column("text").to_pylist()]), return_counts=True)
+            both, of = np.unique(np.concatenate([held, code]), return_inverse=True)
+            held, count = both, np.bincount(of, np.concatenate([count, n]), len(both)).astype(np.int64)
+            if len(held) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count)], names=["code", "n"])
+                held, count = held[:0], count[:0]
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count)], names=["code", "n"])
+
+    return texts.select("text").mapInArrow(run, GRAMS).groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _tail(code: Column, symbols: int) -> Column:
@@ -113,69 +101,63 @@ def _tail(code: Column, symbols: int) -> Column:
 
 
 def _discounted(counts: DataFrame) -> DataFrame:
-    """``counts(lang, code, n)`` with d, the discount of each n in its language."""
-    of = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
-    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.0)
-    for i in (1, 2, 3):
-        d = F.least(F.greatest(F.lit(LEAST_DISCOUNT), i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0))), F.lit(float(i)))
-        of = of.withColumn(f"d{i}", F.when(F.col(f"n{i}") > 0, d).otherwise(LEAST_DISCOUNT))
-    of = written(of.select("lang", "d1", "d2", "d3"), "discounts")  # a row a language
-    return counts.join(of, "lang").select("lang", "code", "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
+    """``counts(code, n)`` with d, the discount of each n."""
+    n1, n2, n3, n4 = counts.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first()
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    d1, d2, d3 = [min(max(LEAST_DISCOUNT, i - (i + 1) * y * after / here), float(i)) if here else LEAST_DISCOUNT for i, here, after in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return counts.withColumn("d", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Tables by (lang, n-gram): probabilities p1, p2 and p3 of n-grams seen, weights g2 and g3 of the lower order by context, and root, the
-    probability of an unseen symbol, by language; langs: the languages that have a model."""
+    """Tables by n-gram: probabilities p1, p2 and p3 of n-grams seen, weights g2 and g3 of the lower order by context; and root, the probability of an unseen symbol."""
 
     p1: DataFrame
     p2: DataFrame
     p3: DataFrame
     g2: DataFrame
     g3: DataFrame
-    root: DataFrame
-    langs: frozenset[str]
+    root: float
 
     def probabilities(self, grams: DataFrame) -> DataFrame:
-        """``grams(lang, code)`` and lp, the natural logarithm of the probability of the last symbol after the two before it."""
+        """``grams(code)`` and lp, the natural logarithm of the probability of the last symbol after the two before it."""
 
         def met(rows: DataFrame, table: DataFrame, key: Column) -> DataFrame:
-            return rows.withColumn("key", key).join(table.withColumnRenamed("code", "key"), ["lang", "key"], "left").drop("key")
+            return rows.withColumn("key", key).join(table.withColumnRenamed("code", "key"), "key", "left").drop("key")
 
         code = F.col("code")
         rows = met(met(met(grams, self.p3, code), self.g3, F.shiftright(code, BITS)), self.p2, _tail(code, 2))
-        rows = met(met(rows, self.g2, F.shiftright(_tail(code, 2), BITS)), self.p1, _tail(code, 1)).join(self.root, "lang")
+        rows = met(met(rows, self.g2, F.shiftright(_tail(code, 2), BITS)), self.p1, _tail(code, 1))
         one = F.lit(1.0)
-        two = F.coalesce("p2", F.coalesce("g2", one) * F.coalesce("p1", "root"))
-        return rows.select("lang", "code", F.ln(F.coalesce(F.col("p3"), F.coalesce("g3", one) * two)).alias("lp"))
+        two = F.coalesce("p2", F.coalesce("g2", one) * F.coalesce("p1", F.lit(self.root)))
+        return rows.select("code", F.ln(F.coalesce(F.col("p3"), F.coalesce("g3", one) * two)).alias("lp"))
 
 
 def train(texts: DataFrame) -> Model | None:
-    """The models of ``texts(text, lang)``; None if there are none with words."""
+    """The model of ``texts(text)``; None if there are none with words."""
     ensure_importable(texts.sparkSession)
-    c3 = written(gram_counts(texts, lambda lang: {ANY} if lang is None else {ANY, lang}), "grams-3")
-    c2 = written(c3.groupBy("lang", _tail(F.col("code"), 2).alias("code")).agg(F.count("*").alias("n")), "grams-2")
-    c1 = written(c2.groupBy("lang", _tail(F.col("code"), 1).alias("code")).agg(F.count("*").alias("n")), "grams-1")
+    c3 = written(gram_counts(texts), "grams-3")
+    c2 = written(c3.groupBy(_tail(F.col("code"), 2).alias("code")).agg(F.count("*").alias("n")), "grams-2")
+    c1 = written(c2.groupBy(_tail(F.col("code"), 1).alias("code")).agg(F.count("*").alias("n")), "grams-1")
     share = [F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("g")]
     left = (F.col("n") - F.col("d")) / F.col("total")
     d1, d2, d3 = (_discounted(c) for c in (c1, c2, c3))
-    s1 = written(d1.groupBy("lang").agg(*share, (F.sum("d") / F.sum("n") / (F.count("*") + 1)).alias("root")), "root")
-    s2 = written(d2.groupBy("lang", F.shiftright("code", BITS).alias("ctx")).agg(*share), "contexts-2")
-    s3 = written(d3.groupBy("lang", F.shiftright("code", BITS).alias("ctx")).agg(*share), "contexts-3")
-    langs = frozenset(r["lang"] for r in s1.select("lang").collect())  # no more than texts
-    if not langs:
+    total, g, symbols = d1.agg(*share, F.count("*")).first()
+    if not symbols:
         return None
-    p1 = written(d1.join(s1, "lang").select("lang", "code", (left + F.col("root")).alias("p1")), "p1")
+    root = g / (symbols + 1)
+    s2, s3 = (written(d.groupBy(F.shiftright("code", BITS).alias("ctx")).agg(*share), "contexts") for d in (d2, d3))
+    p1 = written(d1.select("code", ((F.col("n") - F.col("d")) / total + root).alias("p1")), "p1")
 
     def seen(d: DataFrame, s: DataFrame, lower: DataFrame, symbols: int) -> DataFrame:
-        rows = d.withColumn("ctx", F.shiftright("code", BITS)).join(s, ["lang", "ctx"]).withColumn("key", _tail(F.col("code"), symbols - 1))
-        rows = rows.join(lower.select("lang", F.col("code").alias("key"), F.col(f"p{symbols - 1}").alias("lower")), ["lang", "key"])
-        return written(rows.select("lang", "code", (left + F.col("g") * F.col("lower")).alias(f"p{symbols}")), f"p{symbols}")
+        rows = d.withColumn("ctx", F.shiftright("code", BITS)).join(s, "ctx").withColumn("key", _tail(F.col("code"), symbols - 1))
+        rows = rows.join(lower.select(F.col("code").alias("key"), F.col(f"p{symbols - 1}").alias("lower")), "key")
+        return written(rows.select("code", (left + F.col("g") * F.col("lower")).alias(f"p{symbols}")), f"p{symbols}")
 
     p2 = seen(d2, s2, p1, 2)
     p3 = seen(d3, s3, p2, 3)
-    g2, g3 = (s.select("lang", F.col("ctx").alias("code"), F.col("g").alias(name)) for s, name in ((s2, "g2"), (s3, "g3")))
-    return Model(p1, p2, p3, g2, g3, s1.select("lang", "root"), langs)
+    g2, g3 = (s.select(F.col("ctx").alias("code"), F.col("g").alias(name)) for s, name in ((s2, "g2"), (s3, "g3")))
+    return Model(p1, p2, p3, g2, g3, root)
 
 
 class Table:
@@ -209,34 +191,31 @@ class Table:
 
 @dataclass(frozen=True)
 class Scorer:
-    """Scores documents of the table that it was made for. grams: (lang, code, lp) of all their n-grams; shipped: the same for workers, or None if they are too many."""
+    """Scores documents of the table that it was made for. grams: (code, lp) of all their n-grams; shipped: the same for workers, or None if they are too many."""
 
-    langs: frozenset[str]
     grams: DataFrame
     shipped: object | None
 
     def __call__(self, docs: DataFrame, carried: list[str]) -> DataFrame:
-        """The columns ``carried`` of ``docs(text, lang, ...)``, whose text and lang are taken off, with nll and n_symbols of each row."""
+        """The columns ``carried`` of ``docs(text, ...)``, whose text is taken off, with nll and n_symbols of each row."""
         schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carried)
-        rows = docs.select(*carried, F.col("text").alias("_text"), F.col("lang").cast("string").alias("_lang"))
+        rows = docs.select(*carried, F.col("text").alias("_text"))
         return self._broadcast(rows, carried, schema) if self.shipped else self._joined(rows, carried, schema)
 
     def _broadcast(self, rows: DataFrame, carried: list[str], schema: str) -> DataFrame:
-        shipped, langs = self.shipped, self.langs
+        shipped = self.shipped
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = {k: Table(np.frombuffer(c, np.int64), np.frombuffer(v)) for k, (c, v) in shipped.value.items()}
+            code, lp = shipped.value
+            table = Table(np.frombuffer(code, np.int64), np.frombuffer(lp))
             for b in chunks(batches, AT_ONCE):
                 codes = [trigrams(t) for t in b.column("_text").to_pylist()]
-                lang = [k if k in langs else ANY for k in b.column("_lang").to_pylist()]
-                nll = [-float(tables[k](c).sum()) if len(c) else 0.0 for k, c in zip(lang, codes, strict=True)]
+                nll = [-float(table(c).sum()) if len(c) else 0.0 for c in codes]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(nll, pa.float64()), pa.array(map(len, codes), pa.int64())], names=[*carried, "nll", "n_symbols"])
 
         return rows.mapInArrow(run, schema + "nll double, n_symbols long")
 
     def _joined(self, rows: DataFrame, carried: list[str], schema: str) -> DataFrame:
-        langs = self.langs
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
@@ -246,28 +225,24 @@ class Scorer:
                 ends = pa.array(np.cumsum([0, *(len(c) for c, _ in found)]).astype(np.int32))
                 code, n = (np.concatenate(v) for v in zip(*found, strict=True))
                 grams = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"]))
-                lang = pa.array([k if k in langs else ANY for k in b.column("_lang").to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(np.arange(row, row + b.num_rows)), lang, pa.array([int(x.sum()) for _, x in found], pa.int64()), grams], names=[*carried, "_row", "_lang", "n_symbols", "_grams"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(np.arange(row, row + b.num_rows)), pa.array([int(x.sum()) for _, x in found], pa.int64()), grams], names=[*carried, "_row", "n_symbols", "_grams"])
                 row += b.num_rows
 
-        counted = written(rows.mapInArrow(run, schema + "_row long, _lang string, n_symbols long, _grams array<struct<code:long,n:long>>"), "document-grams")
-        each = counted.select("_row", F.col("_lang").alias("lang"), F.explode("_grams").alias("g")).select("_row", "lang", "g.code", "g.n", F.pmod("_row", F.lit(SALT)).cast("int").alias("s"))
+        counted = written(rows.mapInArrow(run, schema + "_row long, n_symbols long, _grams array<struct<code:long,n:long>>"), "document-grams")
+        each = counted.select("_row", F.explode("_grams").alias("g")).select("_row", "g.code", "g.n", F.pmod("_row", F.lit(SALT)).cast("int").alias("s"))
         dealt = self.grams.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        sums = each.join(dealt, ["lang", "code", "s"]).groupBy("_row").agg((-F.sum(F.col("n") * F.col("lp"))).alias("nll"))
+        sums = each.join(dealt, ["code", "s"]).groupBy("_row").agg((-F.sum(F.col("n") * F.col("lp"))).alias("nll"))
         return counted.join(sums, "_row", "left").select(*carried, F.coalesce("nll", F.lit(0.0)).alias("nll"), "n_symbols")
 
 
 def scorer(docs: DataFrame, model: Model, most: int | None = None) -> Scorer:
-    """What scores the rows of ``docs(text, lang)``: the different n-grams of all of them with their probabilities."""
-    langs = model.langs
-    grams = gram_counts(docs, lambda lang: {lang if lang in langs else ANY}).select("lang", "code")
-    grams = written(model.probabilities(grams), "probabilities")
+    """What scores the rows of ``docs(text)``: the different n-grams of all of them with their probabilities."""
+    grams = written(model.probabilities(gram_counts(docs).select("code")), "probabilities")
     shipped = None
     if grams.count() <= (MOST_GRAMS if most is None else most):
-        found = grams.toArrow().to_pandas()
-        of = {k: (x["code"].to_numpy(np.int64).tobytes(), x["lp"].to_numpy(np.float64).tobytes()) for k, x in found.groupby("lang")}
-        shipped = docs.sparkSession.sparkContext.broadcast(of)
-    return Scorer(langs, grams, shipped)
+        found = grams.toArrow()
+        shipped = docs.sparkSession.sparkContext.broadcast(tuple(found[c].to_numpy().tobytes() for c in ("code", "lp")))
+    return Scorer(grams, shipped)
 
 
 def _perplexity(mean: Column) -> Column:
@@ -275,7 +250,7 @@ def _perplexity(mean: Column) -> Column:
 
 
 def limits(good: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """lang, mean (nll a symbol) and threshold over ``good(lang, nll, n_symbols)``, the documents labelled good; one row, ``ANY``, over those of all languages.
+    """lang, mean (nll a symbol) and threshold over ``good(lang, nll, n_symbols)``, documents labelled good; one row, ``ANY``, over those of all languages.
 
     Means and quantiles are aggregated before they are shuffled, so a language of any share is no task's work.
     """
@@ -291,21 +266,22 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRUSTED, quantile: float
     """(scores, limits): doc_id, lang, the columns ``more``, nll and n_symbols of every row of ``docs``, written; None if no document is labelled good."""
     ensure_importable(docs.sparkSession)
     chosen = written(trusted_rows(labels, most), "trusted")  # at most ``most`` ids, so they can be broadcast
-    model = train(written(docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang"), "trusted-text"))
+    model = train(written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text"), "trusted-text"))
     if model is None:
         return None
-    rows = docs.select("doc_id", "text", "lang", F.col("lang").cast("string").alias("_language"), *[c.alias(name) for name, c in more.items()])
-    scored = scorer(docs.select("text", "lang"), model)(rows, ["doc_id", "_language", *more]).withColumnRenamed("_language", "lang")
-    scored = written(scored, "quality-scores")
-    return scored, limits(scored.join(good_rows(labels), "doc_id", "left_semi").select("lang", "nll", "n_symbols"), quantile)
+    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), *[c.alias(name) for name, c in more.items()])
+    scored = written(scorer(docs.select("text"), model)(rows, ["doc_id", "lang", *more]), "quality-scores")
+    good = scored.join(good_rows(labels), "doc_id", "left_semi")
+    unseen = good.join(F.broadcast(chosen), "doc_id", "left_anti")
+    return scored, limits((good if unseen.filter("n_symbols > 0").isEmpty() else unseen).select("lang", "nll", "n_symbols"), quantile)
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = TRUSTED, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold and keep of every row of ``docs(doc_id, text, lang)``.
 
     A null, empty or blank text has no symbols, and so the mean perplexity of good texts in its language: it
-    is kept. A very long text is scored whole. A language without trusted text, or null, is scored by the model of all
-    languages together and held to their limits. Rows that repeat are each judged. Without a document labelled good
+    is kept. A very long text is scored whole. A language without documents labelled good, or null, is held to the limits of
+    all languages together. Rows that repeat are each judged. Without a document labelled good
     there is no model: all rows are kept, with null figures. An empty table gives an empty result. Other columns are ignored.
     """
     found = fit(docs, labels, most, quantile)

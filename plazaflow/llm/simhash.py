@@ -53,7 +53,7 @@ BUCKETS, SEEN = 1 << 18, 1 << 19
 #: Texts that meet at one shingle, about, beyond which they are cut into chunks.
 MEETING = 1 << 18
 #: Shingles of a component beyond which it is cut into chunks.
-SHINGLES = 1 << 20
+SHINGLES = 1 << 17
 #: Tasks among which the rows of a large star are dealt.
 SALT = 8
 

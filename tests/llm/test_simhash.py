@@ -175,7 +175,7 @@ def slow_keepers(rows, least=0.8):
     return sorted(rows[i][0] for i in range(len(rows)) if top(i) == i)
 
 
-@pytest.mark.parametrize(("shingles", "seen", "meeting"), [(1 << 20, 1 << 19, 1 << 18), (500, 5, 4)])
+@pytest.mark.parametrize(("shingles", "seen", "meeting"), [(1 << 17, 1 << 19, 1 << 18), (500, 5, 4)])
 def test_deduplicate_equals_brute_force(spark, docs, monkeypatch, shingles, seen, meeting):
     monkeypatch.setattr(S, "SHINGLES", shingles)  # 500: components are cut into chunks
     monkeypatch.setattr(S, "SEEN", seen)
