@@ -66,6 +66,12 @@ def log_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("mode", "status").agg(F.count("*").alias("tasks"), F.coalesce(F.sum(F.when(F.col("status") == "ok", F.col("rows"))), F.lit(0)).alias("rows"))
 
 
+def task_problems(log: DataFrame, order: str = "finished_at") -> DataFrame:
+    """task, mode, subreddit, month, status, error, finished_at of every task whose last record is not ok, by task."""
+    last = last_per_key(log, ["task"], order).filter(F.coalesce(F.col("status") != "ok", F.lit(True)))
+    return last.select("task", "mode", "subreddit", "month", "status", F.coalesce("error", F.lit("")).alias("error"), "finished_at").orderBy("task")
+
+
 def task_grid(months: DataFrame, sources: DataFrame, mode: str) -> DataFrame:
     """task, mode, subreddit, month for every month and source. Months are as many as a calendar has and are what is broadcast; sources may be any number."""
     grid = sources.select("subreddit").join(F.broadcast(months.select("month")))

@@ -21,6 +21,7 @@ from plazaflow.functions import months
 from plazaflow.operators import counts, dedup, ledger
 from plazaflow.plans import collection, surveys
 from plazaflow.plans.queries import LEDGER, MONTH_END, MONTH_OF, SQL, SUBMISSIONS, comments, query, submissions
+from plazaflow.schemas import DOWNLOAD_LOG
 from plazaflow.session import scratch, table, written
 from plazaflow.sources import dumps, http, tables
 from plazaflow.streaming.ingest import ingest, live_counts
@@ -166,10 +167,22 @@ def totals_round_trip(spark: SparkSession, d: str) -> DataFrame:
     from plazaflow.plans.queries import QUERIES
 
     path = scratch(spark, "totals")
-    tables.write_csv(QUERIES["monthly_totals"](spark, d), path)
+    tables.write_totals(QUERIES["monthly_totals"](spark, d), path)
     return tables.read_totals(spark, path)
 
 
+_TASKS = "'comments_b1|' || o_orderpriority || '|' || cast(o_custkey % 40 as varchar(9)) as task; 'comments_b1' as mode; o_orderpriority as subreddit; cast(o_custkey % 40 as varchar(9)) as month; case o_orderkey % 3 when 0 then 'error' else 'ok' end as status; case when o_orderkey % 6 = 0 then 'no answer' end as error; lpad(cast(o_orderkey as varchar(12)), 12, '0') as finished_at"
+
+
+@query(f"""WITH t AS (SELECT {_TASKS.replace(";", ",")} FROM orders), l AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY finished_at DESC) AS r FROM t)
+    SELECT task, mode, subreddit, month, status, coalesce(error, '') AS error, finished_at FROM l WHERE r = 1 AND status <> 'ok'""")
+def task_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks that have not ended well, by task, from their log as it was written."""
+    path = scratch(spark, "task-log")
+    tables.append_ledger(table(spark, d, "orders").selectExpr(*_TASKS.split(";")), path)
+    return ledger.task_problems(spark.read.schema(DOWNLOAD_LOG).json(path))
+
+
 _PLAN = "SELECT 'posts' AS kind, o_orderpriority AS subreddit, strftime(o_orderdate, '%Y-%m') AS month, 'S' AS seed, CAST(200 AS BIGINT) AS slot_target, CAST(2000 AS BIGINT) AS target, count(*) AS count_estimate, CAST({} AS BIGINT) AS slot_minutes FROM orders {} GROUP BY ALL"
 
 

@@ -36,7 +36,7 @@ def ensure_importable(spark: SparkSession) -> None:
     environment = getattr(spark.sparkContext, "environment", None)
     if environment is None:
         return
-    if spark.conf.get(BATCH_BYTES[0]) == BATCH_BYTES[1]:
+    if spark.conf.get(BATCH_BYTES[0], None) == BATCH_BYTES[1]:
         spark.conf.set(BATCH_BYTES[0], BATCH_BYTES[2])
     for name, value in WORKER_MEMORY.items():
         environment.setdefault(name, value)

@@ -87,6 +87,11 @@ def write_report(df: DataFrame, path: str) -> None:
 write_csv = write_report
 
 
+def write_totals(totals: DataFrame, path: str) -> None:
+    """The monthly totals by source and month, replacing those before; a missing count stays empty."""
+    write_report(totals.orderBy("subreddit", "month").coalesce(1), path)
+
+
 def mirror(df: DataFrame, paths: list[str], **options: str) -> None:
     """The same rows to several roots."""
     for p in paths:

@@ -338,3 +338,17 @@ def test_archive_as_a_data_source(spark):
     assert sorted(r.id for r in got if r.subreddit == "b") == sorted(f"b{i}" for i in range(10, 20))
     assert len({r.id for r in got}) == len(got) == 260
     assert {(r.score, r.over_18, r.title) for r in got} == {(3, True, None)}
+
+
+def test_totals_and_problems_are_sorted(spark, tmp_path):
+    from plazaflow.operators import ledger
+
+    rows = [("b", "2024-02", 3, "x", None, None), ("a", "2024-03", None, None, 4, "y"), ("a", "2024-01", 1, "x", 2, "y")]
+    path = str(tmp_path / "totals")
+    tables.write_totals(spark.createDataFrame(rows, tables.TOTALS).repartition(3), path)
+    [part] = (tmp_path / "totals").glob("part-*")
+    assert [x.split(",")[:2] for x in part.read_text().splitlines()[1:]] == [["a", "2024-01"], ["a", "2024-03"], ["b", "2024-02"]]
+    assert sorted(map(tuple, tables.read_totals(spark, path).collect()), key=repr) == sorted(rows, key=repr)
+    log = [("t2", "m", "s", "1", "error", None, "1"), ("t2", "m", "s", "1", "error", "e", "2"), ("t1", "m", "s", "1", "ok", None, "9"), ("t1", "m", "s", "1", "error", "e", "3"), ("t0", "m", "s", "1", "stalled", None, "3")]
+    df = spark.createDataFrame(log, "task string, mode string, subreddit string, month string, status string, error string, finished_at string")
+    assert [(r.task, r.status, r.error) for r in ledger.task_problems(df).collect()] == [("t0", "stalled", ""), ("t2", "error", "e")]
