@@ -308,13 +308,12 @@ _MEDIA = """'2022-04-18 19:18:47' as t; cast(c_custkey % 120 as varchar(9)) as a
     f"""WITH t AS (SELECT DISTINCT {_MEDIA.replace(";", ",")} FROM customer),
     r AS (SELECT CASE WHEN CAST(age AS DOUBLE) BETWEEN 10 AND 100 THEN CAST(age AS DOUBLE) END AS age, CASE gender WHEN 'Male' THEN 'Male' WHEN 'woman' THEN 'Female' WHEN 'F' THEN 'Female' WHEN 'nb' THEN 'Other' END AS gender,
       CASE WHEN org = 'company' THEN 'Company' ELSE 'Unknown' END AS org, platforms, daily, CASE WHEN CAST(l0 AS DOUBLE) BETWEEN 1 AND 5 THEN CAST(l0 AS DOUBLE) END AS l0,
-      CASE daily WHEN 'Less than an Hour' THEN 0.5 WHEN 'More than 5 hours' THEN 6.0 WHEN 'Between 2 and 3 hours' THEN 2.5 END AS hours, age AS a0, gender AS g0, l0 AS x0, org AS o0 FROM t),
-    u AS (SELECT DISTINCT * EXCLUDE (a0, g0, x0, o0) FROM (SELECT DISTINCT age, gender AS g0, org AS o0, platforms, daily, l0, NULL AS a0, NULL AS x0, gender, org, hours FROM r)),
+      CASE daily WHEN 'Less than an Hour' THEN CAST(0.5 AS DOUBLE) WHEN 'More than 5 hours' THEN 6.0 WHEN 'Between 2 and 3 hours' THEN 2.5 END AS hours, gender AS g0 FROM t),
     raw AS (SELECT DISTINCT age, g0, org, platforms, daily, l0, gender, hours FROM r)
     SELECT coalesce(age, (SELECT median(age) FROM raw)) AS age, coalesce(gender, (SELECT gender FROM raw WHERE gender IS NOT NULL GROUP BY gender ORDER BY count(*) DESC, gender LIMIT 1)) AS gender,
       'Single' AS relationship_status, 'University Student' AS occupation_status, org AS organization_type, true AS uses_social_media, platforms, daily AS avg_daily_time_social_media,
       CAST(platforms <> 'Youtube' AS INTEGER) AS platform_facebook, CAST(platforms = 'Facebook, X' AS INTEGER) AS platform_x, CAST(platforms = 'Youtube' AS INTEGER) AS platform_youtube,
-      coalesce(hours, (SELECT median(hours) FROM raw)) AS avg_daily_hours_sm, coalesce(l0, (SELECT median(l0) FROM raw)) AS use_without_purpose, 3.0 AS sleep_issues FROM raw"""
+      coalesce(hours, (SELECT median(hours) FROM raw)) AS avg_daily_hours_sm, coalesce(l0, (SELECT median(l0) FROM raw)) AS use_without_purpose, CAST(3 AS DOUBLE) AS sleep_issues FROM raw"""
 )
 def media_cleaner(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "customer").selectExpr(*_MEDIA.split(";"), *[f"'3' as l{i}" for i in range(1, 12)])
