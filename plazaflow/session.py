@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Environment of Python workers, which live as long as their executor: arrays of 4 MB and more go back to the system when they are freed.
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Environment of Python workers, which live as long as their executor: arrays of 16 MB and more, and what is free beyond 32 MB, go back to the system.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "16777216", "MALLOC_TRIM_THRESHOLD_": "33554432", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 #: Bytes of the batches that go to Python workers: the setting, Spark's default, and what takes its place, since a batch is held on both sides.
