@@ -20,7 +20,7 @@ GROUPS = WORDS // INNER
 CLASSES = GROUPS + SHAPES
 START = WORDS + SHAPES
 #: Lanes and steps of an update, tokens that a trainer gathers before it deals them into lanes, and updates it wants of them at least.
-LANES, WINDOW, GATHERED, LEAST_UPDATES = 512, 32, 1 << 20, 16
+LANES, WINDOW, GATHERED, LEAST_UPDATES = 256, 32, 1 << 20, 16
 #: Scores before the softmax are cut off here, so that their exponentials stay finite.
 HIGHEST = np.float32(60)
 
@@ -136,7 +136,7 @@ def log_probs(p: Params, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(p: Params, docs: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
+def score(p: Params, docs: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
     """Natural log probability of each whole document, a sequence of tokens."""
     total = np.zeros(len(docs))
     length = np.array([len(d) for d in docs], np.int64)
