@@ -22,7 +22,7 @@ from plazaflow.llm.token_blocks import chunks
 from plazaflow.session import ensure_importable
 
 #: Distinct pre-tokens whose ids a worker remembers; others are encoded again when they come back.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 
 class PerfectHash:
@@ -127,9 +127,11 @@ def pieces(text: str) -> Iterator[str]:
 
 
 class Codec:
-    def __init__(self, tokens: list[bytes], pattern: str, table: PerfectHash | None = None):
+    def __init__(self, tokens: list[bytes], pattern: str, table: PerfectHash | None = None, remembered: int = REMEMBERED):
         import regex
 
+        self.remembered = remembered
+
         self.tokens = tokens
         self.table = table or PerfectHash(tokens)
         self.ranks = {t: i for i, t in enumerate(tokens)}
@@ -160,7 +162,7 @@ class Codec:
                 for w in words:
                     if w not in known:
                         known[w] = np.array(self.pre_token(w.encode()), "<u4").tobytes()
-                        if len(known) > REMEMBERED:
+                        if len(known) > self.remembered:
                             self.fresh.append(w)
                 ids = b"".join(map(known.__getitem__, words))
             out.append(np.frombuffer(ids, "<u4"))
@@ -174,22 +176,23 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def _codec(tokens: list[bytes], pattern: str, table: PerfectHash, made: dict = {}) -> Codec:  # noqa: B006
+def _codec(tokens: list[bytes], pattern: str, table: PerfectHash, remembered: int, made: dict = {}) -> Codec:  # noqa: B006
     """One codec a worker, so that what it has learned serves later tasks too."""
-    key = (len(tokens), pattern, hash(tokens[-1]) if tokens else 0)
+    key = (len(tokens), pattern, hash(tokens[-1]) if tokens else 0, remembered)
     if key not in made:
         made.clear()
-        made[key] = Codec(tokens, pattern, table)
+        made[key] = Codec(tokens, pattern, table, remembered)
     return made[key]
 
 
-def round_trip(docs: DataFrame, ranks: str, pattern: str, texts: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, ranks: str, pattern: str, texts: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Encode and decode every text of ``docs(doc_id, text)``, in one map over the rows and without a shuffle.
 
     Gives doc_id, n_tokens, ids_sha256, decoded_sha256; with ``texts`` every other column of ``docs``
     too, ``text`` being the decoded one, and the ids. A null text counts as empty (no ids, digests of
     the empty string); rows that repeat are each encoded; an empty table gives an empty result. Columns
     of ``docs`` that bear a result's name give way to it. The vocabulary that is broadcast has a fixed size.
+    remembered: distinct pre-tokens whose ids a worker keeps, about 200 bytes each; it changes no result.
     """
     spark = docs.sparkSession
     ensure_importable(spark)
@@ -201,7 +204,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, texts: bool = False) -
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*[f"`{c}`" for c in keep]).schema), "n_tokens long, ids_sha256 string, decoded_sha256 string", *(["ids array<int>"] if texts else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shipped.value[0], pattern, shipped.value[1])
+        codec = _codec(shipped.value[0], pattern, shipped.value[1], remembered)
         decimal = [b"%d" % i for i in range(len(codec.tokens))]
         for b in chunks(batches):
             encoded = codec.encode(b.column("text").to_pylist())
