@@ -43,7 +43,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers as P
 
-    return bpe.round_trip(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, texts=True)
+    return bpe.round_trip(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, texts=True, remembered=150_000)  # workers still hold what the stages before left
 
 
 STAGES = [
