@@ -50,6 +50,8 @@ SWEPT = 1024
 RANGES = 64
 #: Buckets of shingles whose counts order them, and points that a task remembers.
 BUCKETS, SEEN = 1 << 18, 1 << 19
+#: Buckets whose counts are one row of 32 kB: rows of megabytes make the driver's heap grow to its limit and stay there.
+PIECE = 1 << 12
 #: Texts that meet at one shingle, about, beyond which they are cut into chunks.
 MEETING = 1 << 18
 #: Shingles of a component beyond which it is cut into chunks.
@@ -369,7 +371,7 @@ POINT = ("fp", "node", "n", "low", "high")
 
 
 def _points(words_per_shingle: int):
-    """Of every row fingerprint, a hash of the set of shingles, which is the number of the point, its size and sketch; and in one last row the task's counts of buckets."""
+    """Of every row fingerprint, a hash of the set of shingles, which is the number of the point, its size and sketch; and in last rows the task's counts of buckets, ``PIECE`` in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, key = np.zeros(BUCKETS, np.int64), None
@@ -380,21 +382,31 @@ def _points(words_per_shingle: int):
             low, high = zip(*map(sketch, sets), strict=True)
             unsigned = [[fingerprint(h) for h in hashes], [_node(x) for x in sets], list(map(len, sets)), low, high]
             key = b.column("key")
-            yield pa.RecordBatch.from_arrays([key, *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in unsigned), pa.nulls(b.num_rows, pa.binary())], names=["key", *POINT, "buckets"])
+            yield pa.RecordBatch.from_arrays([key, *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in unsigned), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names=["key", *POINT, "piece", "buckets"])
         if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, key.type), *(pa.nulls(1, pa.int64()) for _ in POINT), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["key", *POINT, "buckets"])
+            pieces = [x.astype("<i8").tobytes() for x in np.split(total, range(PIECE, BUCKETS, PIECE))]
+            n = len(pieces)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, key.type), *(pa.nulls(n, pa.int64()) for _ in POINT), pa.array(range(n), pa.int32()), pa.array(pieces, pa.binary())], names=["key", *POINT, "piece", "buckets"])
 
     return run
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
+    total: dict[int, np.ndarray] = {}
     for b in batches:
-        for raw in b.column("buckets"):
-            x = np.frombuffer(raw.as_py(), "<i8")
-            total = x if total is None else total + x
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["buckets"])
+        for k, raw in zip(b.column("piece").to_pylist(), b.column("buckets"), strict=True):
+            total[k] = total.get(k, 0) + np.frombuffer(raw.as_py(), "<i8")
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "buckets"])
+
+
+def bucket_counts(made: DataFrame) -> np.ndarray:
+    """The tasks' counts in ``made(piece, buckets)`` added up where they are; the driver gets the sums alone, in small rows."""
+    counts = np.zeros(BUCKETS, np.int64)
+    sums = made.filter("buckets is not null").select("piece", "buckets").repartition(16, "piece").mapInArrow(_added, "piece int, buckets binary")
+    for r in sums.collect():
+        counts[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["buckets"], "<i8")
+    return counts
 
 
 def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
@@ -557,10 +569,9 @@ def deduplicate(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = 7,
     keyed = marked.select(key.alias("key"), "text")
     kind = keyed.schema["key"].dataType.simpleString()
     # equal sets: one point
-    made = written(keyed.mapInArrow(_points(words_per_shingle), f"key {kind}, " + "".join(f"{c} long, " for c in POINT) + "buckets binary"), "fingerprints")
-    found = made.filter("buckets is null").drop("buckets")
-    sums = made.filter("buckets is not null").select("buckets").repartition(16).mapInArrow(_added, "buckets binary").collect()
-    counts = sum((np.frombuffer(r["buckets"], "<i8") for r in sums), np.zeros(BUCKETS, np.int64))
+    made = written(keyed.mapInArrow(_points(words_per_shingle), f"key {kind}, " + "".join(f"{c} long, " for c in POINT) + "piece int, buckets binary"), "fingerprints")
+    found = made.filter("buckets is null").drop("piece", "buckets")
+    counts = bucket_counts(made)
     labels = components(similar_edges(keyed, found, counts, words_per_shingle, most_bits, similarity)).select(F.col("node").alias("n"), "root")
     points = found.groupBy("node").agg(F.min("key").alias("first"))
     rooted = points.join(labels, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))

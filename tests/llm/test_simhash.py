@@ -204,3 +204,23 @@ def test_hot_groups_are_found_whole(spark, docs):
     rows += [(2000, "very " * 60_000 + "long"), (2001, "very " * 60_000 + "long"), (2002, "short text"), (2003, "short text"), (2004, None), (2005, " ")]
     got = S.deduplicate(docs(rows).repartition(3))
     assert sorted(r.doc_id for r in got.collect()) == [0, 2000, 2002, 2004]
+
+
+def test_counts_reach_the_driver_once_in_small_rows(spark, docs, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"v{rng.randrange(50)}" for _ in range(30 + i))) for i in range(40)]
+    df = docs(rows).repartition(8)
+    got, collect = [], type(df).collect
+
+    def watched(self):
+        out = collect(self)
+        got.extend(x for r in out for x in r if isinstance(x, (bytes, bytearray)))
+        return out
+
+    shipped, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(df), "collect", watched)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: shipped.append(x) or broadcast(self, x))
+    S.deduplicate(df)
+    assert sum(map(len, got)) == 8 * S.BUCKETS and max(map(len, got)) < 1 << 18
+    every = np.concatenate([S.shingle_set(S.shingle_hashes(t, 5)) for _, t in rows])
+    assert np.array_equal(shipped[0], np.bincount((every % np.uint64(S.BUCKETS)).astype(np.int64), minlength=S.BUCKETS))
